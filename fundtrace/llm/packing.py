@@ -12,6 +12,7 @@ parts.
 Null and empty texts are one id 0. Equal documents are told apart by doc_id (and, if repeated, by a row number).
 """
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -24,7 +25,9 @@ from fundtrace.llm.store import written
 
 SEQUENCE = 2048
 #: Words whose ids a task keeps; it forgets them all when there are more.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
+#: Words of common letters and what they may end with, which is looked up apart; other words give two empty strings.
+LETTERS = re.compile("^(?:([a-zß-öø-įı-ſ]+)([.,;:!?#*$%&]*)|.*)$", re.M)
 SALTS = 64
 
 
@@ -34,30 +37,78 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordIds:
+    """Ids of words without spaces, as little-endian bytes; what a word ends with is split off and letters are lower-cased,
+    as the tokenizer does itself, so that it sees each run of letters once. A Python worker keeps it for all its tasks."""
+
+    kept: dict[str, "WordIds"] = {}
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        names = self.tokenizer.get_vocab()
+        ends = np.zeros(max(names.values()) + 1, bool)
+        ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.ends, self.words, self.parts = ends, {}, {}
+
+    @classmethod
+    def of(cls, tokenizer: str) -> "WordIds":
+        if tokenizer not in cls.kept:
+            cls.kept[tokenizer] = cls(tokenizer)
+        return cls.kept[tokenizer]
+
+    def learn(self, new: set[str]) -> None:
+        """Adds words that aren't known."""
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words.clear()
+            self.parts.clear()
+        parts, new = self.parts, [w for w in new if "\n" not in w]
+        found = LETTERS.findall("\n".join(new).lower()) if new else []
+        if len(found) != len(new):  # a letter that lower-cases to several lines is unheard of
+            found = [("", "")] * len(new)
+        missing = {p for pair in found for p in pair} - parts.keys()
+        letters, rest = [p for p in missing if p.isalpha()], [p for p in missing if not p.isalpha()]
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) == len(some) + 1 and cut[-1] == 4 * len(ids):
+                whole = ids.tobytes()
+                parts.update((p, whole[a:b]) for p, a, b in zip(some, cut, cut[1:]))
+            else:
+                rest += some
+        self._whole(parts, rest)
+        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, found) if a)
+        self._whole(self.words, [w for w, (a, _) in zip(new, found) if not a])
+
+    def _whole(self, to: dict[str, bytes], words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                to[w] = np.asarray(e.ids, "<u4").tobytes()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece.
 
     The tokenizer drops white space and never joins words across a space, so each distinct word is encoded once.
     """
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
+        ids_of = WordIds.of(tokenizer)
         for b in batches:
             out = defaultdict(list)
             ids = b.column("doc_id").to_pylist()
             texts = b.column("text").to_pylist()
-            for at in range(0, len(ids), 64):
-                split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                new = list({w for s in split for w in s if w not in known})
-                for i in range(0, len(new), 4096):
-                    for w, e in zip(new[i : i + 4096], tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)):
-                        known[w] = np.asarray(e.ids, "<u4").tobytes()
-                for d, s in zip(ids[at : at + 64], split):
-                    whole = b"".join(map(known.__getitem__, s)) + b"\0\0\0\0"
+            for at in range(0, len(ids), 256):
+                split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+                words = set().union(*split)
+                new = words - ids_of.words.keys()
+                if new:
+                    ids_of.learn(new if len(ids_of.words) + len(new) <= CACHED_WORDS else words)
+                known = ids_of.words.__getitem__
+                for d, s in zip(ids[at : at + 256], split):
+                    whole = b"".join(map(known, s)) + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(whole), 4 * size)):
                         part = whole[start : start + 4 * size]
                         for name, v in (("doc_id", d), ("piece", k), ("start", start // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
