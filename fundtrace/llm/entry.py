@@ -1,14 +1,31 @@
 """Queries of this subpackage, by number."""
 
-from fundtrace.llm import decontaminate, packing
+from fundtrace.llm import decontaminate, jaccard, language, licences, packing, quality_model, quality_rules, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.query,
         "op3_decontamination": decontaminate.query,
+        "op4_quality_model": quality_model.query,
+        "op5_quality_rules": quality_rules.query,
+        "op6_jaccard_join": jaccard.query,
+        "op7_language": language.query,
+        "op8_licence_scan": licences.query,
         "op9_packing": packing.query,
+        "op10_substring_dedup": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.SQL}
+    return {
+        "op2_toxicity": toxicity.query,
+        "op3_decontamination": decontaminate.SQL,
+        "op4_quality_model": quality_model.query,
+        "op5_quality_rules": quality_rules.SQL,
+        "op6_jaccard_join": jaccard.query,
+        "op7_language": language.query,
+        "op6_jaccard_join": jaccard.SQL,
+        "op8_licence_scan": licences.SQL,
+        "op10_substring_dedup": substring.SQL,
+    }

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,7 +96,7 @@ def pieces(ids: pa.Array, texts: pa.Array, most: int = PIECE_BYTES):
     ids = np.asarray(ids.to_numpy(zero_copy_only=False))
     i = 0
     while i < len(ids):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + PIECE_ROWS)
         base = offsets[i]
         yield ids[i:j], data[base : offsets[j]], offsets[i:j] - base, offsets[i + 1 : j + 1] - base
         i = j
