@@ -1,10 +1,11 @@
 """Queries of this subpackage, by number."""
 
-from fundtrace.llm import decontaminate, jaccard, language, licences, packing, quality_model, quality_rules, substring, toxicity
+from fundtrace.llm import decontaminate, html_text, jaccard, language, licences, packing, quality_model, quality_rules, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": html_text.query,
         "op2_toxicity": toxicity.query,
         "op3_decontamination": decontaminate.query,
         "op4_quality_model": quality_model.query,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_html_text": html_text.query,
         "op2_toxicity": toxicity.query,
         "op3_decontamination": decontaminate.SQL,
         "op4_quality_model": quality_model.query,

@@ -78,23 +78,33 @@ def predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lang, score
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; labelled (text, lang, doc_id) is docs itself if not given."""
-    known = (docs if labelled is None else labelled).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def fitted(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
+    """Machines from rows (doc_id, text, lang) that aren't held out; None if there are none."""
+    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     x, langs = sample_vectors(sampled(known, "lang", per_language), "lang")
-    model = docs.sparkSession.sparkContext.broadcast(fit(x, langs) if langs else None)
+    return fit(x, langs) if langs else None
+
+
+def has_letter(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Letters are sought in bytes first: only texts without an ASCII letter are looked at as text."""
+    count = np.r_[0, np.cumsum(((buf | 32) - 97) < 26)]
+    has = count[ends] > count[starts]
+    for i in np.flatnonzero(~has):
+        has[i] = any(c.isalpha() for c in buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+    return has
+
+
+def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; labelled (text, lang, doc_id) is docs itself if not given."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs if labelled is None else labelled, per_language))
 
     def run(batches):
         for b in batches:
             at = 0
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                 n = len(ids)
-                # Letters are sought in bytes first: only texts without an ASCII letter are looked at as text.
-                letter = np.r_[0, np.cumsum((buf | 32) - 97 < 26)]
-                has = letter[ends] > letter[starts]
-                for i in np.flatnonzero(~has):
-                    has[i] = any(c.isalpha() for c in buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+                has = has_letter(buf, starts, ends)
                 lang, score = np.full(n, "und", object), np.zeros(n)
                 if model.value is not None and has.any():
                     got, s = predict(model.value, vectors(buf, starts, ends))
@@ -105,5 +115,13 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
     return text_rows(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs whose language is identified; those that are `und` go."""
+    from fundtrace.llm.store import checked_broadcast, written
+
+    unknown = written(identify(docs, labelled, per_language).filter("lang_pred = 'und'").select("doc_id"), "unknown")
+    return docs.join(checked_broadcast(unknown.distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -48,3 +48,12 @@ def hash_bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
 def held(words: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     s = key_slots(keys, bits)
     return (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+#: Rows up to which a table of ids is broadcast.
+FEW_IDS = 300_000
+
+
+def checked_broadcast(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they are counted to be few, else without one, for a shuffled join."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
