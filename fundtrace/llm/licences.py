@@ -48,13 +48,12 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]], thresho
 def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, licence, dice: the best template of each unit that matches one."""
     t = template_table(docs.sparkSession, templates or TEMPLATES, threshold)
-    longest = t.agg(F.max("n_bigrams")).first()[0]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n", -1)
     blocks = F.filter(F.split(text, r"\n[\x20\x09-\x0D]*\n", -1), lambda b: F.trim(b).contains("\n"))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.concat(lines, blocks)).alias("unit", "u"))
-    pairs = units.withColumn("w", words(F.col("u"))).filter(F.size("w") >= 2).select("doc_id", "unit", bigrams(F.col("w")).alias("b"))
-    sized = pairs.withColumn("n_bigrams", F.size("b")).filter(F.col("n_bigrams") <= longest)
+    # Words are made inside the generator: a filter on them, pushed below a projection, would make them again for each bigram.
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.transform(F.concat(lines, blocks), words)).alias("unit", "w"))
+    sized = units.filter(F.size("w") >= 2).select("doc_id", "unit", bigrams(F.col("w")).alias("b")).withColumn("n_bigrams", F.size("b"))
     dice = 2.0 * F.size(F.array_intersect("b", "template")) / (F.size("b") + F.size("template"))
     return (
         sized.join(F.broadcast(t), "n_bigrams").withColumn("dice", dice).filter(F.col("dice") >= threshold)

@@ -50,10 +50,10 @@ def measured(docs: DataFrame) -> DataFrame:
     # The distinct windows are counted first: a text without repeats needs no more.
     found = counted.withColumn("pairs", F.when(
         F.size(F.array_distinct("windows")) < F.size("windows"),
-        F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:long,i:int>>"))).drop("windows")
+        F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:long,i:int>>"))).drop("windows")
     # Equal windows stand side by side; one that equals a neighbour covers five words from its place.
     equal = lambda p, k: F.coalesce(F.get("pairs", k)["h"] == p["h"], F.lit(False))
-    flagged = found.withColumn("places", F.array_sort(F.filter(
+    flagged = found.withColumn("places", F.sort_array(F.filter(
         F.transform("pairs", lambda p, k: F.when(equal(p, k - 1) | equal(p, k + 1), p["i"])), lambda i: i.isNotNull()))).drop("pairs")
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("until"))
     covered = F.aggregate("places", state, lambda s, p: F.struct((s["n"] + p + WINDOW - F.greatest(p, s["until"])).alias("n"), (p + WINDOW).alias("until")), lambda s: s["n"])
