@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundtrace.llm.text import LOWER, pieces
+from fundtrace.llm.text import LOWER, pieces, word_hashes, word_spans
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 BITS = 12
@@ -49,13 +49,21 @@ def vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return v / np.maximum(norm, 1e-9)
 
 
-def sample_vectors(docs: DataFrame, target: str, lower: bool = True) -> tuple[np.ndarray, list]:
+def repeat_share(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Share of each text's words that equal the word before."""
+    first, last, n = word_spans(buf, starts, ends)
+    words, of = word_hashes(buf, first, last), np.repeat(np.arange(len(n)), n)
+    same = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
+    return np.bincount(of[1:][same], minlength=len(n)) / np.maximum(n, 1)
+
+
+def sample_vectors(docs: DataFrame, target: str, make=vectors) -> tuple[np.ndarray, list]:
     """Vectors and targets of a bounded sample of documents, on the driver, in order of doc_id."""
     def run(batches):
         for b in batches:
             at = 0
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
-                v = vectors(buf, starts, ends, lower).astype(np.float16)
+                v = make(buf, starts, ends).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(target)[at : at + len(ids)], pa.array([x.tobytes() for x in v], pa.binary())], ["doc_id", target, "v"])
                 at += len(ids)
 

@@ -12,13 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.features import BITS, held_out, sample_vectors, sampled, text_rows, vectors
+from fundtrace.llm.features import BITS, held_out, repeat_share, sample_vectors, sampled, text_rows, vectors
 from fundtrace.llm.text import pieces
 
 PER_GRADE = 2000
 GRADES = 3
 
 
+def text_vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of the text as it is; one slot holds what they don't tell, how many words repeat the one before."""
+    v = vectors(buf, starts, ends, lower=False)
+    v[:, 0] = repeat_share(buf, starts, ends)
+    return v * 4
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -57,9 +64,9 @@ def grade(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Da
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).filter(f"doc_id IS NOT NULL AND grade BETWEEN 0 AND {GRADES - 1}").filter(~held_out())
     some = sampled(rated.groupBy("doc_id").agg(F.min("grade").alias("grade")), "grade", per_grade)
     # At most about GRADES * per_grade ids.
-    x, y = sample_vectors(text_rows(docs).join(F.broadcast(some), "doc_id"), "grade", lower=False)
+    x, y = sample_vectors(text_rows(docs).join(F.broadcast(some), "doc_id"), "grade", text_vectors)
     if len(set(y)) > 1:
-        w, cuts = fit(x * 4, np.array(y, np.int64))
+        w, cuts = fit(x, np.array(y, np.int64))
     else:
         w, cuts = np.zeros(1 << BITS), np.log([0.5, 2.0])
     model = docs.sparkSession.sparkContext.broadcast((w, cuts))
@@ -70,7 +77,7 @@ def grade(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Da
             at = 0
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                 n = len(ids)
-                p = tails(w, cuts, vectors(buf, starts, ends, lower=False) * 4)
+                p = tails(w, cuts, text_vectors(buf, starts, ends))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[at : at + n], b.column("held_out")[at : at + n], pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)],
                     ["doc_id", "held_out", "expected_grade", "p_ge_1", "p_ge_2", "kept"])
