@@ -63,8 +63,10 @@ def test_toxicity_without_labels_or_rows(spark, documents):
 
 def test_continuation_is_a_distribution():
     rng = np.random.default_rng(0)
-    p = toxicity.continuation(rng.integers(0, 1 << 32, 5000))
-    assert np.allclose(p.reshape(-1, 256).sum(1), 1, atol=1e-3)
+    codes = np.unique(rng.integers(0, 1 << 32, 5000) & 0x0F0F0F0F)
+    for context in (0x0101, 0x0A03, 0xFFFF):
+        p = toxicity.continuation(codes, (context << 8) + np.arange(256))
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
 def test_quality_grades(spark, documents):
