@@ -6,11 +6,35 @@ from pyspark.sql import functions as F
 TRANSFER_SCHEMA = "row_number long, ts string, from_bank string, from_account string, to_bank string, to_account string, amount double, currency string, fmt string"
 
 
+FINISHED = "_FINISHED"
+
+
+def _marker(spark: SparkSession, staging: str, client: str):
+    """The client's end marker as a Hadoop path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/{FINISHED}-{client}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def finish(spark: SparkSession, staging: str, client: str) -> None:
+    """The client's input is complete: its results may be computed, and what arrives later is ignored."""
+    fs, path = _marker(spark, staging, client)
+    fs.create(path, True).close()
+
+
+def is_finished(spark: SparkSession, staging: str, client: str) -> bool:
+    fs, path = _marker(spark, staging, client)
+    return fs.exists(path)
+
+
 def stage(spark: SparkSession, source: str, staging: str, checkpoint: str, client: str, schema: str = TRANSFER_SCHEMA, max_files: int = 100) -> None:
     """Takes what is new in `source` (Parquet files) to staging/client_id=/batch_id=.
 
-    A batch that is replayed after a crash overwrites its own folder, so each file counts once.
+    A batch that is replayed after a crash overwrites its own folder, so each file counts once. After finish()
+    nothing is taken any more.
     """
+    if is_finished(spark, staging, client):
+        return
+
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{staging}/client_id={client}/batch_id={batch_id}")
 

@@ -159,3 +159,44 @@ def test_stream_dedup(spark, tmp_path):
     q = ingest.unique_messages(stream, ("user_id", "event_id"), "ts", "1 hour").writeStream.format("memory").queryName("uniq").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("uniq").count() == 5
+
+
+def test_late_files_of_a_finished_client_are_ignored(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    tx(spark, [dict(amount=1.0)]).write.parquet(src)
+    ingest.stage(spark, src, out, ck, "1")
+    ingest.finish(spark, out, "1")
+    tx(spark, [dict(amount=2.0)]).write.mode("append").parquet(src)
+    ingest.stage(spark, src, out, ck, "1")
+    assert ingest.staged(spark, out, "1").count() == 1 and not ingest.is_finished(spark, out, "2")
+
+
+def test_clients_in_one_table_equal_clients_apart(spark):
+    from pyspark.sql import functions as F
+
+    apart = {c: tx(spark, [dict(amount=10.0 * c), dict(amount=0.001, ts="2022/09/07 10:00"), dict(amount=0.5), dict(from_bank="2", amount=7.0)]) for c in (1, 2)}
+    names = spark.createDataFrame([("1", "One"), ("2", "Two")], "bank_id string, bank_name string")
+    together = apart[1].withColumn("client_id", F.lit(1)).union(apart[2].withColumn("client_id", F.lit(2)))
+    both_names = names.crossJoin(spark.createDataFrame([(1,), (2,)], "client_id int"))
+    joint = session.results(spark, together, both_names, keys=("client_id",))
+    for c, t in apart.items():
+        for q, df in session.results(spark, t, names).items():
+            mine = joint[q].filter(F.col("client_id") == c).drop("client_id")
+            assert compare.difference(df, mine).count() == 0, (c, q)
+
+
+def test_enabled_queries(spark):
+    names = spark.createDataFrame([("1", "One")], "bank_id string, bank_name string")
+    assert list(session.results(spark, tx(spark, [{}]), names, ("q5", "q1"))) == ["q1", "q5"]
+    with pytest.raises(ValueError):
+        session.results(spark, tx(spark, [{}]), names, ("q9",))
+
+
+def test_command_line(spark, tmp_path):
+    from fundtrace.__main__ import main
+
+    (tmp_path / "t.csv").write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Paid,Payment Currency,Payment Format\n2022/09/01 00:00,001,A,2,B,12.5,US Dollar,Wire\n")
+    (tmp_path / "a.csv").write_text("Bank ID,Bank Name\n1,One\n")
+    paths = main([str(tmp_path / "t.csv"), str(tmp_path / "a.csv"), str(tmp_path / "out"), "--queries", "q1,q2,q5"])
+    assert list(paths) == ["q1", "q2", "q5"]
+    assert spark.read.option("header", True).csv(paths["q2"]).collect()[0].asDict() == {"From Bank": "1", "Account": "A", "Bank Name": "One", "Amount Paid": "12.50"}
