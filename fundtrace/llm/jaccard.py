@@ -6,14 +6,15 @@ nothing). Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. Two document
 
 Sizes fall into bands. A band's scheme deals the universe of shingles over m segments by their hash. Linked sets of x and
 y shingles differ in at most (x + y) / 7 of them, so all segments but that many are equal. What a document indexes:
- - each segment that isn't empty, whole; in its own band's scheme and, if partners may be smaller, in the band below;
- - if too many of its segments are empty to count on that: segments of a coarse partition with all their one-deletion
-   neighbours, of which, by the same count, one must match another such document;
- - if even those are too empty (a handful of very small sets): each single shingle.
+ - 3 to 6 shingles: the set and its one-deletion neighbours, as linked sets up to there differ in one shingle at most;
+ - 6 and more: each segment that isn't empty, whole; in its own band's scheme and, if partners may be smaller, in the band
+   below;
+ - if too many of its segments are empty to count on that: also each single shingle, the finest partition.
 At least m - (x + y) / 7 - (empty in both) segments are shared. A document may therefore leave out that many less one: by cost,
-those whose key most documents have. Keys of few documents give their pairs; frequent keys are left to documents that have
-more of them than they may leave out. There, members are compared with one of them first, and only those that this
-doesn't link are compared with the rest, in blocks of bounded size.
+those whose key most documents have; of single shingles three quarters of them less one. Keys of few documents give their
+pairs; frequent keys are left to documents that have more of them than they may leave out. There, members are compared with
+one of them first, and only those that this doesn't link are compared with the rest, in blocks of bounded size.
+Before sets are moved, counts of their hashes in bins rule out pairs that differ too much.
 
 Equal sets are one class from the start. Null text, empty text: n_shingles 0. Repeated rows: rows of equal sets.
 Equal doc_ids: each row is answered. Empty table: no rows.
@@ -39,17 +40,16 @@ _LOWER = np.frombuffer(LOWER, np.uint8)
 
 
 def _bands() -> np.ndarray:
-    edges = [1]
+    edges = [6]
     while edges[-1] < 1 << 31:
         edges.append(max(edges[-1] + 1, int(np.ceil(edges[-1] * 1.6))))
     return np.array(edges, np.int64)
 
 
 EDGES = _bands()
-#: Most differences of a linked pair whose smaller set is in the band, segments of the band, and of its coarse partition.
+#: Most differences of a linked pair whose smaller set is in the band, and segments of the band.
 MOST_DIFFER = ((EDGES[1:] - 1) + 4 * (EDGES[1:] - 1) // 3) // 7
 SEGMENTS = np.ceil(1.3 * (MOST_DIFFER + 1)).astype(np.int64) + 4
-COARSE = MOST_DIFFER // 2 + 2
 
 
 def shingle_sets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -81,67 +81,79 @@ def set_ids(of: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total[end] - total[end - n] + n.astype(np.uint64))
 
 
-def _segments(of: np.ndarray, h: np.ndarray, m: np.ndarray, scheme: np.ndarray, salt: int):
-    """Segments that aren't empty: (text, sum of scrambled members, members), and each shingle's place among them."""
-    seg = (mix(h + np.uint64(salt)) >> np.uint64(16)) % m[of].astype(np.uint64)
+def _segments(of: np.ndarray, h: np.ndarray, m: np.ndarray, scheme: np.ndarray):
+    """(text, key) of the segments that aren't empty."""
+    seg = (mix(h) >> np.uint64(16)) % m[of].astype(np.uint64)
     order = np.lexsort((seg, of))
     o, s = of[order], seg[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (s[1:] != s[:-1])
-    at = np.flatnonzero(new)
-    inner = mix(h[order])
-    total = np.add.reduceat(inner, at) if len(at) else np.zeros(0, np.uint64)
-    tag = mix(s[at] * np.uint64(1 << 20) + scheme[o[at]].astype(np.uint64) + np.uint64(salt << 40))
-    return o[at], total, tag, inner, np.cumsum(new) - 1
+    at = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (s[1:] != s[:-1])]) if len(o) else np.zeros(0, np.int64)
+    total = np.add.reduceat(mix(h[order] + np.uint64(1)), at) if len(at) else np.zeros(0, np.uint64)
+    return o[at], mix(total + mix(s[at] * np.uint64(1 << 20) + scheme[o[at]].astype(np.uint64)))
 
 
 def keys_of(of: np.ndarray, h: np.ndarray, n: np.ndarray):
-    """(text, key, kind) rows and the number of keys that a text may leave out in its even and its odd scheme.
+    """(text, key, kind) rows and the number of keys of each kind that a text may leave out.
 
-    The kind is the parity of the scheme, or 2 for neighbourhoods and single shingles.
+    The kind is the parity of the scheme, 2 for single shingles, 3 for neighbourhoods.
     """
-    band = np.maximum(np.searchsorted(EDGES, n, "right") - 1, 0)
+    out, spare = [], np.zeros((len(n), 3), np.int64)
+    small = (n >= 3) & (n <= 6)
+    sel = small[of]
+    if sel.any():
+        o, inner = of[sel], mix(h[sel] + np.uint64(2))
+        total = np.zeros(len(n), np.uint64)
+        np.add.at(total, o, inner)
+        rows = np.flatnonzero(small)
+        for text, key in ((rows, total[rows]), (o, total[o] - inner)):
+            out.append((text, mix(key + np.uint64(2)), np.full(len(text), 3, np.uint8)))
+    band = np.searchsorted(EDGES, n, "right") - 1
     differ = (n + 4 * n // 3) // 7
-    out, spare = [], np.full((len(n), 2), -1, np.int64)
-    unsafe = np.zeros((len(n), 2), bool)
+    unsafe = np.zeros(len(n), bool)
     for lower in (0, 1):
         scheme = band - lower
-        use = (n > 0) & (scheme >= 0) & ((lower == 0) | (3 * n < 4 * EDGES[band]))
+        use = (scheme >= 0) & ((lower == 0) | (3 * n < 4 * EDGES[np.maximum(band, 0)]))
         sel = use[of]
-        m = SEGMENTS[np.maximum(scheme, 0)]
-        o, total, tag, _, _ = _segments(of[sel], h[sel], m, np.maximum(scheme, 0), 1)
-        out.append((o, mix(total + tag), (scheme[o] & 1).astype(np.uint8)))
+        o, key = _segments(of[sel], h[sel], SEGMENTS[np.maximum(scheme, 0)], np.maximum(scheme, 0))
+        out.append((o, key, (scheme[o] & 1).astype(np.uint8)))
         free = np.bincount(o, minlength=len(n)) - differ - 1
         rows = np.flatnonzero(use)
         spare[rows, scheme[rows] & 1] = free[rows]
-        unsafe[:, lower] = use & (free < 0)
-        # One-deletion neighbourhoods of a coarse partition.
-        use = unsafe[:, lower]
-        if use.any():
-            sel = use[of]
-            m = COARSE[np.maximum(scheme, 0)]
-            o, total, tag, inner, place = _segments(of[sel], h[sel], m, np.maximum(scheme, 0), 2)
-            out.append((o, mix(total + tag), np.full(len(o), 2, np.uint8)))
-            out.append((o[place], mix(total[place] - inner + tag[place]), np.full(len(place), 2, np.uint8)))
-            # Empty segments are keys too: a neighbour of a segment of one shingle.
-            filled = np.bincount(o, minlength=len(n))
-            for i in np.flatnonzero(use & (filled < m)):
-                seg = (mix(h[of == i] + np.uint64(2)) >> np.uint64(16)) % np.uint64(m[i])
-                empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), seg)
-                t = mix(empty * np.uint64(1 << 20) + np.uint64(scheme[i]) + np.uint64(2 << 40))
-                out.append((np.full(len(empty), i), mix(t), np.full(len(empty), 2, np.uint8)))
-            single = use & (2 * filled <= differ)
-            sel = single[of]
-            out.append((of[sel], mix(h[sel] + np.uint64(3)), np.full(sel.sum(), 2, np.uint8)))
+        unsafe |= use & (free < 0)
+    sel = unsafe[of]
+    out.append((of[sel], mix(h[sel] + np.uint64(3)), np.full(sel.sum(), 2, np.uint8)))
+    spare[:, 2] = (3 * n + 3) // 4 - 1
     text, key, kind = (np.concatenate(x) for x in zip(*out))
-    return text, key, kind, spare
+    return text, key, kind, np.clip(spare, 0, 1 << 30)
 
 
-INFO = np.dtype([("doc_id", "<i8"), ("set_id", "<i8"), ("n", "<i8"), ("even", "<i4"), ("odd", "<i4")])
+def bins_of(n: np.ndarray) -> np.ndarray:
+    """Number of bins in a set's sketch: a power of two near an eighth of its size."""
+    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 8)), 4, 12).astype(np.int64))
+
+
+def sketches(of: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts): counts of each set's hashes in its bins, one byte each, cut at 255."""
+    bins = bins_of(n)
+    start = np.r_[0, np.cumsum(bins)]
+    slot = start[of] + ((h >> np.uint64(8)) & (bins[of] - 1).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=start[-1]), 255).astype(np.uint8), start
+
+
+def may_link(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """False only if the bins show that the sets differ in more shingles than linked sets may. Cutting counts
+    brings them nearer to each other, never farther apart; folding bins does the same."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if max(x.max(), y.max()) == 255 and len(x) != len(y):
+        return True
+    k = min(len(x), len(y))
+    return 7 * np.abs(x.reshape(-1, k).sum(0) - y.reshape(-1, k).sum(0)).sum() <= nx + ny
+
+
+INFO = np.dtype([("doc_id", "<i8"), ("set_id", "<i8"), ("n", "<i8"), ("even", "<i4"), ("odd", "<i4"), ("single", "<i4")])
 
 
 def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, sets, counts, keys, info): packed keys by hash, and what is known of each document."""
+    """(bucket, sets, counts, keys, info, sketches): packed keys by hash, and what is known of each document."""
     def run(batches):
         for b in batches:
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
@@ -158,21 +170,23 @@ def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
                 order = np.lexsort((text, bucket))
                 bucket, text, small = bucket[order], text[order], small[order]
                 info = np.zeros(len(n), INFO)
-                info["doc_id"], info["set_id"], info["n"], info["even"], info["odd"] = ids, fp.view(np.int64), n, np.clip(spare[:, 0], -1, 1 << 30), np.clip(spare[:, 1], -1, 1 << 30)
+                info["doc_id"], info["set_id"], info["n"], info["even"], info["odd"], info["single"] = ids, fp.view(np.int64), n, *spare.T
+                sketch, start = sketches(of, h, n)
                 home = (fp >> np.uint64(34)) % np.uint64(buckets)
                 used = np.union1d(bucket, home)
-                cols = [[], [], [], []]
+                cols = [[], [], [], [], []]
                 for k in used:
                     i, j = np.searchsorted(bucket, k), np.searchsorted(bucket, k, "right")
                     t, c = np.unique(text[i:j], return_counts=True)
-                    for col, v in zip(cols, (fp[t], c.astype(np.uint32), small[i:j], info[home == k])):
-                        col.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "sets", "counts", "keys", "info"])
+                    mine = np.flatnonzero(home == k)
+                    for col, v in zip(cols, (fp[t].tobytes(), c.astype(np.uint32).tobytes(), small[i:j].tobytes(), info[mine].tobytes(), b"".join(sketch[start[x] : start[x + 1]].tobytes() for x in mine))):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "sets", "counts", "keys", "info", "sketches"])
 
-    return text_rows(docs).mapInArrow(run, "bucket int, sets binary, counts binary, keys binary, info binary")
+    return text_rows(docs).mapInArrow(run, "bucket int, sets binary, counts binary, keys binary, info binary, sketches binary")
 
 
-MATCHED = "what int, a long, b long, c long, even int, odd int"
+MATCHED = "what int, a long, b long, c long, even int, odd int, single int, sketch binary"
 
 
 def _match(df: pd.DataFrame) -> pd.DataFrame:
@@ -204,27 +218,42 @@ def _match(df: pd.DataFrame) -> pd.DataFrame:
     pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     many = np.repeat(size, size) > FEW
     info = np.frombuffer(b"".join(df["info"]), INFO)
-    zero = np.zeros(len(pairs) + many.sum(), np.int32)
+    cut = np.r_[0, np.cumsum(bins_of(info["n"]))]
+    whole = b"".join(df["sketches"])
+    others = len(pairs) + int(many.sum())
+    zero = np.zeros(others, np.int32)
     return pd.DataFrame({
         "what": np.r_[np.zeros(len(pairs)), np.ones(many.sum()), np.full(len(info), 2)].astype(np.int32),
         "a": np.r_[pairs[:, 0], (np.int64(bucket) << 32) | k[many].astype(np.int64), info["doc_id"]],
         "b": np.r_[pairs[:, 1], s[many], info["set_id"]],
         "c": np.r_[np.zeros(len(pairs), np.int64), np.repeat(size, size)[many], info["n"]],
-        "even": np.r_[zero, info["even"]], "odd": np.r_[zero, info["odd"]],
+        **{k: np.r_[zero, info[k]] for k in ("even", "odd", "single")},
+        "sketch": [None] * others + [whole[i:j] for i, j in zip(cut, cut[1:])],
     })
 
 
 def _unneeded_left_out(frequent: DataFrame, info: DataFrame) -> DataFrame:
     """Frequent keys (key, set_id, size) less those that each set may leave out: its most frequent ones."""
     kept = frequent.withColumn("kind", F.expr("CAST(key & 3 AS INT)"))
-    counts = kept.groupBy("set_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in (0, 1, 2)])
-    spare = info.groupBy("set_id").agg(F.max("even").alias("even"), F.max("odd").alias("odd"))
+    counts = kept.groupBy("set_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)])
     # Most sets may leave out all of their frequent keys; only the others are ranked.
-    needs = counts.join(spare, "set_id").filter("n0 > greatest(even, 0) OR n1 > greatest(odd, 0) OR n2 > 0").select("set_id", "even", "odd")
-    ranked = kept.join(needs, "set_id")
+    needs = counts.join(info, "set_id").filter("n0 > even OR n1 > odd OR n2 > single OR n3 > 0").select("set_id", "even", "odd", "single")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("rank"), F.col("key").alias("key"))))
-    lists = ranked.groupBy("set_id", "kind").agg(ordered.alias("keys"), F.max(F.expr("CASE kind WHEN 0 THEN even WHEN 1 THEN odd ELSE 0 END")).alias("out"))
-    return lists.select("set_id", F.explode(F.slice("keys", F.greatest("out", F.lit(0)) + 1, F.size("keys"))).alias("k")).select("set_id", F.col("k.key").alias("key"))
+    out = F.max(F.expr("CASE kind WHEN 0 THEN even WHEN 1 THEN odd WHEN 2 THEN single ELSE 0 END"))
+    lists = kept.join(needs, "set_id").groupBy("set_id", "kind").agg(ordered.alias("keys"), out.alias("out"))
+    return lists.select("set_id", F.explode(F.slice("keys", F.col("out") + 1, F.size("keys"))).alias("k")).select("set_id", F.col("k.key").alias("key"))
+
+
+def _near(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that their sizes and sketches don't rule out."""
+    def run(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("x", "y", "na", "nb")]
+            m = pa.array([may_link(*r) for r in zip(*cols)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
+
+    side = lambda k, n, x: info.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
+    return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def _linked(common, x, y):
@@ -243,10 +272,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
 
-    small = sets.select("set_id", "n")
-    near = pairs.join(small.withColumnsRenamed({"set_id": "a", "n": "na"}), "a").join(small.withColumnsRenamed({"set_id": "b", "n": "nb"}), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
     return (
-        near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+        pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
         .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
     )
 
@@ -306,16 +333,20 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     matched = written(_indexed(docs, buckets).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
-    info = matched.filter("what = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").alias("n"), "even", "odd")
+    info = matched.filter("what = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").alias("n"))
+    # One row for each set.
+    known = matched.filter("what = 2").groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("doc_id"), F.max("c").alias("n"), *[F.max(k).alias(k) for k in ("even", "odd", "single")], F.first("sketch").alias("sketch"))
+    known = written(known, "known")
     pairs = matched.filter("what = 0").select("a", "b")
-    members = _unneeded_left_out(matched.filter("what = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"), F.col("c").alias("size")), info)
+    members = _unneeded_left_out(matched.filter("what = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"), F.col("c").alias("size")), known.drop("sketch", "n", "doc_id"))
+    members = written(members, "left")
     alone = members.groupBy("key").agg(F.count("*").alias("k"), F.min("set_id").alias("hub")).filter("k > 1")
     members = written(members.join(alone, "key").select("key", "set_id", "hub"), "frequent")
     star = members.filter("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star).distinct(), "pairs")
-    # The shingles of one document for each set that is in a pair, found by a filter of bounded size, then exactly.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    one = written(wanted.join(info, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    pairs = written(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star).distinct(), known), "pairs")
+    # The shingles of one document for each set that is still asked for, found by a filter of bounded size, then exactly.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(members.select("set_id")).distinct()
+    one = written(wanted.join(known.select("set_id", "doc_id"), "set_id"), "wanted")
     sets = written(_sets(docs, one), "sets")
     links = written(_verified(pairs, sets), "linked")
     if not members.isEmpty():
