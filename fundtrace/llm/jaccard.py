@@ -17,7 +17,7 @@ one of them first, and only those that this doesn't link are compared with the r
 Before sets are moved, counts of their hashes in bins rule out pairs that differ too much.
 
 Equal sets are one class from the start. Null text, empty text: n_shingles 0. Repeated rows: rows of equal sets.
-Equal doc_ids: each row is answered. Empty table: no rows.
+Equal doc_ids: each row is answered. A row without doc_id is left out. Empty table: no rows.
 """
 
 import numpy as np
@@ -330,7 +330,7 @@ def _rest_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFr
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.filter("doc_id IS NOT NULL")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     matched = written(_indexed(docs, buckets).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
     info = matched.filter("what = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").alias("n"))

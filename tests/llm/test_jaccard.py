@@ -57,6 +57,7 @@ def test_empty_table_and_repeated_rows(documents):
     assert jaccard.join(documents([])).count() == 0
     rows = jaccard.join(documents([(4, "a b c d e f", "en"), (4, "a b c d e f", "en")])).collect()
     assert [tuple(r) for r in rows] == [(4, 2, 4), (4, 2, 4)]
+    assert [r.doc_id for r in jaccard.join(documents([(None, "a b c", "en"), (7, "a b c", None)])).collect()] == [7]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 40, 200])
