@@ -6,7 +6,7 @@ anywhere else, in the same document or another.
 Windows are dealt to shards by their smallest 11-word gram (by hash), so equal windows meet in one shard and consecutive
 windows with the same gram travel as one segment. A gram that occurs once, as nearly all do, can't have repeated windows, and
 its segments aren't moved. A gram in very many different contexts would fill one shard; its windows are dealt by their
-own hash instead. A shard indexes its distinct segments, weighted by how often each occurs: suffix array, Burrows-Wheeler
+own hash instead, and only those that occur twice. A shard indexes its distinct segments, weighted by how often each occurs: suffix array, Burrows-Wheeler
 transform in a wavelet matrix of packed bits, and longest common prefixes. All its segments are streamed against it by
 backward search, which gives at each word the longest match that occurs twice or more; a window is repeated where this
 reaches 35.
@@ -85,27 +85,47 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
     return kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
 
 
-def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray) -> DataFrame:
-    """(rid, start, windows, key, content, words): segments whose gram may be repeated; words only once in a task."""
+def _parts(buf, starts, ends, repeated: np.ndarray, crowded: np.ndarray):
+    """(words, base, text, start, windows, gram, alone): segments whose gram may be repeated; those of a crowded gram
+    are given as single windows, with alone set."""
+    words, base, of, start, count, gram = segments(buf, starts, ends)
+    m = held(repeated, gram, FILTER_BITS)
+    of, start, count, gram = of[m], start[m], count[m], gram[m]
+    many = held(crowded, gram, FILTER_BITS - 4)
+    times = np.where(many, count, 1)
+    row = np.repeat(np.arange(len(of)), times)
+    start = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    return words, base, of[row], start, np.where(many, 1, count)[row], gram[row], many[row]
+
+
+def _crowded_windows(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """(content): hashes of the windows with crowded grams that occur twice or more; the others needn't be moved."""
     known = rows.sparkSession.sparkContext.broadcast((repeated, crowded))
 
     def run(batches):
-        repeated, crowded = known.value
+        for b in batches:
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+                words, base, of, start, count, _, alone = _parts(buf, starts, ends, *known.value)
+                content, n = np.unique(spans_hash(words, (base[of] + start)[alone], (count + WINDOW - 1)[alone]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(n)], ["content", "n"])
+
+    return rows.mapInArrow(run, "content long, n long").groupBy("content").agg(F.sum("n").alias("n")).filter("n > 1").select("content")
+
+
+def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray, again: np.ndarray) -> DataFrame:
+    """(rid, start, windows, key, content, words): segments whose gram may be repeated; words only once in a task."""
+    known = rows.sparkSession.sparkContext.broadcast((repeated, crowded, again))
+
+    def run(batches):
+        repeated, crowded, again = known.value
         seen: set[int] = set()
         for b in batches:
             for ids, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
-                words, base, of, start, count, gram = segments(buf, starts, ends)
-                m = held(repeated, gram, FILTER_BITS)
-                of, start, count, gram = of[m], start[m], count[m], gram[m]
-                many = held(crowded, gram, FILTER_BITS - 4)
-                # Each window of a crowded gram on its own.
-                times = np.where(many, count, 1)
-                row = np.repeat(np.arange(len(of)), times)
-                start = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                count = np.where(many, 1, count)[row]
-                of = of[row]
+                words, base, of, start, count, gram, alone = _parts(buf, starts, ends, repeated, crowded)
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
-                key = np.where(many[row], content, gram[row])
+                m = ~alone | held(again, content, FILTER_BITS)
+                of, start, count, content = of[m], start[m], count[m], content[m]
+                key = np.where(alone[m], content, gram[m])
                 texts = []
                 for c, i, n in zip(content.tolist(), (base[of] + start).tolist(), (count + WINDOW - 1).tolist()):
                     if c in seen:
@@ -259,7 +279,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     grams = written(_gram_counts(rows), "grams")
     twice = hash_bit_set(grams, "gram", FILTER_BITS)
     crowded = hash_bit_set(grams.filter(F.col("kinds") > CROWDED), "gram", FILTER_BITS - 4)
-    moved = written(_moved(rows, twice, crowded), "segments")
+    again = hash_bit_set(_crowded_windows(rows, twice, crowded), "content", FILTER_BITS) if crowded.any() else np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    moved = written(_moved(rows, twice, crowded, again), "segments")
     kinds = moved.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
     # Alone in its shard a segment repeats nothing.
     kinds = written(kinds, "kinds")
