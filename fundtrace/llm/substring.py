@@ -5,7 +5,7 @@ anywhere else, in the same document or another.
 
 Windows are dealt to shards by their smallest 11-word gram (by hash), so equal windows meet in one shard and consecutive
 windows with the same gram travel as one segment. A gram that occurs once, as nearly all do, can't have repeated windows, and
-its segments aren't moved. A gram in very many different contexts would fill one shard; its windows are dealt by their
+its segments aren't moved. A gram whose segments are all the same repeats them whole. A gram in very many different contexts would fill one shard; its windows are dealt by their
 own hash instead, and only those that occur twice. A shard indexes its distinct segments, weighted by how often each occurs: suffix array, Burrows-Wheeler
 transform in a wavelet matrix of packed bits, and longest common prefixes. All its segments are streamed against it by
 backward search, which gives at each word the longest match that occurs twice or more; a window is repeated where this
@@ -57,7 +57,8 @@ def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     p = place[at]
     cut = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (of[1:] != of[:-1])])
     count = np.diff(np.r_[cut, len(at)])
-    return words, base, of[cut], at[cut] - base[of[cut]], count, grams[p[cut]]
+    # The smallest hashes are alike in their upper bits: scrambled again they spread over slots and shards.
+    return words, base, of[cut], at[cut] - base[of[cut]], count, mix(grams[p[cut]])
 
 
 def spans_hash(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -113,33 +114,42 @@ def _crowded_windows(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray)
 
 
 def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray, again: np.ndarray) -> DataFrame:
-    """(rid, start, windows, key, content, words): segments whose gram may be repeated; words only once in a task."""
+    """(rid, start, windows, key, content): segments whose gram may be repeated, without their words."""
     known = rows.sparkSession.sparkContext.broadcast((repeated, crowded, again))
 
     def run(batches):
         repeated, crowded, again = known.value
-        seen: set[int] = set()
         for b in batches:
             for ids, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
                 words, base, of, start, count, gram, alone = _parts(buf, starts, ends, repeated, crowded)
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
                 m = ~alone | held(again, content, FILTER_BITS)
-                of, start, count, content = of[m], start[m], count[m], content[m]
-                key = np.where(alone[m], content, gram[m])
-                texts = []
-                for c, i, n in zip(content.tolist(), (base[of] + start).tolist(), (count + WINDOW - 1).tolist()):
-                    if c in seen:
-                        texts.append(None)
-                    else:
-                        seen.add(c)
-                        texts.append(words[i : i + n].tobytes())
-                if len(seen) > 500_000:
-                    seen.clear()
+                key = np.where(alone, content, gram)[m]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[of]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(texts, pa.binary())],
-                    ["rid", "start", "windows", "key", "content", "words"])
+                    [pa.array(ids[of[m]]), pa.array(start[m].astype(np.int32)), pa.array(count[m].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content[m].view(np.int64))],
+                    ["rid", "start", "windows", "key", "content"])
+
+    return rows.mapInArrow(run, "rid long, start int, windows int, key long, content long")
+
+
+def _contents(rows: DataFrame, varied: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """(key, content, words) of segments whose gram has several contents; a task gives each content once."""
+    known = rows.sparkSession.sparkContext.broadcast((varied, crowded))
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+                words, base, of, start, count, gram, alone = _parts(buf, starts, ends, *known.value)
+                of, start, count, gram = of[~alone], start[~alone], count[~alone], gram[~alone]
+                content = spans_hash(words, base[of] + start, count + WINDOW - 1)
+                first = [i for i, c in enumerate(content.tolist()) if not (c in seen or seen.add(c))]
+                texts = [words[i : i + n].tobytes() for i, n in zip((base[of] + start)[first].tolist(), (count + WINDOW - 1)[first].tolist())]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(content[first].view(np.int64)), pa.array(texts, pa.binary())], ["key", "content", "words"])
 
-    return rows.mapInArrow(run, "rid long, start int, windows int, key long, content long, words binary")
+    return rows.mapInArrow(run, "key long, content long, words binary")
 
 
 class WaveletMatrix:
@@ -280,17 +290,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     twice = hash_bit_set(grams, "gram", FILTER_BITS)
     crowded = hash_bit_set(grams.filter(F.col("kinds") > CROWDED), "gram", FILTER_BITS - 4)
     again = hash_bit_set(_crowded_windows(rows, twice, crowded), "content", FILTER_BITS) if crowded.any() else np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    varied = hash_bit_set(grams.filter("kinds > 1"), "gram", FILTER_BITS)
     moved = written(_moved(rows, twice, crowded, again), "segments")
     kinds = moved.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    # Alone in its shard a segment repeats nothing.
-    kinds = written(kinds, "kinds")
-    some = kinds.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1")
-    shards = max(1, -(-kinds.count() // SHARD))
+    several = kinds.groupBy("key").agg(F.count("*").alias("contents"), F.sum("n").alias("total")).filter("total > 1")
+    kinds = written(kinds.join(several.select("key", "contents"), "key"), "kinds")
+    # A gram with one content: the whole segment is repeated, and all its windows. Others are searched.
+    plain = kinds.filter("contents = 1").select("key", "content", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    searched = kinds.filter("contents > 1")
+    shards = max(1, -(-searched.count() // SHARD))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    counts = kinds.join(some, "key", "left_semi").select(shard, "key", "content", "n", "windows")
-    texts = moved.filter("words IS NOT NULL").select(shard, "content", "words")
+    counts = searched.select(shard, "key", "content", "n", "windows")
+    texts = _contents(rows, varied, crowded).select(shard, "content", "words")
     found = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInPandas(_shard, RESULT)
-    masks = written(found.filter("mask != 0"), "masks")
+    masks = written(found.filter("mask != 0").union(plain), "masks")
     return moved.select("rid", "start", "key", "content").join(masks, ["key", "content"]).groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
 
 
