@@ -3,7 +3,8 @@
 Texts are lower-cased (A-Z); bytes that are neither letters nor parts of other characters become spaces. Each class has
 counts of 5-byte grams, by documents, from its labelled documents. What a class lacks is backed off to shared 3-byte continuation
 counts, gathered from all documents: the number of different bytes before a gram. As both classes share them, a rare
-expression that neither has seen says nothing for either side.
+expression that neither has seen says nothing for either side. Grams are counted and looked up by themselves, never by a
+slot that several share, and none crosses from one text into the next, so nothing depends on batches or partitions.
 
 A word's evidence is the difference of its two log-likelihoods. The score of a document comes from that difference per
 byte, the largest of its words, and the mean of its three largest, by a logistic curve fitted on labelled documents that
@@ -23,18 +24,44 @@ from fundtrace.llm.text import pieces
 
 PER_CLASS = 12_000
 DISCOUNT = 0.75
-BITS = 20
+#: Different grams that a task holds before it hands them on.
+HELD = 1 << 20
 #: Grams of few documents prove little: the difference is shrunk by documents / (documents + PRIOR).
 PRIOR = 12.0
 
 _CLEAN = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)), np.uint8)
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
+def _slot(x: np.ndarray, bits: int) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x = x * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Grams:
+    """Values of different grams, looked up by the gram itself: its slot only tells where to look."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray):
+        self.bits = max(8, (2 * len(code)).bit_length())
+        slot = _slot(code, self.bits)
+        order = np.argsort(slot, kind="stable")
+        self.code, self.value = code[order].astype(np.uint64), value[order].astype(np.float32)
+        self.first = np.r_[0, np.cumsum(np.bincount(slot, minlength=1 << self.bits))].astype(np.int32)
+
+    def at(self, code: np.ndarray) -> np.ndarray:
+        """0 for grams that aren't there."""
+        out = np.zeros(len(code), np.float32)
+        s = _slot(code, self.bits)
+        i, end = self.first[s], self.first[s + 1]
+        todo = np.flatnonzero(i < end)
+        i, end = i[todo], end[todo]
+        while len(todo):
+            hit = self.code[i] == code[todo]
+            out[todo[hit]] = self.value[i[hit]]
+            more = ~hit & (i + 1 < end)
+            todo, i, end = todo[more], i[more] + 1, end[more]
+        return out
 
 
 def _codes(clean: np.ndarray, n: int) -> np.ndarray:
@@ -56,21 +83,34 @@ def _separate(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return out[keep], place[starts + np.arange(n)]
 
 
+def _inside(first: np.ndarray, m: int, n: int) -> np.ndarray:
+    """Which of m grams of n bytes lie in one text; first: see _separate."""
+    out = np.ones(m, bool)
+    for k in range(1, n - 1):
+        at = first - k
+        out[at[(at >= 0) & (at < m)]] = False
+    return out
+
+
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): 4-byte grams of all documents with their counts; each task sums its own before they are shuffled."""
+    """(gram, n): 3-byte grams of all documents and the number of different bytes before each."""
     def run(batches):
-        count, code = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        def part():
+            return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int64))], ["code"])
+
+        held = np.zeros(0, np.uint32)
         for b in batches:
             for _, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
-                x = _codes(_separate(buf, starts, ends)[0], 4)
-                s = _slot(x)
-                count += np.bincount(s, minlength=1 << BITS)
-                code[s] = x
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(code[some]), pa.array(count[some])], ["slot", "code", "n"])
+                clean, first = _separate(buf, starts, ends)
+                x = _codes(clean, 4)
+                held = np.unique(np.r_[held, x[_inside(first, len(x), 4)].astype(np.uint32)])
+                if len(held) > HELD:
+                    yield part()
+                    held = held[:0]
+        yield part()
 
-    # One gram for each slot, so there are never more than 2 ** BITS rows.
-    return text_rows(docs).mapInArrow(run, "slot long, code long, n long").groupBy("slot").agg(F.max("code").alias("code"), F.sum("n").alias("n"))
+    every = text_rows(docs).mapInArrow(run, "code long").distinct()
+    return every.groupBy(F.expr("code & 16777215").alias("gram")).agg(F.count("*").alias("n"))
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
@@ -85,7 +125,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
                 at += len(ids)
                 x = _codes(clean, 5)
                 of = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(np.r_[first, len(clean)]))[: len(x)]
-                once = np.unique((of << np.uint64(40)) | x)
+                once = np.unique(((of << np.uint64(40)) | x)[_inside(first, len(x), 5)])
                 of, x = (once >> np.uint64(40)).astype(np.int64), once & np.uint64((1 << 40) - 1)
                 for c in (0, 1):
                     code, n = np.unique(x[mine[of] == c], return_counts=True)
@@ -95,11 +135,15 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 
 def continuation(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """P(last byte | two bytes before) of the wanted 3-byte codes, from distinct 4-byte codes.
+    """P(last byte | two bytes before) of the wanted 3-byte codes, from distinct 4-byte codes."""
+    return interpolated(*np.unique(codes & 0xFFFFFF, return_counts=True), wanted)
+
+
+def interpolated(triples: np.ndarray, n3: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """P(last byte | two bytes before) of the wanted 3-byte codes, from sorted 3-byte codes and their continuation counts.
 
     A gram counts by the number of different bytes before it; what a context lacks is interpolated from the shorter one.
     """
-    triples, n3 = np.unique(codes & 0xFFFFFF, return_counts=True)
     pairs, n2 = np.unique(triples & 0xFFFF, return_counts=True)
     single = np.bincount(pairs & 0xFF, minlength=256)
 
@@ -118,9 +162,9 @@ def continuation(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return level(triples, n3, wanted, p2)
 
 
-def log_ratios(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """log P(toxic) - log P(ordinary) of 5-byte grams, at their slots; 0 for grams that neither class has. every: 4-byte codes of the corpus."""
-    shared = continuation(every, code & 0xFFFFFF)
+def log_ratios(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, triples: np.ndarray, n3: np.ndarray) -> np.ndarray:
+    """log P(toxic) - log P(ordinary) of 5-byte grams. triples, n3: sorted 3-byte codes of the corpus and their continuation counts."""
+    shared = interpolated(triples, n3, code & 0xFFFFFF)
     context, of = np.unique(code >> 8, return_inverse=True)
     logs = []
     for n in (toxic.astype(float), ordinary.astype(float)):
@@ -129,19 +173,16 @@ def log_ratios(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, every:
         p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[of] + back[of] * shared
         logs.append(np.log(np.maximum(p, 1e-12)))
     seen = toxic + ordinary
-    out = np.zeros(1 << BITS, np.float32)
-    order = np.argsort(seen, kind="stable")  # of grams in one slot the most frequent counts
-    out[_slot(code[order].astype(np.uint64))] = ((logs[0] - logs[1]) * seen / (seen + PRIOR))[order]
-    return out
+    return (logs[0] - logs[1]) * seen / (seen + PRIOR)
 
 
-def evidence(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def evidence(table: Grams, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per text: difference per byte, largest word, mean of the three largest words."""
     clean, first = _separate(buf, starts, ends)
     n = len(starts)
     x = _codes(clean, 5)
     diff = np.zeros(len(clean), np.float64)
-    diff[4:] = table[_slot(x)]
+    diff[4:] = table.at(x) * _inside(first, len(x), 5)
     # The space behind a word is predicted from it and belongs to it; so do the grams that begin in the word before.
     edge = clean == 32
     word_start = np.flatnonzero(~edge & np.r_[True, edge[:-1]])
@@ -190,9 +231,12 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
     texts = text_rows(docs).join(F.broadcast(some), "doc_id")
     counts = class_counts(texts.filter("NOT curve").select("doc_id", "text", "toxic")).groupBy("code").agg(
         F.sum(F.expr("if(toxic = 1, n, 0)")).alias("t"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("o")).toPandas()
-    every = shared_counts(docs).select("code").toPandas()["code"].to_numpy(np.int64)
+    # However large the corpus, there are at most 2 ** 24 grams of 3 bytes.
+    every = shared_counts(docs).toPandas().sort_values("gram")
     if counts["t"].sum() and counts["o"].sum():
-        table = spark.sparkContext.broadcast(log_ratios(counts["code"].to_numpy(np.int64), counts["t"].to_numpy(), counts["o"].to_numpy(), every))
+        code = counts["code"].to_numpy(np.int64)
+        ratios = log_ratios(code, counts["t"].to_numpy(), counts["o"].to_numpy(), every["gram"].to_numpy(np.int64), every["n"].to_numpy(np.int64))
+        table = spark.sparkContext.broadcast(Grams(code, ratios))
 
         def measure(batches):
             for b in batches:
@@ -205,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
         held = texts.filter("curve").select("doc_id", "text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").toPandas()
         curve = fit_curve(held[["a", "b", "c"]].to_numpy(), held["toxic"].to_numpy()) if held["toxic"].nunique() > 1 else None
     else:
-        table, curve = spark.sparkContext.broadcast(np.zeros(1 << BITS, np.float32)), None
+        table, curve = spark.sparkContext.broadcast(Grams(np.zeros(0, np.int64), np.zeros(0))), None
 
     def run(batches):
         for b in batches:

@@ -61,6 +61,30 @@ def test_toxicity_without_labels_or_rows(spark, documents):
     assert toxicity.score(documents([]), none).count() == 0
 
 
+def spelled(k, n):
+    return "".join(chr(97 + k // 26**j % 26) for j in range(n))
+
+
+def test_toxicity_counts_every_gram(documents):
+    """Grams share slots of 20 bits here, and texts lie in other batches."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(spelled(k, 6) for k in rng.integers(0, 26**6, 12_000)) for _ in range(60)]
+    clean = [b" " + t.encode() + b" " for t in texts]
+    codes = {c[i : i + 4] for c in clean for i in range(len(c) - 3)}
+    want = {}
+    for c in codes:
+        key = int.from_bytes(c[1:], "big")
+        want[key] = want.get(key, 0) + 1
+    for parts in (1, 3):
+        assert {r.gram: r.n for r in toxicity.shared_counts(documents(texts).repartition(parts)).collect()} == want
+
+
+def test_toxicity_looks_grams_up_by_themselves():
+    code = np.random.default_rng(1).choice(1 << 40, 300_000, replace=False)
+    table = toxicity.Grams(code[:200_000], np.arange(1, 200_001))
+    assert (table.at(code.astype(np.uint64)) == np.r_[np.arange(1, 200_001), np.zeros(100_000)]).all()
+
+
 def test_continuation_is_a_distribution():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, 1 << 32, 5000) & 0x0F0F0F0F)
