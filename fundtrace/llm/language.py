@@ -95,6 +95,16 @@ def has_letter(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return has
 
 
+def _judged(model: dict | None, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    has = has_letter(buf, starts, ends)
+    lang, score = np.full(len(starts), "und", object), np.zeros(len(starts))
+    if model is not None and has.any():
+        got, s = predict(model, vectors(buf, starts, ends))
+        lang[has], score[has] = got[has], s[has]
+    return lang, score
+
+
 def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; labelled (text, lang, doc_id) is docs itself if not given."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs if labelled is None else labelled, per_language))
@@ -104,11 +114,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
             at = 0
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                 n = len(ids)
-                has = has_letter(buf, starts, ends)
-                lang, score = np.full(n, "und", object), np.zeros(n)
-                if model.value is not None and has.any():
-                    got, s = predict(model.value, vectors(buf, starts, ends))
-                    lang[has], score[has] = got[has], s[has]
+                lang, score = _judged(model.value, buf, starts, ends)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[at : at + n], b.column("held_out")[at : at + n], pa.array(lang.tolist(), pa.string()), pa.array(score.astype(float))], ["doc_id", "held_out", "lang_pred", "score"])
                 at += n
 
@@ -116,11 +122,15 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
 
 
 def accepted(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of docs whose language is identified; those that are `und` go."""
-    from fundtrace.llm.store import checked_broadcast, written
+    """The rows of docs whose language is identified; those that are `und` go, each by its own text, whatever its doc_id."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs if labelled is None else labelled, per_language))
+
+    def run(batches):
+        for b in batches:
+            known = [_judged(model.value, buf, starts, ends)[0] != "und" for _, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"))]
+            yield b.filter(pa.array(np.concatenate(known) if known else [], pa.bool_()))
 
-    unknown = written(identify(docs, labelled, per_language).filter("lang_pred = 'und'").select("doc_id"), "unknown")
-    return docs.join(checked_broadcast(unknown.distinct()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
