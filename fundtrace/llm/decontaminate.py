@@ -3,7 +3,9 @@
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. A window is 13 consecutive words of an item;
 an item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
 
-Null and empty texts have no words; empty items never occur; repeated items and windows count for each item.
+Null and empty texts have no words; empty items never occur; repeated items and windows count for each item. Windows of
+items without an id hit words like all others, but name no item. Every row of documents is answered by itself, in however
+many rounds, and whether its doc_id is null or repeated.
 """
 
 import hashlib
@@ -20,7 +22,7 @@ MAX_WINDOWS = 400_000
 ONE_IN = 20
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-RESULT = "doc_id long, n_words long, spans array<int>, items array<string>"
+RESULT = "doc_id long, row long, n_words long, spans array<int>, items array<string>"
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -39,12 +41,12 @@ def windows(benchmark: DataFrame) -> DataFrame:
                     out[1].append(i)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], ["window", "item"])
 
-    cols = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL")
+    cols = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return cols.mapInArrow(cut, "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _scan(docs: DataFrame, found: list) -> DataFrame:
-    """found: (window, items) rows, at most MAX_WINDOWS. Gives n_words, hit word spans and items of each document."""
+    """found: (window, items) rows, at most MAX_WINDOWS. Gives row (a hash of the text), n_words, hit word spans and items of each document."""
     held = docs.sparkSession.sparkContext.broadcast([(r.window, list(r.items)) for r in found])
 
     def run(batches):
@@ -73,9 +75,10 @@ def _scan(docs: DataFrame, found: list) -> DataFrame:
                         names.update(of)
                 spans.append([x for s in sorted(set(hit)) for x in s])
                 items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row", F.xxhash64("text", F.isnull("text"))).mapInArrow(run, RESULT)
 
 
 def covered(spans) -> int:
@@ -92,26 +95,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
     n = w.count()
     rounds = max(1, -(-n // max_windows))
     if rounds == 1:
-        return _scan(docs, w.collect())
+        return _scan(docs, w.collect()).drop("row")
     w = w.persist()
     parts = [_scan(docs, w.filter(F.pmod(F.xxhash64("window"), F.lit(2 * rounds)) == i).collect()) for i in range(2 * rounds)]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Equal rows have equal answers in each round: these are put together once and given as often as the row is there.
+    rows = whole.groupBy("doc_id", "row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.expr(f"count(*) div {len(parts)}").alias("times"))
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
     def digest(batches):
         for b in batches:
-            hits = [covered(s) for s in b.column("spans").to_pylist()]
+            spans = [[x for s in sorted(zip(s[::2], s[1::2])) for x in s] for s in b.column("spans").to_pylist()]
+            hits = [covered(s) for s in spans]
             items = b.column("items").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
                  pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]),
-                 pa.array([h > 0 and ONE_IN * h >= n for h, n in zip(hits, b.column("n_words").to_pylist())], pa.bool_()), b.column("spans"), b.column("items")],
+                 pa.array([h > 0 and ONE_IN * h >= n for h, n in zip(hits, b.column("n_words").to_pylist())], pa.bool_()), pa.array(spans, pa.list_(pa.int32())), b.column("items")],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
     return matches(docs, benchmark, max_windows).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")

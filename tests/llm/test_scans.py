@@ -37,6 +37,21 @@ def test_decontamination_equals_brute_force(spark, documents):
     assert len(none) == len(texts) and all(r.n_hit == 0 and not r.contaminated for r in none)
 
 
+def test_decontamination_answers_every_row_in_rounds(spark, documents):
+    a, b, c = words(1, 30, 10**6), words(2, 30, 10**6), words(3, 20, 10**6)
+    items = [(1, a), (2, b), (None, c)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, a), (None, b + " " + words(4, 900, 10**6)), (None, "none of it"), (7, a), (7, "clean"), (7, a), (8, c), (None, None), (None, None)]
+    named = [(i, t) for i, t in items if i is not None]
+    def want(d, t):
+        n, hit, _, _, over = brute_hits(t, items)
+        return d, n, hit, *brute_hits(t, named)[2:4], over
+    df = documents([(d, t, "en") for d, t in rows])
+    whole, parts = (decontaminate.decontaminate(df, bench, limit).collect() for limit in (10**6, 3))
+    assert sorted((tuple(r)[:6] for r in whole), key=str) == sorted((want(d, t) for d, t in rows), key=str)
+    assert sorted(map(tuple, parts), key=str) == sorted(map(tuple, whole), key=str)
+
+
 def brute_measures(t):
     import re
 
