@@ -3,22 +3,34 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundtrace.llm.store import written
+from fundtrace.llm.store import checked_broadcast, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b: long); the component is its smallest node.
 
-    In each round a node takes the smallest label around it and then that label's own label, so chains halve;
-    labels are written to the shared folder each round. Ends when no label changes.
+    In each round a node takes the smallest node around it, such chains of nodes are followed to their ends by doubling, and
+    links are rewritten as links between ends. A link inside a component is gone then, and many become one, so rounds
+    work on ever fewer links; stars need one round. All tables are written to the shared folder.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    found = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = step.join(labels.select(F.col("node").alias("mid"), F.col("component").alias("far")), "mid", "left")
-        after = written(jump.select("node", "old", F.least("mid", "far").alias("component")), "labels")
-        if after.filter("old != component").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        # The smaller end of a link has a smaller neighbour only if it is the larger end of another one.
+        up = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+        labels = written(up.unionByName(ends).groupBy("node").agg(F.min("component").alias("component")), "labels")
+        while True:
+            ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("next")).filter("component != next")
+            after = written(labels.join(checked_broadcast(ahead), "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "labels")
+            labels = after.select("node", "component")
+            if after.filter("moved").isEmpty():
+                break
+        found = labels if found is None else written(
+            found.select(F.col("component").alias("mid"), F.col("node").alias("own")).join(checked_broadcast(labels.withColumnRenamed("node", "mid")), "mid", "left")
+            .select(F.col("own").alias("node"), F.coalesce("component", "mid").alias("component")), "found")
+        to = lambda k: checked_broadcast(labels.filter("node != component")).select(F.col("node").alias(k), F.col("component").alias(f"{k}_end"))
+        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_end", "a").alias("p"), F.coalesce("b_end", "b").alias("q"))
+        edges = written(moved.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found

@@ -2,7 +2,7 @@
 
 A document's set holds its distinct 5-word shingles (fewer words: the whole sequence as one; no words: none, linked with
 nothing). Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. Two documents link when
-100 * common >= 75 * union. Sets are found equal by a 64-bit hash and compared as 64-bit shingle hashes.
+100 * common >= 75 * union. Sets are equal by two 64-bit hashes and compared as 64-bit shingle hashes.
 
 Sizes fall into bands. A band's scheme deals the universe of shingles over m segments by their hash. Linked sets of x and
 y shingles differ in at most (x + y) / 7 of them, so all segments but that many are equal. What a document indexes:
@@ -11,13 +11,15 @@ y shingles differ in at most (x + y) / 7 of them, so all segments but that many
    below;
  - if too many of its segments are empty to count on that: also each single shingle, the finest partition.
 At least m - (x + y) / 7 - (empty in both) segments are shared. A document may therefore leave out that many less one: by cost,
-those whose key most documents have; of single shingles three quarters of them less one. Keys of few documents give their
-pairs; frequent keys are left to documents that have more of them than they may leave out. There, members are compared with
-one of them first, and only those that this doesn't link are compared with the rest, in blocks of bounded size.
+those whose key most documents have; of single shingles three quarters of them less one. The sets of a key are compared
+with one of them first; keys whose sets this joins are done, and of few sets those still apart are compared. Frequent keys that
+stay open, as a passage that many texts have leaves them, are replaced by the rarest shingles of their sets; only what
+even these leave open, sets of which three quarters are frequent shingles, is compared in blocks of bounded size.
 Before sets are moved, counts of their hashes in bins rule out pairs that differ too much.
 
 Equal sets are one class from the start. Null text, empty text: n_shingles 0. Repeated rows: rows of equal sets.
-Equal doc_ids: each row is answered. A row without doc_id is left out. Empty table: no rows.
+Equal doc_ids: each row is answered. A row without doc_id is answered as well: its component_id is the smallest doc_id it
+reaches, null if there is none. Very long texts: sets of any size have a band. Empty table: no rows.
 """
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
 from fundtrace.llm.graph import components
-from fundtrace.llm.store import hash_bit_set, held, written
+from fundtrace.llm.store import checked_broadcast, thrifty, with_keys, written
 from fundtrace.llm.text import LOWER, gram_hashes, mix, pieces, word_hashes, word_spans
 
 SHINGLE = 5
@@ -149,102 +151,129 @@ def may_link(x: bytes, y: bytes, nx: int, ny: int) -> bool:
     return 7 * np.abs(x.reshape(-1, k).sum(0) - y.reshape(-1, k).sum(0)).sum() <= nx + ny
 
 
-INFO = np.dtype([("doc_id", "<i8"), ("set_id", "<i8"), ("n", "<i8"), ("even", "<i4"), ("odd", "<i4"), ("single", "<i4")])
+SPARE = np.dtype([("set_id", "<i8"), ("even", "<i4"), ("odd", "<i4"), ("single", "<i4")])
+#: Bytes of packed keys and sets that a bucket should hold.
+BUCKET_BYTES = 16 << 20
+#: Frequent keys, and sets, that a task remembers.
+REMEMBERED = 1 << 20
 
 
-def _indexed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, sets, counts, keys, info, sketches): packed keys by hash, and what is known of each document."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and rid, a hash of the text alone: neither a missing nor a repeated doc_id matters."""
+    return text_rows(docs, F.xxhash64("text").alias("rid"))
+
+
+def _named(fp: np.ndarray, second: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Ids of sets: their first hash, and for those that only it takes for equal (alike, sorted) both."""
+    out = fp.view(np.int64).copy()
+    if len(alike):
+        m = np.isin(out, alike)
+        out[m] = mix(fp[m] ^ second[m]).view(np.int64)
+    return out
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """doc_id, rid, set_id, second, n, sketch of each document; second: another hash of the set."""
     def run(batches):
         for b in batches:
-            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
+            at = 0
+            for ids, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
                 of, h, n = shingle_sets(buf, starts, ends)
-                fp = set_ids(of, h, n)
-                text, key, kind, spare = keys_of(of, h, n)
-                # Equal sets of a piece have equal keys: one stands for all.
-                stands = np.zeros(len(n), bool)
-                stands[np.unique(fp, return_index=True)[1]] = True
-                keep = stands[text]
-                text, key, kind = text[keep], key[keep], kind[keep]
-                bucket = (key >> np.uint64(34)) % np.uint64(buckets)
-                small = (key.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | kind
-                order = np.lexsort((text, bucket))
-                bucket, text, small = bucket[order], text[order], small[order]
-                info = np.zeros(len(n), INFO)
-                info["doc_id"], info["set_id"], info["n"], info["even"], info["odd"], info["single"] = ids, fp.view(np.int64), n, *spare.T
                 sketch, start = sketches(of, h, n)
-                home = (fp >> np.uint64(34)) % np.uint64(buckets)
-                used = np.union1d(bucket, home)
-                cols = [[], [], [], [], []]
-                for k in used:
-                    i, j = np.searchsorted(bucket, k), np.searchsorted(bucket, k, "right")
-                    t, c = np.unique(text[i:j], return_counts=True)
-                    mine = np.flatnonzero(home == k)
-                    for col, v in zip(cols, (fp[t].tobytes(), c.astype(np.uint32).tobytes(), small[i:j].tobytes(), info[mine].tobytes(), b"".join(sketch[start[x] : start[x + 1]].tobytes() for x in mine))):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "sets", "counts", "keys", "info", "sketches"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id")[at : at + len(ids)], pa.array(ids), pa.array(set_ids(of, h, n).view(np.int64)), pa.array(set_ids(of, mix(h), n).view(np.int64)), pa.array(n.astype(np.int64)),
+                     pa.array([sketch[i:j].tobytes() for i, j in zip(start, start[1:])], pa.binary())], ["doc_id", "rid", "set_id", "second", "n", "sketch"])
+                at += len(ids)
+
+    return rows.mapInArrow(thrifty(run), "doc_id long, rid long, set_id long, second long, n long, sketch binary")
 
-    return text_rows(docs).mapInArrow(run, "bucket int, sets binary, counts binary, keys binary, info binary, sketches binary")
 
+def _indexed(rows: DataFrame, buckets: int, alike: np.ndarray) -> DataFrame:
+    """(bucket, keys, sets, spare, many_keys, many_sets): packed keys with their sets by hash of the key.
 
-MATCHED = "what int, a long, b long, c long, even int, odd int, single int, sketch binary"
+    A task gives each set once. A key of more than FEW sets of a piece, and all that follows with it in the task,
+    goes to the buckets of its sets instead (many_*), and one of these sets stands for them where the key is matched: so
+    the bucket of a key that much of the corpus has doesn't follow its members.
+    """
+    def run(batches):
+        seen, hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+                of, h, n = shingle_sets(buf, starts, ends)
+                fp = _named(set_ids(of, h, n), set_ids(of, mix(h), n), alike)
+                stands = np.zeros(len(n), bool)
+                stands[np.unique(fp, return_index=True)[1]] = True
+                stands &= (n > 0) & ~np.isin(fp, seen)
+                seen = np.union1d(seen if len(seen) < REMEMBERED else seen[:0], fp[stands])
+                keep = stands[of]
+                of, h, n = of[keep], h[keep], np.where(stands, n, 0)
+                text, key, kind, spare = keys_of(of, h, n)
+                whole = (((key >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64) << 32) | ((key.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | kind).astype(np.int64)
+                order = np.lexsort((fp[text], whole))
+                text, whole = text[order], whole[order]
+                begin = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+                size = np.diff(np.r_[begin, len(whole)])
+                known = np.isin(whole[begin], hot)
+                hot = np.union1d(hot if len(hot) < REMEMBERED else hot[:0], whole[begin[size > FEW]])
+                many = np.repeat(known | (size > FEW), size)
+                left = ~many
+                left[begin[~known]] = True  # the first of them stands for a key that is new
+                home = ((fp.view(np.uint64) >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
+                info = np.zeros(len(n), SPARE)
+                info["set_id"], info["even"], info["odd"], info["single"] = fp, *spare.T
+                info, home_of = info[stands], home[stands]
+                at = [whole[left] >> 32, home_of, home[text[many]]]
+                used = np.unique(np.concatenate(at))
+                cols = [[] for _ in range(5)]
+                orders = [np.argsort(x, kind="stable") for x in at]
+                packed = [((whole[left] & 0xFFFFFFFF).astype(np.uint32), fp[text[left]]), (info,), (whole[many], fp[text[many]])]
+                slots = [(0, 1), (2,), (3, 4)]
+                for x, o, values, into in zip(at, orders, packed, slots):
+                    i, j = np.searchsorted(x[o], used), np.searchsorted(x[o], used, "right")
+                    for v, c in zip(values, into):
+                        v = v[o]
+                        cols[c] = [v[p:q].tobytes() for p, q in zip(i.tolist(), j.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "keys", "sets", "spare", "many_keys", "many_sets"])
+
+    return rows.select("rid", "text").mapInArrow(thrifty(run), "bucket int, keys binary, sets binary, spare binary, many_keys binary, many_sets binary")
+
+
+MATCHED = "key long, set_id long, even int, odd int, single int"
 
 
 def _match(df: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: what 0, a pair of sets; 1, a frequent key, a set with it and the key's sets; 2, a document."""
-    bucket = int(df["bucket"].iloc[0])
-    sets = np.frombuffer(b"".join(df["sets"]), np.int64)
-    sets = np.repeat(sets, np.frombuffer(b"".join(df["counts"]), np.uint32))
-    keys = np.frombuffer(b"".join(df["keys"]), np.uint32)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    twice = np.zeros(len(k), bool)
-    if len(k):
-        twice[1:] = k[1:] == k[:-1]
-        twice[:-1] |= k[1:] == k[:-1]
-    k, s = k[twice], sets[order][twice]
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order]
+    """Of one bucket: the sets of each key that two have (key, set_id), and of sets what they may leave out (key null)."""
+    bucket = np.int64(df["bucket"].iloc[0]) << 32
+    sets, keys = (np.frombuffer(b"".join(df[c]), t) for c, t in (("sets", np.int64), ("keys", np.uint32)))
+    order = np.lexsort((sets, keys))
+    k, s = keys[order], sets[order]
     keep = np.ones(len(k), bool)
     keep[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     k, s = k[keep], s[keep]
-    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[begin, len(k)])
-    pairs = []
-    for g in range(2, FEW + 1):
-        at = begin[size == g]
-        for i in range(g):
-            for j in range(i + 1, g):
-                pairs.append(np.column_stack([s[at + i], s[at + j]]))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    many = np.repeat(size, size) > FEW
-    info = np.frombuffer(b"".join(df["info"]), INFO)
-    cut = np.r_[0, np.cumsum(bins_of(info["n"]))]
-    whole = b"".join(df["sketches"])
-    others = len(pairs) + int(many.sum())
-    zero = np.zeros(others, np.int32)
-    return pd.DataFrame({
-        "what": np.r_[np.zeros(len(pairs)), np.ones(many.sum()), np.full(len(info), 2)].astype(np.int32),
-        "a": np.r_[pairs[:, 0], (np.int64(bucket) << 32) | k[many].astype(np.int64), info["doc_id"]],
-        "b": np.r_[pairs[:, 1], s[many], info["set_id"]],
-        "c": np.r_[np.zeros(len(pairs), np.int64), np.repeat(size, size)[many], info["n"]],
-        **{k: np.r_[zero, info[k]] for k in ("even", "odd", "single")},
-        "sketch": [None] * others + [whole[i:j] for i, j in zip(cut, cut[1:])],
-    })
-
-
-def _unneeded_left_out(frequent: DataFrame, info: DataFrame) -> DataFrame:
+    twice = np.zeros(len(k), bool)
+    twice[1:] = k[1:] == k[:-1]
+    twice[:-1] |= twice[1:]
+    info = np.unique(np.frombuffer(b"".join(df["spare"]), SPARE))
+    many, of = (np.frombuffer(b"".join(df[c]), np.int64) for c in ("many_keys", "many_sets"))
+    key = np.r_[bucket | k[twice].astype(np.int64), many]
+    none = np.zeros(len(key), np.int32)
+    whole, empty = np.r_[key, np.zeros(len(info), np.int64)], np.r_[np.zeros(len(key), bool), np.ones(len(info), bool)]
+    return pd.DataFrame({"key": pd.arrays.IntegerArray(whole, empty), "set_id": np.r_[s[twice], of, info["set_id"]], **{c: np.r_[none, info[c]] for c in ("even", "odd", "single")}})
+
+
+def _unneeded_left_out(frequent: DataFrame, spare: DataFrame) -> DataFrame:
     """Frequent keys (key, set_id, size) less those that each set may leave out: its most frequent ones."""
     kept = frequent.withColumn("kind", F.expr("CAST(key & 3 AS INT)"))
     counts = kept.groupBy("set_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)])
     # Most sets may leave out all of their frequent keys; only the others are ranked.
-    needs = counts.join(info, "set_id").filter("n0 > even OR n1 > odd OR n2 > single OR n3 > 0").select("set_id", "even", "odd", "single")
+    needs = counts.join(spare, "set_id").filter("n0 > even OR n1 > odd OR n2 > single OR n3 > 0").select("set_id", "even", "odd", "single")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("rank"), F.col("key").alias("key"))))
     out = F.max(F.expr("CASE kind WHEN 0 THEN even WHEN 1 THEN odd WHEN 2 THEN single ELSE 0 END"))
     lists = kept.join(needs, "set_id").groupBy("set_id", "kind").agg(ordered.alias("keys"), out.alias("out"))
     return lists.select("set_id", F.explode(F.slice("keys", F.col("out") + 1, F.size("keys"))).alias("k")).select("set_id", F.col("k.key").alias("key"))
 
 
-def _near(pairs: DataFrame, info: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that their sizes and sketches don't rule out."""
     def run(batches):
         for b in batches:
@@ -252,16 +281,17 @@ def _near(pairs: DataFrame, info: DataFrame) -> DataFrame:
             m = pa.array([may_link(*r) for r in zip(*cols)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
 
-    side = lambda k, n, x: info.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
-    return pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+    side = lambda k, n, x: known.select(F.col("set_id").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(thrifty(run), "a long, b long")
 
 
 def _linked(common, x, y):
     return 100 * common >= 75 * (x + y - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that link; sets: set_id, n, hashes (sorted, 8 bytes each)."""
+def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, alike: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of sets that link, as a written table; every pair is compared by all its shingles."""
     def run(batches):
         for b in batches:
             ok = []
@@ -272,10 +302,65 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
 
-    return (
-        pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-    )
+    near = written(_near(pairs, known), "near")
+    sets = written(_sets(rows, near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), known, alike), "sets")
+    sides = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+    return written(sides.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long"), "linked")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with their component, of the keys whose sets aren't all in one component."""
+    now = components(links).select(F.col("node").alias("set_id"), "component")
+    placed = members.join(checked_broadcast(now), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    return placed.join(checked_broadcast(apart), "key")
+
+
+def _settled(members: DataFrame, links: DataFrame | None, check) -> tuple[DataFrame, DataFrame]:
+    """Links found among the sets of each key, and the members of frequent keys that these leave in different components.
+
+    members: key, set_id, hub, size (more than one); check: pairs -> those that link. The sets of a key are compared with
+    one of them, the hub. Keys that this joins are done; of the others only sets still apart are compared, and
+    only while the key has few sets.
+    """
+    star = members.filter("set_id != hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    found = check(star)
+    links = found if links is None else links.unionByName(found)
+    rest = written(_open(members, links), "open")
+    few = rest.filter(F.col("size") <= FEW).filter("set_id != hub").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set_id", "component"))).alias("m"))
+    # At most FEW sets each, and none of a component with another of it.
+    pairs = F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.set_id > x.set_id AND y.component != x.component), y -> struct(x.set_id AS a, y.set_id AS b))))")
+    apart = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    found = check(apart)
+    links = written(links.unionByName(found).distinct(), "links")
+    return links, rest.filter(F.col("size") > FEW).select("key", "set_id", "hub", "size")
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """(key, set_id, size, hub) of the keys that several sets have; rows: distinct (key, set_id)."""
+    size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("hub")).filter("size > 1")
+    return rows.join(size, "key").select("key", "set_id", "size", "hub")
+
+
+def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, set_id): of each set of members as many of its rarest shingles as linked sets can't all lack.
+
+    A set of n shingles shares at least three quarters with a linked one, so among its rarest n / 4 + 1, in an
+    order that all sets keep, one is shared. What makes keys frequent, passages that many texts have, comes last here.
+    """
+    def run(batches):
+        for b in batches:
+            ids, hashes = b.column("set_id").to_numpy(), [np.frombuffer(x, np.int64) for x in b.column("hashes").to_pylist()]
+            for i, h in zip(ids, hashes):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i))], ["key", "set_id"])
+
+    asked = members.select("set_id").distinct()
+    tokens = written(sets.join(asked, "set_id").select("set_id", "hashes").mapInArrow(thrifty(run), "key long, set_id long"), "tokens")
+    size = tokens.groupBy("key").agg(F.count("*").alias("size"))
+    order = F.array_sort(F.collect_list(F.struct("size", "key")))
+    lists = tokens.join(size, "key").groupBy("set_id").agg(order.alias("t"))
+    first = F.slice("t", 1, F.expr("CAST(size(t) - ceil(0.75D * size(t)) + 1 AS INT)"))
+    return lists.select("set_id", F.explode(F.filter(first, lambda x: x["size"] > 1)).alias("x")).select(F.col("x.key").alias("key"), "set_id")
 
 
 def _block_links(df: pd.DataFrame) -> pd.DataFrame:
@@ -305,20 +390,20 @@ def _block_links(df: pd.DataFrame) -> pd.DataFrame:
     return found.drop_duplicates(["a", "of"])[["a", "b"]]
 
 
-def _rest_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that comparing with one member has left open; members: key, set_id of frequent keys.
+def _block_pairs(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the sets of frequent keys, compared in blocks; members: key, set_id.
 
     Members joined by any key form a family. Sets of its largest component are told from the others, and only
     these are compared, with all of the family, block by block.
     """
     now = components(links)
     hub = members.groupBy("key").agg(F.min("set_id").alias("hub"))
-    family = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("set_id").alias("b")))
+    family = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
     own = family.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(now.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     size = own.groupBy("family", "component").count()
     largest = size.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("members")).filter("parts > 1")
     # A family has few rows here besides its number of members: a salt tells its blocks apart.
-    member = own.join(F.broadcast(largest) if largest.limit(20_001).count() <= 20_000 else largest, "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    member = own.join(checked_broadcast(largest), "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     member = written(member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(sets, "set_id"), "members")
     out = member.filter("component != main")
     left = out.select("family", "set_id", "component", "n", "hashes", F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("rb"), F.lit(0).alias("side"))
@@ -329,57 +414,57 @@ def _rest_links(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFr
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs."""
-    spark, docs = docs.sparkSession, docs.filter("doc_id IS NOT NULL")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    matched = written(_indexed(docs, buckets).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
-    info = matched.filter("what = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").alias("n"))
-    # One row for each set.
-    known = matched.filter("what = 2").groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("doc_id"), F.max("c").alias("n"), *[F.max(k).alias(k) for k in ("even", "odd", "single")], F.first("sketch").alias("sketch"))
-    known = written(known, "known")
-    pairs = matched.filter("what = 0").select("a", "b")
-    members = _unneeded_left_out(matched.filter("what = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id"), F.col("c").alias("size")), known.drop("sketch", "n", "doc_id"))
-    members = written(members, "left")
-    alone = members.groupBy("key").agg(F.count("*").alias("k"), F.min("set_id").alias("hub")).filter("k > 1")
-    members = written(members.join(alone, "key").select("key", "set_id", "hub"), "frequent")
-    star = members.filter("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-    pairs = written(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(star).distinct(), known), "pairs")
-    # The shingles of one document for each set that is still asked for, found by a filter of bounded size, then exactly.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(members.select("set_id")).distinct()
-    one = written(wanted.join(known.select("set_id", "doc_id"), "set_id"), "wanted")
-    sets = written(_sets(docs, one), "sets")
-    links = written(_verified(pairs, sets), "linked")
-    if not members.isEmpty():
-        links = written(links.unionByName(_rest_links(members.select("key", "set_id"), links, sets)), "linked")
-    roots = components(links)
-    placed = info.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("component", "set_id"))
-    # Without shingles a document is its own component.
-    smallest = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).filter("k > 1")
-    return (
-        placed.join(smallest, (placed["root"] == smallest["root"]) & (placed["n"] > 0), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, null if none has one), a row for each of docs."""
+    spark, rows = docs.sparkSession, _rows(docs)
+    info = written(_described(rows), "described")
+    # Different sets that one hash takes for equal: about one pair among 6 billion documents.
+    alike = info.filter("n > 0").groupBy("set_id").agg(F.min("second").alias("p"), F.max("second").alias("q")).filter("p != q").select("set_id")
+    alike = np.sort(np.array([r.set_id for r in alike.limit(100_000).collect()], np.int64))
+    if len(alike):
+        info = info.mapInArrow(lambda batches: (b.set_column(b.schema.get_field_index("set_id"), "set_id", pa.array(_named(b.column("set_id").to_numpy().view(np.uint64), b.column("second").to_numpy().view(np.uint64), alike))) for b in batches), info.schema)
+    known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "known")
+    total = known.agg(F.sum("n")).head()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * total // BUCKET_BYTES, 8)
+    matched = written(_indexed(rows, buckets, alike).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
+    spare = matched.filter("key IS NULL").select("set_id", "even", "odd", "single").distinct()
+    members = written(_by_key(matched.filter("key IS NOT NULL").select("key", "set_id").distinct()), "members")
+    kept = _unneeded_left_out(members.filter(F.col("size") > FEW), spare)
+    members = written(members.filter(F.col("size") <= FEW).unionByName(_by_key(kept.select("key", "set_id"))), "kept")
+
+    check = lambda pairs: _verified(pairs, known, rows, alike)
+    links, rest = _settled(members, None, check)
+    if not rest.isEmpty():
+        sets = written(_sets(rows, rest.select("set_id").distinct(), known, alike), "sets")
+        links, rest = _settled(written(_by_key(_rarest(rest, sets)), "rarest"), links, check)
+        if not rest.isEmpty():
+            links = written(links.unionByName(_block_pairs(rest.select("key", "set_id"), links, sets)), "links")
+    roots = components(links).select(F.col("node").alias("set_id"), "component")
+    placed = known.select("set_id", "doc_id", "copies").join(checked_broadcast(roots), "set_id", "left").withColumn("root", F.coalesce("component", "set_id"))
+    # Of sets with neither links nor copies each document is its own component.
+    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("k")).filter("k > 1")
+    classes = placed.join(smallest, "root").select("set_id", "component_id")
+    joined = info.select("doc_id", "set_id", "n").join(checked_broadcast(classes), (info["set_id"] == classes["set_id"]) & (info["n"] > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 FILTER_BITS = 24
 
 
-def _sets(docs: DataFrame, one: DataFrame) -> DataFrame:
-    """(set_id, n, hashes) of the documents in `one` (set_id, doc_id)."""
-    bits = docs.sparkSession.sparkContext.broadcast(hash_bit_set(one.select(F.xxhash64("doc_id").alias("h")), "h", FILTER_BITS))
+def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarray) -> DataFrame:
+    """(set_id, n, hashes) of the wanted sets, from one document of each; its text is found by the text's own hash."""
+    one = written(wanted.join(known.select("set_id", "rid"), "set_id"), "wanted")
 
     def run(batches):
         for b in batches:
-            m = held(bits.value, b.column("h").to_numpy().view(np.uint64), FILTER_BITS)
-            if m.any():
-                b = b.filter(pa.array(m))
-                for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
-                    of, h, n = shingle_sets(buf, starts, ends)
-                    cut = np.r_[0, np.cumsum(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(set_ids(of, h, n).view(np.int64)), pa.array(n.astype(np.int64)), pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["doc_id", "set_id", "n", "hashes"])
-
-    found = text_rows(docs, F.xxhash64(F.col("doc_id").cast("long")).alias("h")).mapInArrow(run, "doc_id long, set_id long, n long, hashes binary")
-    return found.join(one, ["doc_id", "set_id"]).groupBy("set_id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+                of, h, n = shingle_sets(buf, starts, ends)
+                fp = _named(set_ids(of, h, n), set_ids(of, mix(h), n), alike)
+                cut = np.r_[0, np.cumsum(n)]
+                first = np.unique(fp, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[first]), pa.array(n[first].astype(np.int64)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "n", "hashes"])
+
+    found = with_keys(rows, one, "rid", FILTER_BITS).select("rid", "text").mapInArrow(thrifty(run), "set_id long, n long, hashes binary")
+    return found.join(one.select("set_id"), "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Where operators cut lineage, and broadcast of bounded bit sets."""
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set, as in local tests."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-fundtrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,3 +62,39 @@ FEW_IDS = 300_000
 def checked_broadcast(ids: DataFrame) -> DataFrame:
     """ids with a broadcast hint if they are counted to be few, else without one, for a shuffled join."""
     return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
+#: Keys up to which rows are picked by a broadcast filter.
+FEW_KEYS = 4_000_000
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """Rows whose column (a 64-bit hash) is among the keys, and perhaps some others; few keys are broadcast as a filter of
+    2 ** bits bits, many are joined, so the filter never fills up."""
+    if keys.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+        return rows.join(keys.select(column).distinct(), column, "left_semi")
+    words = rows.sparkSession.sparkContext.broadcast(hash_bit_set(keys, column, bits))
+
+    def run(batches):
+        for b in batches:
+            m = held(words.value, b.column(column).to_numpy().view(np.uint64), bits)
+            if m.any():
+                yield b.filter(pa.array(m))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def thrifty(run):
+    """run, a function of Arrow batches, that gives memory back to the system when its task ends: a worker outlives it."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

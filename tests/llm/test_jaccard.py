@@ -57,7 +57,28 @@ def test_empty_table_and_repeated_rows(documents):
     assert jaccard.join(documents([])).count() == 0
     rows = jaccard.join(documents([(4, "a b c d e f", "en"), (4, "a b c d e f", "en")])).collect()
     assert [tuple(r) for r in rows] == [(4, 2, 4), (4, 2, 4)]
-    assert [r.doc_id for r in jaccard.join(documents([(None, "a b c", "en"), (7, "a b c", None)])).collect()] == [7]
+    rows = jaccard.join(documents([(None, "a b c", "en"), (7, "a b c", None), (None, "x y", "en"), (None, None, "en")])).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == sorted([(None, 1, 7), (7, 1, 7), (None, 1, None), (None, 0, None)], key=str)
+
+
+def test_passages_that_many_texts_have(documents, monkeypatch):
+    """Half of each text is one passage, so its keys are frequent and can't all be left out; some texts are near copies besides."""
+    passage = words(8, 60, 10**6)
+    texts = [words(500 + k // 2, 50, 10**6) + " " + passage + (" x" * (k % 2)) for k in range(160)]
+    df = documents(texts + [edited(texts[0], 0.02, k) for k in range(30)])
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    asked = []
+    rarest = jaccard._rarest
+    monkeypatch.setattr(jaccard, "_rarest", lambda *a: asked.append(1) or rarest(*a))
+    assert got(jaccard.join(df)) == brute(rows) and asked
+
+
+def test_sets_that_one_hash_takes_for_equal():
+    """Their second hash tells them apart; all others keep their id."""
+    first, second = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64)
+    assert jaccard._named(first, second, np.zeros(0, np.int64)).tolist() == [5, 5, 9]
+    a, b, c = jaccard._named(first, second, np.array([5])).tolist()
+    assert a != b and c == 9
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 40, 200])
