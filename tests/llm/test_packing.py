@@ -55,14 +55,57 @@ def best_fit(lengths, size):
     return len(gaps)
 
 
-def test_as_many_sequences_as_best_fit_row_by_row():
-    rng = np.random.default_rng(0)
-    for size in (10, 50, 256):
-        lengths = rng.integers(1, size + 1, 400).tolist()
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        placed = packing.supersteps(counts, size)
-        assert sum(p[2] for p in placed) == 400
-        assert len({p[3] + i for p in placed for i in range(p[2])}) <= best_fit(lengths, size)
+def made(spark, lengths):
+    return spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+@pytest.mark.parametrize("size,swept", [(50, 10**6), (256, 70)])
+def test_as_many_sequences_as_best_fit_row_by_row(spark, monkeypatch, size, swept):
+    """Through Spark, with one partition and with several, of which gaps look into lower ones."""
+    monkeypatch.setattr(packing, "SWEPT_ROWS", swept)
+    lengths = np.random.default_rng(size).integers(1, size + 1, 400).tolist()
+    rows = packing.pack(made(spark, lengths), size).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert len(by) <= 1.01 * best_fit(lengths, size) + 1
+
+
+def test_one_length_and_full_pieces(spark):
+    """A run of equal lengths that holds everything, and pieces that leave no gap."""
+    rows = packing.pack(made(spark, [7] * 300 + [64] * 5), 64).collect()
+    assert len(rows) == 305 and len({r.sequence_id for r in rows}) == 5 + -(-300 // 9)
+
+
+def test_sweep_gives_each_gap_the_largest_piece():
+    role, of, offset = packing.sweep(np.array([3, 4, 5, 6, 9]), np.array([False, False, True, False, True]), 10)
+    assert role.tolist() == [packing.PLACED, packing.PLACED, packing.SHRUNK, packing.PLACED, packing.SHRUNK]
+    assert of.tolist() == [4, 2, -1, 4, -1] and offset.tolist() == [7, 5, 1, 1, 0]
+
+
+def test_gaps_look_into_the_nearest_lower_partitions():
+    meets = packing.across([(0, 0, 5, None, 2), (1, 1, 2, 7, 9), (2, 3, 0, 20, None)])
+    # The gap of 7 surely holds three pieces of 2; the gaps of 20 hold two of 9, then two more of 2.
+    assert meets == [(1, 0, 0, 5, 3, 3), (2, 0, 1, 2, 2, 2), (2, 1, 0, 2, 2, 10)]
+
+
+def test_units_are_what_the_tokenizer_encodes(tokenizer):
+    """Random strings of awkward characters: units one by one give the ids of the whole."""
+    rng = np.random.default_rng(4)
+    alphabet = list("aB zé.,;'<|>12_-—ßİŉſ×÷Σσ\u0301\u00a0\t\n=\u0338É")
+    for _ in range(300):
+        t = "".join(rng.choice(alphabet, rng.integers(1, 40)))
+        raw = np.frombuffer(t.encode(), np.uint8)
+        low, first, last, _, n = packing.units(raw, np.array([0]), np.array([len(raw)]))
+        ids = [i for a, b in zip(first, last) for i in tokenizer.encode(low[a:b].tobytes().decode(), add_special_tokens=False).ids]
+        assert n.tolist() == [len(first)] and ids == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_empty_table_and_repeated_rows(documents):
