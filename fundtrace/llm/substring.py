@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
-from fundtrace.llm.store import hash_bit_set, held, written
+from fundtrace.llm.store import hash_bit_set, held, thrifty, written
 from fundtrace.llm.text import gram_hashes, mix, pieces, powers, window_min, word_hashes, word_spans
 
 WINDOW = 35
@@ -82,7 +82,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]) if len(g) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(g[cut].view(np.int64)), pa.array(c[cut].view(np.int64)), pa.array(np.diff(np.r_[cut, len(g)]))], ["gram", "content", "n"])
 
-    kinds = rows.mapInArrow(run, "gram long, content long, n long").groupBy("gram", "content").agg(F.sum("n").alias("n"))
+    kinds = rows.mapInArrow(thrifty(run), "gram long, content long, n long").groupBy("gram", "content").agg(F.sum("n").alias("n"))
     return kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
 
 
@@ -110,7 +110,7 @@ def _crowded_windows(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray)
                 content, n = np.unique(spans_hash(words, (base[of] + start)[alone], (count + WINDOW - 1)[alone]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(n)], ["content", "n"])
 
-    return rows.mapInArrow(run, "content long, n long").groupBy("content").agg(F.sum("n").alias("n")).filter("n > 1").select("content")
+    return rows.mapInArrow(thrifty(run), "content long, n long").groupBy("content").agg(F.sum("n").alias("n")).filter("n > 1").select("content")
 
 
 def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray, again: np.ndarray) -> DataFrame:
@@ -124,12 +124,13 @@ def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray, again: np
                 words, base, of, start, count, gram, alone = _parts(buf, starts, ends, repeated, crowded)
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
                 m = ~alone | held(again, content, FILTER_BITS)
-                key = np.where(alone, content, gram)[m]
+                # A window dealt singly is known by two hashes, as all others are by their gram and content.
+                key = np.where(alone, spans_hash(mix(words), base[of] + start, count + WINDOW - 1) if alone.any() else content, gram)[m]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[of[m]]), pa.array(start[m].astype(np.int32)), pa.array(count[m].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content[m].view(np.int64))],
                     ["rid", "start", "windows", "key", "content"])
 
-    return rows.mapInArrow(run, "rid long, start int, windows int, key long, content long")
+    return rows.mapInArrow(thrifty(run), "rid long, start int, windows int, key long, content long")
 
 
 def _contents(rows: DataFrame, varied: np.ndarray, crowded: np.ndarray) -> DataFrame:
@@ -149,7 +150,7 @@ def _contents(rows: DataFrame, varied: np.ndarray, crowded: np.ndarray) -> DataF
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(content[first].view(np.int64)), pa.array(texts, pa.binary())], ["key", "content", "words"])
 
-    return rows.mapInArrow(run, "key long, content long, words binary")
+    return rows.mapInArrow(thrifty(run), "key long, content long, words binary")
 
 
 class WaveletMatrix:
@@ -269,8 +270,7 @@ RESULT = "key long, content long, mask long"
 
 
 def _shard(counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    texts = texts.drop_duplicates("content")
-    rows = counts.merge(texts, on="content")
+    rows = counts.merge(texts[["key", "content", "words"]], on=["key", "content"])
     if not len(rows):
         return pd.DataFrame({"key": np.zeros(0, np.int64), "content": np.zeros(0, np.int64), "mask": np.zeros(0, np.int64)})
     index = ShardIndex([np.frombuffer(w, np.uint64) for w in rows["words"]], rows["n"].to_numpy())
@@ -301,7 +301,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-searched.count() // SHARD))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     counts = searched.select(shard, "key", "content", "n", "windows")
-    texts = _contents(rows, varied, crowded).select(shard, "content", "words")
+    # A task gives a content once; of all tasks' the shard gets one.
+    texts = _contents(rows, varied, crowded).dropDuplicates(["key", "content"]).select(shard, "key", "content", "words")
     found = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInPandas(_shard, RESULT)
     masks = written(found.filter("mask != 0").union(plain), "masks")
     return moved.select("rid", "start", "key", "content").join(masks, ["key", "content"]).groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
@@ -315,12 +316,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _kept(words: list[bytes], places) -> list[bytes]:
     cover = np.zeros(len(words) + 1, np.int64)
-    for p in places:
-        mask = p["mask"]
-        for k in range(mask.bit_length()):
-            if mask >> k & 1:
-                cover[p["start"] + k] += 1
-                cover[p["start"] + k + WINDOW] -= 1
+    start, mask = np.array([p["start"] for p in places], np.int64), np.array([p["mask"] for p in places], np.int64)
+    of, k = np.nonzero((mask[:, None] >> np.arange(WINDOW - GRAM + 1)) & 1)
+    first = np.unique(start[of] + k)
+    cover[first] += 1
+    cover[first + WINDOW] -= 1
     gone = np.cumsum(cover)[:-1] > 0
     return [w for w, g in zip(words, gone.tolist()) if not g]
 
@@ -362,8 +362,8 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
                 kept = [w if p is None else _kept(w, p) for w, p in zip(words, part.column("places").to_pylist())]
                 yield result(part.column("doc_id"), kept, [len(w) for w in words])
 
-    touched = rows.mapInArrow(asked, rows.schema).join(places, "rid", "left").select("doc_id", "text", "places")
-    return rows.mapInArrow(whole, OUT).union(touched.mapInArrow(cut, OUT))
+    touched = rows.mapInArrow(thrifty(asked), rows.schema).join(places, "rid", "left").select("doc_id", "text", "places")
+    return rows.mapInArrow(thrifty(whole), OUT).union(touched.mapInArrow(thrifty(cut), OUT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
