@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
 from fundtrace.llm.graph import components
-from fundtrace.llm.store import checked_broadcast, thrifty, with_keys, written
+from fundtrace.llm.store import checked_broadcast, counted, thrifty, with_keys, written
 from fundtrace.llm.text import LOWER, gram_hashes, mix, pieces, word_hashes, word_spans
 
 SHINGLE = 5
@@ -238,11 +238,12 @@ def _indexed(rows: DataFrame, buckets: int, alike: np.ndarray) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(thrifty(run), "bucket int, keys binary, sets binary, spare binary, many_keys binary, many_sets binary")
 
 
-MATCHED = "key long, set_id long, even int, odd int, single int"
+MATCHED = "key long, set_id long, size long, hub long, even int, odd int, single int"
 
 
 def _match(df: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the sets of each key that two have (key, set_id), and of sets what they may leave out (key null)."""
+    """Of one bucket: the sets of each key that two have (key, set_id, size, hub), those that a task kept apart (size null), and
+    of sets what they may leave out (key null)."""
     bucket = np.int64(df["bucket"].iloc[0]) << 32
     sets, keys = (np.frombuffer(b"".join(df[c]), t) for c, t in (("sets", np.int64), ("keys", np.uint32)))
     order = np.lexsort((sets, keys))
@@ -255,10 +256,17 @@ def _match(df: pd.DataFrame) -> pd.DataFrame:
     twice[:-1] |= twice[1:]
     info = np.unique(np.frombuffer(b"".join(df["spare"]), SPARE))
     many, of = (np.frombuffer(b"".join(df[c]), np.int64) for c in ("many_keys", "many_sets"))
-    key = np.r_[bucket | k[twice].astype(np.int64), many]
-    none = np.zeros(len(key), np.int32)
-    whole, empty = np.r_[key, np.zeros(len(info), np.int64)], np.r_[np.zeros(len(key), bool), np.ones(len(info), bool)]
-    return pd.DataFrame({"key": pd.arrays.IntegerArray(whole, empty), "set_id": np.r_[s[twice], of, info["set_id"]], **{c: np.r_[none, info[c]] for c in ("even", "odd", "single")}})
+    k, s = k[twice], s[twice]
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[begin, len(k)])
+    n, m = len(k), len(many)
+    total = n + m + len(info)
+    after = lambda *x: np.concatenate([*x, np.zeros(total - sum(map(len, x)), np.int64)])
+    null = lambda first: np.arange(total) >= first
+    return pd.DataFrame({
+        "key": pd.arrays.IntegerArray(after(bucket | k.astype(np.int64), many), null(n + m)), "set_id": np.r_[s, of, info["set_id"]],
+        "size": pd.arrays.IntegerArray(after(np.repeat(size, size)), null(n)), "hub": pd.arrays.IntegerArray(after(np.repeat(s[begin], size)), null(n)),
+        **{c: np.r_[np.zeros(n + m, np.int32), info[c]] for c in ("even", "odd", "single")}})
 
 
 def _unneeded_left_out(frequent: DataFrame, spare: DataFrame) -> DataFrame:
@@ -291,7 +299,7 @@ def _linked(common, x, y):
 
 
 def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, alike: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of sets that link, as a written table; every pair is compared by all its shingles."""
+    """Pairs (a, b) of sets that link; every pair is compared by all its shingles."""
     def run(batches):
         for b in batches:
             ok = []
@@ -302,38 +310,31 @@ def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, alike: np.nda
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
 
-    near = written(_near(pairs, known), "near")
+    near, seen = counted(_near(pairs, known), "near")
+    if not seen["n"]:
+        return near
     sets = written(_sets(rows, near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), known, alike), "sets")
     sides = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
-    return written(sides.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long"), "linked")
+    return sides.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long")
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with their component, of the keys whose sets aren't all in one component."""
-    now = components(links).select(F.col("node").alias("set_id"), "component")
-    placed = members.join(checked_broadcast(now), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    return placed.join(checked_broadcast(apart), "key")
-
+def _settled(members: DataFrame, roots: DataFrame | None, check) -> tuple[DataFrame, DataFrame, int]:
+    """Components with what links the sets of each key, and the members of frequent keys that are in different ones, and their number.
 
-def _settled(members: DataFrame, links: DataFrame | None, check) -> tuple[DataFrame, DataFrame]:
-    """Links found among the sets of each key, and the members of frequent keys that these leave in different components.
-
-    members: key, set_id, hub, size (more than one); check: pairs -> those that link. The sets of a key are compared with
-    one of them, the hub. Keys that this joins are done; of the others only sets still apart are compared, and
-    only while the key has few sets.
+    members: key, set_id, hub, size (more than one); roots: components so far; check: pairs -> those that link. The sets of
+    a key are compared with one of them, the hub. Keys that this joins are done; of the others only sets
+    still apart are compared, and only while the key has few sets.
     """
     star = members.filter("set_id != hub").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-    found = check(star)
-    links = found if links is None else links.unionByName(found)
-    rest = written(_open(members, links), "open")
+    roots = components(check(star), roots)
+    placed = members.join(checked_broadcast(roots.withColumnRenamed("node", "set_id")), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    rest, seen = counted(placed.join(apart, "key"), "open", frequent=F.count_if(F.col("size") > FEW))
     few = rest.filter(F.col("size") <= FEW).filter("set_id != hub").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set_id", "component"))).alias("m"))
     # At most FEW sets each, and none of a component with another of it.
     pairs = F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.set_id > x.set_id AND y.component != x.component), y -> struct(x.set_id AS a, y.set_id AS b))))")
-    apart = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
-    found = check(apart)
-    links = written(links.unionByName(found).distinct(), "links")
-    return links, rest.filter(F.col("size") > FEW).select("key", "set_id", "hub", "size")
+    roots = components(check(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()), roots)
+    return roots, rest.filter(F.col("size") > FEW).select("key", "set_id", "hub", "size"), seen["frequent"]
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
@@ -390,13 +391,12 @@ def _block_links(df: pd.DataFrame) -> pd.DataFrame:
     return found.drop_duplicates(["a", "of"])[["a", "b"]]
 
 
-def _block_pairs(members: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the sets of frequent keys, compared in blocks; members: key, set_id.
+def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the sets of frequent keys, compared in blocks; members: key, set_id; now: components so far.
 
     Members joined by any key form a family. Sets of its largest component are told from the others, and only
     these are compared, with all of the family, block by block.
     """
-    now = components(links)
     hub = members.groupBy("key").agg(F.min("set_id").alias("hub"))
     family = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
     own = family.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(now.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -427,18 +427,24 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * total // BUCKET_BYTES, 8)
     matched = written(_indexed(rows, buckets, alike).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
     spare = matched.filter("key IS NULL").select("set_id", "even", "odd", "single").distinct()
-    members = written(_by_key(matched.filter("key IS NOT NULL").select("key", "set_id").distinct()), "members")
-    kept = _unneeded_left_out(members.filter(F.col("size") > FEW), spare)
-    members = written(members.filter(F.col("size") <= FEW).unionByName(_by_key(kept.select("key", "set_id"))), "kept")
+    # Keys that a task kept apart have members in many buckets; all others are complete.
+    apart = matched.filter("key IS NOT NULL AND size IS NULL").select("key", "set_id")
+    there = matched.filter("size IS NOT NULL").select("key", "set_id", "size", "hub")
+    keys = checked_broadcast(written(apart.select("key").distinct(), "apart"))
+    whole = there.join(keys, "key", "left_anti")
+    scattered = _by_key(there.join(keys, "key", "left_semi").select("key", "set_id").union(apart).distinct())
+    members = written(whole.unionByName(scattered.select(*whole.columns)), "members")
+    kept = _by_key(_unneeded_left_out(members.filter(F.col("size") > FEW), spare).select("key", "set_id"))
+    members = written(members.filter(F.col("size") <= FEW).unionByName(kept), "kept")
 
     check = lambda pairs: _verified(pairs, known, rows, alike)
-    links, rest = _settled(members, None, check)
-    if not rest.isEmpty():
+    roots, rest, n = _settled(members, None, check)
+    if n:
         sets = written(_sets(rows, rest.select("set_id").distinct(), known, alike), "sets")
-        links, rest = _settled(written(_by_key(_rarest(rest, sets)), "rarest"), links, check)
-        if not rest.isEmpty():
-            links = written(links.unionByName(_block_pairs(rest.select("key", "set_id"), links, sets)), "links")
-    roots = components(links).select(F.col("node").alias("set_id"), "component")
+        roots, rest, n = _settled(written(_by_key(_rarest(rest, sets)), "rarest"), roots, check)
+        if n:
+            roots = components(_block_pairs(rest.select("key", "set_id"), roots, sets), roots)
+    roots = roots.select(F.col("node").alias("set_id"), "component")
     placed = known.select("set_id", "doc_id", "copies").join(checked_broadcast(roots), "set_id", "left").withColumn("root", F.coalesce("component", "set_id"))
     # Of sets with neither links nor copies each document is its own component.
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("k")).filter("k > 1")
@@ -452,7 +458,7 @@ FILTER_BITS = 24
 
 def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarray) -> DataFrame:
     """(set_id, n, hashes) of the wanted sets, from one document of each; its text is found by the text's own hash."""
-    one = written(wanted.join(known.select("set_id", "rid"), "set_id"), "wanted")
+    one, seen = counted(wanted.join(known.select("set_id", "rid"), "set_id"), "wanted")
 
     def run(batches):
         for b in batches:
@@ -463,7 +469,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarra
                 first = np.unique(fp, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[first]), pa.array(n[first].astype(np.int64)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "n", "hashes"])
 
-    found = with_keys(rows, one, "rid", FILTER_BITS).select("rid", "text").mapInArrow(thrifty(run), "set_id long, n long, hashes binary")
+    found = with_keys(rows, one, seen["n"], "rid", FILTER_BITS).select("rid", "text").mapInArrow(thrifty(run), "set_id long, n long, hashes binary")
     return found.join(one.select("set_id"), "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 

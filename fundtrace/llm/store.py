@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,13 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict[str, int]]:
+    """written(df), its number of rows (n) and other aggregates, all from the one job that writes it."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]), name)
+    return table, seen.get
+
+
 def key_slots(keys: np.ndarray, bits: int) -> np.ndarray:
     """Slots of 64-bit hashes, which are their own random bits."""
     return (keys.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
@@ -59,19 +66,19 @@ def held(words: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 FEW_IDS = 300_000
 
 
-def checked_broadcast(ids: DataFrame) -> DataFrame:
-    """ids with a broadcast hint if they are counted to be few, else without one, for a shuffled join."""
-    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+def checked_broadcast(ids: DataFrame, n: int | None = None) -> DataFrame:
+    """ids with a broadcast hint if they are counted to be few, else without one, for a shuffled join; n: at least their number, if known."""
+    return F.broadcast(ids) if (ids.limit(FEW_IDS + 1).count() if n is None else n) <= FEW_IDS else ids
 
 
 #: Keys up to which rows are picked by a broadcast filter.
 FEW_KEYS = 4_000_000
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """Rows whose column (a 64-bit hash) is among the keys, and perhaps some others; few keys are broadcast as a filter of
+def with_keys(rows: DataFrame, keys: DataFrame, n: int, column: str, bits: int) -> DataFrame:
+    """Rows whose column (a 64-bit hash) is among the n keys, and perhaps some others; few keys are broadcast as a filter of
     2 ** bits bits, many are joined, so the filter never fills up."""
-    if keys.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+    if n > FEW_KEYS:
         return rows.join(keys.select(column).distinct(), column, "left_semi")
     words = rows.sparkSession.sparkContext.broadcast(hash_bit_set(keys, column, bits))
 
