@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundtrace.llm.store import thrifty
+
 WINDOW = 13
 #: Windows for one automaton; a benchmark with more is scanned in that many rounds, so no task holds more.
 MAX_WINDOWS = 400_000
@@ -42,7 +44,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], ["window", "item"])
 
     cols = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(cut, "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return cols.mapInArrow(thrifty(cut), "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _scan(docs: DataFrame, found: list) -> DataFrame:
@@ -78,7 +80,7 @@ def _scan(docs: DataFrame, found: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("text", F.isnull("text"))).mapInArrow(run, RESULT)
+    return rows.withColumn("row", F.xxhash64("text", F.isnull("text"))).mapInArrow(thrifty(run), RESULT)
 
 
 def covered(spans) -> int:
@@ -121,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
                  pa.array([h > 0 and ONE_IN * h >= n for h, n in zip(hits, b.column("n_words").to_pylist())], pa.bool_()), pa.array(spans, pa.list_(pa.int32())), b.column("items")],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
-    return matches(docs, benchmark, max_windows).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
+    return matches(docs, benchmark, max_windows).mapInArrow(thrifty(digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
 
 
 CONTRACT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

@@ -5,10 +5,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundtrace.llm.store import thrifty
 from fundtrace.llm.text import LOWER, pieces, word_hashes, word_spans
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 BITS = 12
+#: Texts whose vectors a task holds at a time.
+VECTOR_ROWS = 128
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -16,21 +19,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+#: Values of a sampled column; of more, the most frequent are learned.
+MOST_VALUES = 200
+
+
 def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `by`, chosen by a hash of doc_id; all rows of a rare value. `by` isn't null."""
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    """About `most` rows of each value of `by`, chosen by a hash of doc_id; all rows of a rare value. `by` isn't null.
+
+    At most about MOST_VALUES * most rows, from the most frequent values (of equally frequent ones, the first).
+    """
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(MOST_VALUES).collect()}
     if not counts:
         return rows
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
-    return rows.filter(F.pmod(F.xxhash64(F.lit(71), "doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col(by)) * 1_000_000)
+    return rows.filter(F.pmod(F.xxhash64(F.lit(71), "doc_id"), F.lit(1_000_000)) < F.try_element_at(rate, F.col(by)) * 1_000_000)
 
 
 def vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A row of 2 ** BITS square roots of hashed 1- to 3-gram counts for each text, scaled to length 1."""
     n = len(starts)
     low = (_LOWER[buf] if lower else buf).astype(np.uint32)
-    of = np.repeat(np.arange(n, dtype=np.int64) << BITS, ends - starts)
-    counts = np.zeros(n << BITS, np.int64)
+    of = np.repeat(np.arange(n, dtype=np.int32) << BITS, ends - starts)
+    counts = np.zeros(n << BITS, np.float32)
     x = np.zeros(len(low), np.uint32)
     for size in (1, 2, 3):
         m = len(low) - size + 1
@@ -40,13 +50,13 @@ def vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         h = (x + np.uint32(size)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
-        key = of[:m] + (h >> np.uint32(32 - BITS))
+        key = of[:m] + (h >> np.uint32(32 - BITS)).astype(np.int32)
         if n > 1:
             key = key[of[:m] == of[size - 1 :]]
         counts += np.bincount(key, minlength=n << BITS)
-    v = np.sqrt(counts.astype(np.float32)).reshape(n, 1 << BITS)
-    norm = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.maximum(norm, 1e-9)
+    v = np.sqrt(counts, out=counts).reshape(n, 1 << BITS)
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
+    return v
 
 
 def repeat_share(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,16 +72,19 @@ def sample_vectors(docs: DataFrame, target: str, make=vectors) -> tuple[np.ndarr
     def run(batches):
         for b in batches:
             at = 0
-            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
+            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"), rows=VECTOR_ROWS):
                 v = make(buf, starts, ends).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(target)[at : at + len(ids)], pa.array([x.tobytes() for x in v], pa.binary())], ["doc_id", target, "v"])
                 at += len(ids)
 
     cols = docs.select("doc_id", "text", target)
-    rows = cols.mapInArrow(run, f"doc_id long, {target} {dict(cols.dtypes)[target]}, v binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = cols.mapInArrow(thrifty(run), f"doc_id long, {target} {dict(cols.dtypes)[target]}, v binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return np.zeros((0, 1 << BITS), np.float32), []
-    return np.frombuffer(b"".join(rows["v"]), np.float16).reshape(len(rows), -1).astype(np.float32), rows[target].tolist()
+    out = np.empty((len(rows), len(rows["v"].iloc[0]) // 2), np.float32)
+    for i, v in enumerate(rows["v"]):
+        out[i] = np.frombuffer(v, np.float16)
+    return out, rows[target].tolist()
 
 
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.dom import content, match, parse, skeleton
-from fundtrace.llm.store import written
+from fundtrace.llm.store import thrifty, written
 
 REFERENCES = 3
 MIN_PAGES = 4
@@ -37,7 +37,7 @@ def _skeletons(pages: DataFrame) -> DataFrame:
             trees = [json.dumps(skeleton(parse(x))) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, tree string")
+    return pages.select("host", "html").mapInArrow(thrifty(run), "host string, tree string")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def templates(pages: DataFrame) -> DataFrame:
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["host", "digest", "h"])
 
-    votes = known.select("host", "html", "h").join(trees, "host").mapInArrow(vote, "host string, digest string, h long").distinct().groupBy("host", "digest").agg(F.count("*").alias("k"))
+    votes = known.select("host", "html", "h").join(trees, "host").mapInArrow(thrifty(vote), "host string, digest string, h long").distinct().groupBy("host", "digest").agg(F.count("*").alias("k"))
     return votes.join(counts.select("host", "n"), "host").filter(F.col("k") >= SHARE * F.col("n")).groupBy("host").agg(F.collect_list("digest").alias("template"))
 
 
@@ -80,7 +80,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [content(parse(x), set(t or ())) if x else "" for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return known.select("page_id", "url", "html", "host").join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return known.select("page_id", "url", "html", "host").join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.features import held_out, sample_vectors, sampled, text_rows, vectors
+from fundtrace.llm.features import VECTOR_ROWS, held_out, sample_vectors, sampled, text_rows, vectors
+from fundtrace.llm.store import thrifty
 from fundtrace.llm.text import pieces
 
 PER_LANGUAGE = 1200
@@ -29,14 +30,13 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Weights and bias of a squared-hinge linear SVM; y is -1 or 1, both sides weigh the same. Accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = before = np.zeros(x.shape[1], np.float32)
+    w = before = np.zeros(x.shape[1] + 1, np.float32)
     rate = 1.0 / (2.0 * 2.0 + penalty)
     for i in range(steps):
         ahead = w + i / (i + 3) * (w - before)
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        before, w = w, ahead - rate * (penalty * ahead - 2 * x.T @ (share * y * slack))
+        pull = share * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        before, w = w, ahead - rate * (penalty * ahead - 2 * np.append(pull @ x, pull.sum()))
     return w
 
 
@@ -112,13 +112,13 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
     def run(batches):
         for b in batches:
             at = 0
-            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
+            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"), rows=VECTOR_ROWS):
                 n = len(ids)
                 lang, score = _judged(model.value, buf, starts, ends)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[at : at + n], b.column("held_out")[at : at + n], pa.array(lang.tolist(), pa.string()), pa.array(score.astype(float))], ["doc_id", "held_out", "lang_pred", "score"])
                 at += n
 
-    return text_rows(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return text_rows(docs, held_out().alias("held_out")).mapInArrow(thrifty(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -127,10 +127,10 @@ def accepted(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
 
     def run(batches):
         for b in batches:
-            known = [_judged(model.value, buf, starts, ends)[0] != "und" for _, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"))]
+            known = [_judged(model.value, buf, starts, ends)[0] != "und" for _, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"), rows=VECTOR_ROWS)]
             yield b.filter(pa.array(np.concatenate(known) if known else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

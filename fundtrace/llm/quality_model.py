@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.features import BITS, held_out, repeat_share, sample_vectors, sampled, text_rows, vectors
+from fundtrace.llm.features import BITS, VECTOR_ROWS, held_out, repeat_share, sample_vectors, sampled, text_rows, vectors
+from fundtrace.llm.store import thrifty
 from fundtrace.llm.text import pieces
 
 PER_GRADE = 2000
@@ -20,10 +21,8 @@ GRADES = 3
 
 
 def text_vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashed n-grams of the text as it is; one slot holds what they don't tell, how many words repeat the one before."""
-    v = vectors(buf, starts, ends, lower=False)
-    v[:, 0] = repeat_share(buf, starts, ends)
-    return v * 4
+    """Hashed n-grams of the text as it is, and behind them a column for what they don't tell: how many words repeat the one before."""
+    return 4 * np.column_stack([vectors(buf, starts, ends, lower=False), repeat_share(buf, starts, ends).astype(np.float32)])
 
 
 def _sigmoid(z):
@@ -68,14 +67,14 @@ def grade(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Da
     if len(set(y)) > 1:
         w, cuts = fit(x, np.array(y, np.int64))
     else:
-        w, cuts = np.zeros(1 << BITS), np.log([0.5, 2.0])
+        w, cuts = np.zeros((1 << BITS) + 1), np.log([0.5, 2.0])
     model = docs.sparkSession.sparkContext.broadcast((w, cuts))
 
     def run(batches):
         w, cuts = model.value
         for b in batches:
             at = 0
-            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
+            for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"), rows=VECTOR_ROWS):
                 n = len(ids)
                 p = tails(w, cuts, text_vectors(buf, starts, ends))
                 yield pa.RecordBatch.from_arrays(
@@ -83,7 +82,7 @@ def grade(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> Da
                     ["doc_id", "held_out", "expected_grade", "p_ge_1", "p_ge_2", "kept"])
                 at += n
 
-    return text_rows(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, p_ge_1 double, p_ge_2 double, kept boolean")
+    return text_rows(docs, held_out().alias("held_out")).mapInArrow(thrifty(run), "doc_id long, held_out boolean, expected_grade double, p_ge_1 double, p_ge_2 double, kept boolean")
 
 
 def ratings(labels: DataFrame) -> DataFrame:

@@ -88,15 +88,15 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def pieces(ids: pa.Array, texts: pa.Array, most: int = PIECE_BYTES):
-    """Parts of a batch: (ids, bytes, starts, ends). A null text is an empty one."""
+def pieces(ids: pa.Array, texts: pa.Array, most: int = PIECE_BYTES, rows: int = PIECE_ROWS):
+    """Parts of a batch, of at most that many bytes (or one text) and rows: (ids, bytes, starts, ends). A null text is an empty one."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     ids = np.asarray(ids.to_numpy(zero_copy_only=False))
     i = 0
     while i < len(ids):
-        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + PIECE_ROWS)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + rows)
         base = offsets[i]
         yield ids[i:j], data[base : offsets[j]], offsets[i:j] - base, offsets[i + 1 : j + 1] - base
         i = j

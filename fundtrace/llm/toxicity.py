@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import held_out, sampled, text_rows
+from fundtrace.llm.store import thrifty
 from fundtrace.llm.text import pieces
 
 PER_CLASS = 12_000
@@ -109,7 +110,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                     held = held[:0]
         yield part()
 
-    every = text_rows(docs).mapInArrow(run, "code long").distinct()
+    every = text_rows(docs).mapInArrow(thrifty(run), "code long").distinct()
     return every.groupBy(F.expr("code & 16777215").alias("gram")).agg(F.count("*").alias("n"))
 
 
@@ -131,7 +132,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
                     code, n = np.unique(x[mine[of] == c], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), c, np.int32)), pa.array(code.astype(np.int64)), pa.array(n)], ["toxic", "code", "n"])
 
-    return rows.mapInArrow(run, "toxic int, code long, n long").groupBy("toxic", "code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(thrifty(run), "toxic int, code long, n long").groupBy("toxic", "code").agg(F.sum("n").alias("n"))
 
 
 def continuation(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -246,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
                     yield pa.RecordBatch.from_arrays([b.column("toxic")[at : at + len(ids)], *map(pa.array, e.T)], ["toxic", "a", "b", "c"])
                     at += len(ids)
 
-        held = texts.filter("curve").select("doc_id", "text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").toPandas()
+        held = texts.filter("curve").select("doc_id", "text", "toxic").mapInArrow(thrifty(measure), "toxic int, a double, b double, c double").toPandas()
         curve = fit_curve(held[["a", "b", "c"]].to_numpy(), held["toxic"].to_numpy()) if held["toxic"].nunique() > 1 else None
     else:
         table, curve = spark.sparkContext.broadcast(Grams(np.zeros(0, np.int64), np.zeros(0))), None
@@ -263,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
                     ["doc_id", "held_out", "score", "predicted", "word_evidence", "per_byte_evidence"])
                 at += n
 
-    return text_rows(docs, held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, word_evidence double, per_byte_evidence double")
+    return text_rows(docs, held_out().alias("held_out")).mapInArrow(thrifty(run), "doc_id long, held_out boolean, score double, predicted int, word_evidence double, per_byte_evidence double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
