@@ -96,8 +96,26 @@ def test_binomial_tail(spark):
 
 def test_licences(documents):
     notice = licences.TEMPLATES["Apache-2.0"][1]
-    texts = [None, "", "plain text without any", "Released under the MIT License.", "x y z\nReleased under the  MIT  license\nmore", notice.replace(". ", ".\n"), f"intro here\n\n{notice.replace('. ', chr(10))}\n\nend", "MIT", words(3, 500) + "\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."]
+    texts = [None, "", "plain text without any", "Released under the MIT License.", "x y z\nReleased under the  MIT  license\nmore", notice.replace(". ", ".\n"), f"intro here\n\n{notice.replace('. ', chr(10))}\n\nend", "MIT", words(3, 500) + "\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.",
+             "This file is part of foo. Released under the MIT License. Copyright 2020 Jane Doe.", "Code: Released under the MIT License, see LICENSE.", words(5, 40_000) + " " + licences.TEMPLATES["MIT"][2] + " " + words(6, 300)]
     got = {r.doc_id: (r.n_notices, r.licences) for r in licences.licence_scan(documents(texts, "unit licence dice template")).collect()}
     assert {d: got[d][1] for d in (0, 1, 2, 7)} == {0: "", 1: "", 2: "", 7: ""}
-    assert got[3] == (1, "MIT") and got[4] == (1, "MIT") and got[5][1] == "Apache-2.0" and "Apache-2.0" in got[6][1] and got[8] == (2, "CC-BY-NC-4.0")
+    assert got[3] == got[4] == got[9] == got[10] == got[11] == (1, "MIT") and got[5] == got[6] == (1, "Apache-2.0") and got[8] == (2, "CC-BY-NC-4.0")
     assert licences.licence_scan(documents([])).count() == 0
+
+
+def test_licence_scan_answers_each_row(documents):
+    """Rows that share a doc_id, or have none, don't see each other's notices."""
+    rows = [(1, "Released under the MIT License.", "en"), (1, "Licensed under CC BY 4.0.", "en"), (1, "nothing here", "en"), (None, "Released under the MIT License.", "en"), (None, None, "en")]
+    got = sorted(((r.doc_id, r.n_notices, r.licences, r.best_dice) for r in licences.licence_scan(documents(rows)).collect()), key=str)
+    assert got == sorted([(1, 1, "MIT", 1.0), (1, 1, "CC-BY-4.0", 1.0), (1, 0, "", None), (None, 1, "MIT", 1.0), (None, 0, "", None)], key=str)
+
+
+def test_every_template_is_found_and_close_ones_told_apart(documents):
+    """With every twentieth word replaced something is found still; CC BY, BY-SA and BY-NC, and GPL, LGPL and AGPL, differ in a word or two."""
+    whole = [(k, t) for k, ts in licences.TEMPLATES.items() for t in ts]
+    changed = [(k, " ".join("xyz" if i % 20 == 10 else w for i, w in enumerate(t.split()))) for k, t in whole if len(t.split()) > 24]
+    rows = whole + changed
+    got = {r.doc_id: [n.licence for n in r.notices] for r in licences.licence_scan(documents([f"{words(i, 30)} {t} {words(i + 1, 30)}" for i, (_, t) in enumerate(rows)])).collect()}
+    assert [got[i][:1] for i in range(len(whole))] == [[k] for k, _ in whole]
+    assert all(got[i] for i in range(len(whole), len(rows)))
