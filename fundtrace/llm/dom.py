@@ -1,23 +1,26 @@
-"""A small tolerant DOM, simple tree matching, and the choice of a page's content."""
+"""A small tolerant DOM, its tree of blocks, simple tree matching, and wrappers: which slots of a tree hold content."""
 
-import hashlib
 import re
-from difflib import SequenceMatcher
+import sys
 from html.parser import HTMLParser
 
+import numpy as np
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Opening one of these ends an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "html", "body", "title"}
-#: Elements that never hold main text.
-SKIP = set("head script style noscript template nav header footer aside form button select textarea input iframe object svg canvas audio video dialog menu title".split())
+#: Elements whose text readers don't see as text of the page.
+UNSEEN = set("head script style noscript template button select textarea input iframe object svg canvas audio video title".split())
+#: Kinds of elements that speak against main text, as names and roles do; only one of a slot's features.
+AGAINST = set("nav header footer aside form dialog menu".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|sidebars?|side|aside|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|"
     r"notices?|notifications?|alerts?|popups?|modals?|overlay|comments?|commentlist|replies|reply|disqus|respond|discussion|feedback|share|sharing|social|related|recommended|"
     r"newsletter|subscribe|subscription|signup|login|search|footers?|foot|headers?|masthead|topbar|toolbar|copyright|skip|hidden|paywall)(?:$|[-_\s\d])", re.I)
-MAX_CELLS = 200_000
 
 
 class Node:
@@ -48,7 +51,7 @@ class _Builder(HTMLParser):
             self._close({"p"}, BLOCK - {"p"})
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -75,159 +78,248 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether an element is one that doesn't hold main text, by its kind or what it is called."""
+class Block:
+    """A block element: runs of inline text and blocks in order; chars and links are those of its own runs, all_* of its whole tree."""
+
+    __slots__ = ("tag", "label", "hint", "items", "chars", "links", "all_chars", "all_links", "heading", "size", "own", "shape", "full", "slot")
+
+    def __init__(self, tag, label, hint):
+        self.tag, self.label, self.hint, self.items = tag, label, hint, []
+        self.chars = self.links = 0
+        self.heading = tag in HEADINGS
+
+    @property
+    def children(self):
+        return [x for x in self.items if x.__class__ is Block]
+
+
+def hidden(node: Node) -> bool:
     a = node.attrs
-    if node.tag in SKIP:
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def hint(node: Node, in_article: bool) -> int:
+    """-1 if kind, role or name speak against main text, 1 for article and main, else 0."""
+    a, tag = node.attrs, node.tag
+    if tag in ("article", "main"):
+        return 1
+    if tag in ("html", "body", "#root"):
+        return 0
+    if tag in AGAINST:
         # An article's own heading may stand in a header of its own.
-        return not (node.tag == "header" and in_article and not a.get("class") and any(c.tag in ("h1", "h2") for c in node.children))
-    if node.tag in ("html", "body", "article", "main", "#root"):
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return bool(NAMES.search(a.get("class", "")) or NAMES.search(a.get("id", "")))
+        return 0 if tag == "header" and in_article and not a.get("class") and any(c.tag in ("h1", "h2") for c in node.children) else -1
+    return -1 if a and (a.get("role", "").lower() in ROLES or NAMES.search(a.get("class", "")) or NAMES.search(a.get("id", ""))) else 0
 
 
-def blocks(node: Node) -> list[tuple[tuple, str]]:
-    """(element path, text) of each run of inline text that isn't in boilerplate, in page order."""
-    out, run = [], []
+def blocks(root: Node) -> Block:
+    """The tree of blocks of a page."""
+    top = Block(root.tag, root.tag, 0)
+    run, linked = [], []
 
-    def end(path):
+    def end(block):
         text = " ".join("".join(run).split())
-        run.clear()
         if text:
-            out.append((path, text))
+            block.items.append(text)
+            block.chars += len(text)
+            block.links += min(len(text), sum(linked))
+        run.clear()
+        linked.clear()
 
-    # An explicit stack: pages may be nested deeper than Python likes. (node, path, stage)
-    stack = [(node, (), False, 0)]
+    order, stack = [top], [(c, top, False, False) for c in reversed(root.children)]
     while stack:
-        n, path, article, stage = stack.pop()
-        if stage:
-            end(path)
-            continue
-        if n.tag == "#text":
-            run.append(n.text)
-            continue
-        if boilerplate(n, article):
-            end(path)
-            continue
-        if n.tag in ("br", "wbr") and n.tag == "br":
+        node, block, article, link = stack.pop()
+        if node is None:
+            end(block)
+        elif node.tag == "#text":
+            run.append(node.text)
+            if link:
+                linked.append(len(node.text.strip()))
+        elif node.tag == "br":
             run.append("\n")
-            continue
-        block = n.tag in BLOCK
-        inner = (*path, id(n)) if block else path
-        if block:
-            end(path)
-            stack.append((n, inner, article, 1))
-        stack.extend((c, inner, article or n.tag in ("article", "main"), 0) for c in reversed(n.children))
-    end(())
-    return out
+        elif node.tag in UNSEEN or hidden(node):
+            end(block) if node.tag in BLOCK else None
+        else:
+            h = hint(node, article)
+            inside = article or h > 0
+            if node.tag in BLOCK or h < 0:
+                end(block)
+                made = Block(node.tag, f"{node.tag}.{re.sub('[0-9]+', '', node.attrs.get('class', ''))}", h)
+                block.items.append(made)
+                order.append(made)
+                stack.append((None, made, inside, link))
+                block = made
+            stack.extend((c, block, inside, link or node.tag == "a") for c in reversed(node.children))
+    end(top)
+    for b in reversed(order):
+        kids = b.children
+        own = "\0".join(x for x in b.items if x.__class__ is str)
+        b.own = hash(own) if own else 0
+        b.shape = hash((b.label, *[c.shape for c in kids]))
+        b.full = hash((b.shape, b.own, *[c.full for c in kids]))
+        b.size = 1 + sum(c.size for c in kids)
+        b.all_chars, b.all_links = b.chars + sum(c.all_chars for c in kids), b.links + sum(c.all_links for c in kids)
+        b.heading = b.heading or any(c.heading for c in kids)
+    for i, b in enumerate(order):
+        b.slot = i
+    return top
 
 
-def _find(node: Node, tag: str) -> list[Node]:
-    found, stack = [], [node]
+def in_order(top: Block) -> list[Block]:
+    """Blocks by slot."""
+    out, stack = [None] * top.size, [top]
     while stack:
-        n = stack.pop()
-        if n.tag == tag:
-            found.append(n)
-        else:
-            stack.extend(reversed(n.children))
-    return found
-
-
-def content(root: Node, template: set[str]) -> str:
-    """Main text: the blocks of the content element that aren't the host's template."""
-    for tag in ("article", "main"):
-        if parts := [x for x in _find(root, tag) if sum(len(t) for _, t in blocks(x))]:
-            # Several articles are one page's text only if none of them holds most of it.
-            sizes = [sum(len(t) for _, t in blocks(x)) for x in parts]
-            best = max(sizes)
-            chosen = [parts[sizes.index(best)]] if best > 0.6 * sum(sizes) else parts
-            return " ".join(t for x in chosen for _, t in blocks(x) if digest(t) not in template)
-    found = [(p, t) for p, t in blocks(root) if digest(t) not in template]
-    total = sum(len(t) for _, t in found)
-    weight: dict = {}
-    for p, t in found:
-        for i in range(1, len(p) + 1):
-            weight[p[:i]] = weight.get(p[:i], 0) + len(t)
-    deepest = max((p for p, w in weight.items() if w >= 0.7 * total), key=len, default=())
-    # A single paragraph isn't a container: its parent is.
-    if deepest and not any(len(p) > len(deepest) and p[: len(deepest)] == deepest for p in weight):
-        deepest = deepest[:-1]
-    return " ".join(t for p, t in found if p[: len(deepest)] == deepest)
-
-
-def digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-
-
-def skeleton(root: Node) -> list:
-    """[label, text digest, children] of the body's block elements; what is inline belongs to its block."""
-    def make(n):
-        label = f"{n.tag}.{n.attrs.get('class', '')}#{n.attrs.get('id', '')}"
-        own, kids, stack = [], [], list(reversed(n.children))
-        while stack:
-            c = stack.pop()
-            if c.tag == "#text":
-                own.append(c.text)
-            elif c.tag in ("head", "script", "style"):
-                continue
-            elif c.tag in BLOCK and c.tag != "br":
-                kids.append(c)
-            else:
-                stack.extend(reversed(c.children))
-        text = " ".join("".join(own).split())
-        return [label, digest(text) if text else "", kids]
-
-    top = make(root)
-    todo = [top]
+        b = stack.pop()
+        out[b.slot] = b
+        stack += b.children
+    return out
+
+
+class Matching:
+    """Simple tree matching: the largest number of blocks of two trees that are matched with equal labels, parents with parents
+    and siblings in order. Of equally large matchings one with equal texts is preferred."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def weight(self, x: Block, y: Block) -> int:
+        if x.shape == y.shape:
+            return x.size
+        if x.label != y.label:
+            return 0
+        if x.size == 1 or y.size == 1:
+            return 1
+        key = (x.shape, y.shape)
+        if key not in self.known:
+            self.known[key] = 1 + sum(self.weight(a, b) for a, b in self.siblings(x.children, y.children))
+        return self.known[key]
+
+    def siblings(self, xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
+        """Matched pairs of two lists of siblings. Equal first or last trees are matched in some best matching, so they are
+        taken off first: those with equal texts, then those of equal shape."""
+        out, tail = [], []
+        i = j = 0
+        m, n = len(xs), len(ys)
+        for equal in (lambda a, b: a.full == b.full, lambda a, b: a.shape == b.shape):
+            while i < m and j < n and equal(xs[i], ys[j]):
+                out.append((xs[i], ys[j]))
+                i, j = i + 1, j + 1
+            while i < m and j < n and equal(xs[m - 1], ys[n - 1]):
+                m, n = m - 1, n - 1
+                tail.append((xs[m], ys[n]))
+        if i < m and j < n:
+            out += self._between(xs[i:m], ys[j:n])
+        return out + tail[::-1]
+
+    def _row(self, x: Block, ys: list[Block]) -> np.ndarray:
+        return np.array([(w + 0.001 * (x.own == y.own != 0)) if (w := self.weight(x, y)) else 0 for y in ys])
+
+    def _scores(self, xs: list[Block], ys: list[Block]) -> np.ndarray:
+        """Best weight of xs against each number of first ys."""
+        best = np.zeros(len(ys) + 1)
+        for x in xs:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + self._row(x, ys)))
+        return best
+
+    def _between(self, xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
+        """By halves, so that memory is a row of the table for lists of any length."""
+        if not xs or not ys:
+            return []
+        if len(xs) == 1:
+            row = self._row(xs[0], ys)
+            return [(xs[0], ys[int(row.argmax())])] if row.max() > 0 else []
+        half = len(xs) // 2
+        cut = int((self._scores(xs[:half], ys) + self._scores(xs[half:][::-1], ys[::-1])[::-1]).argmax())
+        return self._between(xs[:half], ys[:cut]) + self._between(xs[half:], ys[cut:])
+
+
+def match(a: Block, b: Block) -> list[tuple[Block, Block]]:
+    """Matched pairs of two trees, from the roots down; none if the roots' labels differ."""
+    if a.label != b.label:
+        return []
+    # Nested calls of plain functions, as deep as the page.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * (a.size + b.size) + 1000))
+    matching, out, todo = Matching(), [], [(a, b)]
     while todo:
-        n = todo.pop()
-        n[2] = [make(c) for c in n[2]]
-        todo += n[2]
-    return top
+        x, y = todo.pop()
+        out.append((x, y))
+        if x.size > 1 and y.size > 1:
+            todo += matching.siblings(x.children, y.children)
+    return out
 
 
-def _size(n) -> int:
-    total, todo = 0, [n]
+#: A slot's text is constant if so large a share of its pages have it, and of this many pages at least.
+CONSTANT, LEAST_PAGES = 0.5, 3
+#: What kind and name of an element add to the weight of its text.
+FOR, AGAINST_WEIGHT = 3.0, 0.1
+#: An element is descended into while it holds so large a share of the text; text beside the main element counts from this share of it.
+MOST, BESIDE = 0.6, 0.1
+KEEP, DROP, PASS = range(3)
+
+
+def wrapper(top: Block, stats: np.ndarray) -> np.ndarray:
+    """KEEP, DROP or PASS (its children are judged by themselves) for each slot of a tree, and 4 added where the slot's text is constant.
+
+    stats: for each slot the number of pages that have it, those with the same text, and characters of its own text, of all below
+    it, and of links below it, summed over these pages. Length, constancy and link share of the slots decide; what an
+    element is called changes the weight of its text.
+    """
+    order = in_order(top)
+    k, same, own, chars, links = stats.T
+    constant = (own > 0) & (k >= LEAST_PAGES) & (same >= CONSTANT * k)
+    linked = links > 0.5 * np.maximum(chars, 1)
+    mass = np.zeros(len(order))
+    for i in range(len(order) - 1, -1, -1):
+        kids = [c.slot for c in order[i].children]
+        loose = max(0.0, chars[i] - chars[kids].sum() - (own[i] if constant[i] else 0)) if kids else (0 if constant[i] else chars[i])
+        factor = (1, FOR, AGAINST_WEIGHT)[order[i].hint]
+        mass[i] = factor * ((0 if linked[i] else loose) + mass[kids].sum())
+    out = np.full(len(order), DROP)
+    path = [top]
+    while kids := path[-1].children:
+        best = max(kids, key=lambda c: mass[c.slot])
+        if mass[best.slot] < MOST * mass[path[-1].slot] or not best.children or mass[best.slot] <= 0:
+            break
+        path.append(best)
+    main = path[-1]
+    roots = [main]
+    for above, below in zip(path, path[1:]):
+        out[above.slot] = PASS
+        roots += [c for c in above.children if c is not below and c.hint >= 0 and not linked[c.slot] and mass[c.slot] > 0 and (c.heading or mass[c.slot] >= BESIDE * mass[main.slot])]
+    # What is kept, but for blocks below that speak against it.
+    todo = [(r, True) for r in roots]
     while todo:
-        x = todo.pop()
-        total += 1
-        todo += x[2]
-    return total
-
-
-def match(a: list, b: list) -> tuple[int, list[str]]:
-    """Simple tree matching of two skeletons: the largest number of matched nodes, and the digests of matched nodes
-    whose texts are equal. Very large pairs are aligned by their sequences of children only."""
-    if a[0] != b[0]:
-        return 0, []
-    same = [a[1]] if a[1] and a[1] == b[1] else []
-    if not a[2] or not b[2]:
-        return 1, same
-    if len(a[2]) * len(b[2]) > 400 and _size(a) * _size(b) > MAX_CELLS:
-        total = 1
-        s = SequenceMatcher(None, [(x[0], x[1]) for x in a[2]], [(x[0], x[1]) for x in b[2]], autojunk=False)
-        for i, j, n in s.get_matching_blocks():
-            for k in range(n):
-                w, more = match(a[2][i + k], b[2][j + k])
-                total, same = total + w, same + more
-        return total, same
-    cells = [[match(x, y) for y in b[2]] for x in a[2]]
-    m, n = len(a[2]), len(b[2])
-    # Equal texts break ties, so that a constant node meets itself among neighbours of the same kind.
-    worth = [[c[0] * 1000 + len(c[1]) for c in row] for row in cells]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + worth[i][j])
-    total, i, j = 1, m, n
-    while i and j:
-        if worth[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + worth[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            total, same = total + cells[i][j][0], same + cells[i][j][1]
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
+        b, first = todo.pop()
+        if first or (b.hint >= 0 and not (linked[b.slot] and links[b.slot] > 0.8 * chars[b.slot] and b.children)):
+            out[b.slot] = KEEP
+            todo += [(c, False) for c in b.children]
+    return out + 4 * constant
+
+
+def own_stats(top: Block) -> np.ndarray:
+    """stats of a page alone: nothing is known to be constant."""
+    return np.array([(1, 0, b.chars, b.all_chars, b.all_links) for b in in_order(top)], float)
+
+
+def text(page: Block, reference: Block, pairs: list[tuple[Block, Block]], decided: np.ndarray) -> str:
+    """The page's blocks in content slots, in page order; pairs: (block of the reference, block of the page)."""
+    of = {y.slot: x for x, y in pairs}
+    main = max((y.all_chars for x, y in pairs if decided[x.slot] % 4 == KEEP), default=0)
+    out, stack = [], [(page, DROP)]
+    while stack:
+        b, state = stack.pop()
+        if b.__class__ is str:
+            out.append(b)
+            continue
+        x = of.get(b.slot)
+        if x is not None:
+            state, same = decided[x.slot] % 4, decided[x.slot] >= 4 and x.own == b.own
         else:
-            j -= 1
-    return total, same
+            same = False
+            if b.hint < 0:
+                state = DROP
+            elif state == PASS:  # a block that the reference lacks, beside the main element
+                state = KEEP if 2 * b.all_links <= b.all_chars and (b.heading or b.all_chars >= BESIDE * main) else DROP
+        if state == DROP and x is None:
+            continue
+        stack.extend((i, state) for i in reversed(b.items) if i.__class__ is Block or (state == KEEP and not same))
+    return " ".join(out)

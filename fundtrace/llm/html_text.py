@@ -1,28 +1,33 @@
 """Main text of web pages by wrapper induction over each host's pages.
 
-A few pages of a host, chosen by hash, are its references. Every page's DOM tree is aligned with them by simple tree
-matching. A matched node whose text is the same is a vote for a constant; a text that most of the host's different pages
-have at a matched node is template, and what varies is content. From the content, elements that never hold main text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) go by their kind and
-name, and the element with most of what is left is the main text.
-
-Character references are decoded; white space inside a block becomes one space; blocks are joined by one space. Null or
-empty html: empty text. A host of fewer than MIN_PAGES different pages, or a page without a host, has no template.
+A few different pages of a host, chosen by hash, are its references. Every page's tree of blocks is aligned with them by
+simple tree matching; a block of a reference is a slot, and the pages' blocks matched with it fill it. Over the host's
+pages, slots whose text stays the same are template; of what varies, length, link share and what elements are called (as
+one feature) decide which slots hold the main text, and that is the wrapper. A page is read through the wrapper of the reference
+that it matches best. A page identical to the reference has no vote, so copies of a page don't make its text constant.
+
+Character references are decoded; white space inside a block becomes one space; blocks are joined by one space. Null or empty
+html: empty text. A page of a host with fewer than MIN_PAGES different pages, without a host, or that no reference
+matches, is a wrapper of its own: the same decision from its own slots. Pages of any size and nesting are matched in full.
+Repeated page_ids: each row is answered. Empty table: no rows.
 """
 
-import json
+import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.dom import content, match, parse, skeleton
-from fundtrace.llm.store import thrifty, written
+from fundtrace.llm.dom import blocks, match, own_stats, parse, text, wrapper
+from fundtrace.llm.store import checked_broadcast, thrifty, written
 
 REFERENCES = 3
 MIN_PAGES = 4
-#: Share of a host's different pages that must have a text at a matched node for it to be template.
-SHARE = 0.5
+#: Characters of references up to which they are broadcast; more are joined by host.
+BROADCAST_CHARS = 48_000_000
+#: Hosts whose parsed references a task keeps, and slots whose sums it keeps.
+HELD_HOSTS, HELD_SLOTS = 200, 100_000
 
 
 def _hosts(pages: DataFrame) -> DataFrame:
@@ -31,56 +36,97 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host.alias("host"), F.xxhash64(html).alias("h"))
 
 
-def _skeletons(pages: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            trees = [json.dumps(skeleton(parse(x))) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
+def references(known: DataFrame) -> DataFrame:
+    """(host, n, html, h): REFERENCES pages of each host with its number of different pages; known: see _hosts."""
+    pages = known.filter("host != '' AND html != ''")
+    seeds = range(REFERENCES)
+    counts = pages.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("h", F.lit(i)), "h"))["h"].alias(f"r{i}") for i in seeds])
+    counts = written(counts.filter(F.col("n") >= MIN_PAGES).select("host", "n", F.explode(F.array_distinct(F.array(*[f"r{i}" for i in seeds]))).alias("h")), "hosts")
+    found = pages.join(checked_broadcast(counts), ["host", "h"]).groupBy("host", "h").agg(F.first("html").alias("html"), F.first("n").alias("n"))
+    return written(found, "references")
+
+
+def _with(known: DataFrame, by_host: DataFrame, chars: int, how: str) -> DataFrame:
+    return known.join(F.broadcast(by_host) if chars <= BROADCAST_CHARS else by_host, "host", how)
+
 
-    return pages.select("host", "html").mapInArrow(thrifty(run), "host string, tree string")
+def _parsed(held: dict, host, found) -> list:
+    """Trees of a host's references, parsed once while the task keeps them."""
+    if host not in held:
+        if len(held) >= HELD_HOSTS:
+            held.clear()
+        held[host] = [(r, blocks(parse(r["html"]))) for r in found]
+    return held[host]
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): digests of the texts that are constant at matched nodes; pages: see _hosts."""
-    # Copies of a page count once, or their article would be taken for template.
-    known = pages.filter("host != '' AND html != ''")
-    counts = known.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("n"), *[F.min(F.xxhash64("h", F.lit(i))).alias(f"r{i}") for i in range(REFERENCES)])
-    counts = counts.filter(F.col("n") >= MIN_PAGES).select("host", "n", F.array_distinct(F.array(*[f"r{i}" for i in range(REFERENCES)])).alias("r"))
-    counts = written(counts, "hosts")
-    chosen = F.exists(F.array(*[F.lit(i) for i in range(REFERENCES)]), lambda i: F.array_contains(F.col("r"), F.xxhash64("h", i)))
-    references = known.join(counts, "host").filter(chosen).groupBy("host", "h").agg(F.first("html").alias("html"))
-    trees = _skeletons(references).groupBy("host").agg(F.collect_list("tree").alias("trees"))
+VOTES = "host string, h long, slot int, k double, same double, own double, chars double, links double"
+
+
+def votes(known: DataFrame, by_host: DataFrame, chars: int) -> DataFrame:
+    """(host, h, stats): of each reference the sums over the pages matched with its slots, by slot."""
+    def run(batches):
+        held, sums = {}, {}
+
+        def part():
+            rows = [(host, h, i, *v) for (host, h), a in sums.items() for i, v in enumerate(a.tolist())]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int32(), *[pa.float64()] * 5])], [x.split()[0] for x in VOTES.split(", ")])
 
-    def vote(batches):
-        parsed: dict[str, list] = {}
         for b in batches:
-            hosts, found, hashes = b.column("host").to_pylist(), ([], [], []), b.column("h").to_pylist()
-            for host, html, h, own in zip(hosts, b.column("html").to_pylist(), hashes, b.column("trees").to_pylist()):
-                if host not in parsed:
-                    if len(parsed) > 500:
-                        parsed.clear()
-                    parsed[host] = [json.loads(t) for t in own]
-                tree = skeleton(parse(html))
-                for d in {d for t in parsed[host] if t != tree for d in match(t, tree)[1]}:
-                    for col, v in zip(found, (host, d, h)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["host", "digest", "h"])
-
-    votes = known.select("host", "html", "h").join(trees, "host").mapInArrow(thrifty(vote), "host string, digest string, h long").distinct().groupBy("host", "digest").agg(F.count("*").alias("k"))
-    return votes.join(counts.select("host", "n"), "host").filter(F.col("k") >= SHARE * F.col("n")).groupBy("host").agg(F.collect_list("digest").alias("template"))
+            for host, html, h, found in zip(*[b.column(c).to_pylist() for c in ("host", "html", "h", "found")]):
+                page = blocks(parse(html))
+                for r, tree in _parsed(held, host, found):
+                    if r["h"] != h:
+                        to = sums.setdefault((host, r["h"]), np.zeros((tree.size, 5)))
+                        for x, y in match(tree, page):
+                            to[x.slot] += (1, x.own == y.own != 0, y.chars, y.all_chars, y.all_links)
+            if sum(len(a) for a in sums.values()) > HELD_SLOTS:
+                yield part()
+        if sums:
+            yield part()
+
+    cast = _with(known.filter("host != '' AND html != ''").select("host", "html", "h"), by_host, chars, "inner").mapInArrow(thrifty(run), VOTES)
+    names = ["k", "same", "own", "chars", "links"]
+    slots = cast.groupBy("host", "h", "slot").agg(*[F.sum(c).alias(c) for c in names])
+    return slots.groupBy("host", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", *names))), lambda s: F.array(*[s[c] for c in names])).alias("stats"))
+
+
+def wrappers(known: DataFrame) -> tuple[DataFrame, int]:
+    """(host, found: html, h and stats of its references), and how many characters they have."""
+    chosen = references(known)
+    chars = chosen.agg(F.sum(F.length("html"))).head()[0] or 0
+    by_host = chosen.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "html"))).alias("found"))
+    cast = votes(known, by_host, chars)
+    return written(chosen.join(cast, ["host", "h"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "html", "stats"))).alias("found")), "wrappers"), chars
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of pages."""
+    """page_id, url, text, n_chars, by_wrapper (whether a wrapper of the host decided): one row for each row of pages."""
     known = _hosts(pages)
-    template = written(templates(known), "templates")
+    found, chars = wrappers(known)
 
     def run(batches):
+        held, decided = {}, {}
         for b in batches:
-            texts = [content(parse(x), set(t or ())) if x else "" for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return known.select("page_id", "url", "html", "host").join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long")
+            texts, by = [], []
+            for host, html, refs in zip(*[b.column(c).to_pylist() for c in ("host", "html", "found")]):
+                page = blocks(parse(html))
+                best = max(((match(tree, page), r, tree) for r, tree in _parsed(held, host, refs or ())), key=lambda m: len(m[0]), default=([], None, None))
+                if best[0]:
+                    pairs, r, tree = best
+                    if (host, r["h"]) not in decided:
+                        if len(decided) > 3 * HELD_HOSTS:
+                            decided.clear()
+                        decided[host, r["h"]] = wrapper(tree, np.array(r["stats"], float))
+                    rules = decided[host, r["h"]]
+                else:
+                    tree, pairs, rules = page, match(page, page), wrapper(page, own_stats(page))
+                texts.append(text(page, tree, pairs, rules))
+                by.append(bool(best[0]))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())], ["page_id", "url", "text", "n_chars", "by_wrapper"])
+        sys.setrecursionlimit(1000)
+
+    return _with(known.select("page_id", "url", "html", "host"), found, chars, "left").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

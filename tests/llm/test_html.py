@@ -1,5 +1,12 @@
+import html
+import random
+import re
+
+import pytest
+from samples import words
+
 from fundtrace.llm import html_text
-from fundtrace.llm.dom import match, parse, skeleton
+from fundtrace.llm.dom import blocks, match, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li>Home<li>News</ul></nav><div class="ad">Buy</div><div class="cookie-notice">We use cookies</div>
@@ -27,9 +34,75 @@ def test_page_without_article_tag_and_odd_input(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+def largest(a, b):
+    """Size of the largest matching by the plain recursion over all cells."""
+    if a.label != b.label:
+        return 0
+    xs, ys = a.children, b.children
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + largest(x, y))
+    return 1 + best[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    kids = "".join(random_tree(rng, depth + 1) for _ in range(rng.randrange(4 if depth < 4 else 1)))
+    tag = rng.choice(["div", "section", "ul"])
+    return f"<{tag}>{rng.choice(['a', 'b', ''])}{kids}</{tag}>"
+
+
+def test_tree_matching_is_as_large_as_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        a, b = (blocks(parse(random_tree(rng))) for _ in range(2))
+        pairs = match(a, b)
+        assert len(pairs) == largest(a, b) and len({x.slot for x, _ in pairs}) == len({y.slot for _, y in pairs}) == len(pairs)
+
+
 def test_tree_matching_aligns_what_is_constant():
-    a = skeleton(parse("<body><p>same<p>one<div><p>x</div></body>"))
-    b = skeleton(parse("<body><p>new<p>same<p>two<div><p>x</div></body>"))
-    nodes, equal = match(a, b)
-    assert nodes == 6 and len(equal) == 2
-    assert match(a, skeleton(parse("<section>x</section>")))[0] == 1
+    a = blocks(parse("<body><p>same<p>one<div><p>x</div></body>"))
+    b = blocks(parse("<body><p>new<p>same<p>two<div><p>x</div></body>"))
+    pairs = match(a, b)
+    assert len(pairs) == 6 and match(a, blocks(parse("<section>x</section>"))) and sum(x.own == y.own != 0 for x, y in pairs) >= 1
+
+
+def test_pages_of_any_size_and_depth_are_matched_in_full():
+    wide = lambda n: blocks(parse("<body>" + "".join(f"<p>{i}<ul><li>x</ul>" if i % 3 else f"<h2>{i}</h2>" for i in range(n)) + "</body>"))
+    assert len(match(wide(600), wide(600))) == wide(600).size
+    deep = lambda n, t: blocks(parse("<div>" * n + t + "<p>y</p>" * (n % 2)))
+    assert len(match(deep(3000, "a"), deep(3001, "b"))) == 3001
+
+
+BODY = """<body><div>{nav}</div><div>{ad}</div><{tag}><h1>Head {i}</h1>{body}<p>All rights of this constant paragraph</{tag}><div>&copy; host {ad}</div></body>"""
+
+
+def site(tag, n=12):
+    """Pages whose elements have no names, menus and adverts that vary, and one to 600 paragraphs."""
+    out = []
+    for i in range(n):
+        paras = [" ".join(f"w{i}x{k}x{j}" for j in range(25)) for k in range(600 if i == 3 else 1 + i % 5)]
+        nav = "".join(f'<a href="/{i}">{words(i, 1)} {k}</a> ' for k in range(6))
+        out.append((BODY.format(nav=nav, ad=words(i + 50, 6), tag=tag, i=i, body="".join(f"<p>{p}" for p in paras)), f"Head {i} " + " ".join(paras)))
+    return out
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_slots_decide_where_elements_have_no_names(spark, tag):
+    made = site(tag)
+    got = {r.page_id: r for r in html_text.extract(pages(spark, [(i, "https://w.example/" + str(i), h) for i, (h, _) in enumerate(made)])).collect()}
+    assert all(r.by_wrapper for r in got.values())
+    assert [got[i].text for i in range(len(made))] == [t for _, t in made]
+
+
+def test_whole_table_goes_through_wrappers(spark):
+    """Every page's text is its article without markup, and wrappers of hosts decide most of them."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in html_text.extract(table).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        article = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
+        plain = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article)))
+        assert got[r.page_id].text == " ".join(plain.split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert sum(r.by_wrapper for r in got.values()) > 0.6 * len(rows)
