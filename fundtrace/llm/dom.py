@@ -300,26 +300,35 @@ def own_stats(top: Block) -> np.ndarray:
     return np.array([(1, 0, b.chars, b.all_chars, b.all_links) for b in in_order(top)], float)
 
 
-def text(page: Block, reference: Block, pairs: list[tuple[Block, Block]], decided: np.ndarray) -> str:
-    """The page's blocks in content slots, in page order; pairs: (block of the reference, block of the page)."""
+def flat(page: Block, pairs: list[tuple[Block, Block]]) -> list[list]:
+    """The page's blocks by slot, plain enough for JSON: slot of the reference or -1, whether their texts are equal, hint, heading,
+    characters, link characters, and items (texts, and numbers of blocks). pairs: (block of the reference, block of the page)."""
     of = {y.slot: x for x, y in pairs}
-    main = max((y.all_chars for x, y in pairs if decided[x.slot] % 4 == KEEP), default=0)
-    out, stack = [], [(page, DROP)]
+    out = []
+    for b in in_order(page):
+        x = of.get(b.slot)
+        out.append([-1 if x is None else x.slot, x is not None and x.own == b.own, b.hint, b.heading, b.all_chars, b.all_links, [i if i.__class__ is str else i.slot for i in b.items]])
+    return out
+
+
+def text(page: list[list], decided: np.ndarray) -> str:
+    """The texts of a page (see flat) in content slots, in page order."""
+    main = max((b[4] for b in page if b[0] >= 0 and decided[b[0]] % 4 == KEEP), default=0)
+    out, stack = [], [(0, DROP)]
     while stack:
-        b, state = stack.pop()
-        if b.__class__ is str:
-            out.append(b)
+        at, state = stack.pop()
+        if at.__class__ is str:
+            out.append(at)
             continue
-        x = of.get(b.slot)
-        if x is not None:
-            state, same = decided[x.slot] % 4, decided[x.slot] >= 4 and x.own == b.own
+        slot, same, hint, heading, chars, links, items = page[at]
+        if slot >= 0:
+            state, same = decided[slot] % 4, same and decided[slot] >= 4
         else:
-            same = False
-            if b.hint < 0:
+            if hint < 0:
                 state = DROP
             elif state == PASS:  # a block that the reference lacks, beside the main element
-                state = KEEP if 2 * b.all_links <= b.all_chars and (b.heading or b.all_chars >= BESIDE * main) else DROP
-        if state == DROP and x is None:
-            continue
-        stack.extend((i, state) for i in reversed(b.items) if i.__class__ is Block or (state == KEEP and not same))
+                state = KEEP if 2 * links <= chars and (heading or chars >= BESIDE * main) else DROP
+            if state == DROP:
+                continue
+        stack.extend((i, state) for i in reversed(items) if i.__class__ is int or (state == KEEP and not same))
     return " ".join(out)

@@ -12,6 +12,7 @@ matches, is a wrapper of its own: the same decision from its own slots. Pages of
 Repeated page_ids: each row is answered. Empty table: no rows.
 """
 
+import json
 import sys
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundtrace.llm.dom import blocks, match, own_stats, parse, text, wrapper
+from fundtrace.llm.dom import blocks, flat, in_order, match, own_stats, parse, text, wrapper
 from fundtrace.llm.store import checked_broadcast, thrifty, written
 
 REFERENCES = 3
@@ -59,74 +60,82 @@ def _parsed(held: dict, host, found) -> list:
     return held[host]
 
 
-VOTES = "host string, h long, slot int, k double, same double, own double, chars double, links double"
+READ = "page_id long, url string, host string, h long, page string, text string, slot int, k double, same double, own double, chars double, links double"
+NAMES = [c.split()[0] for c in READ.split(", ")]
+SUMS = NAMES[-5:]
 
 
-def votes(known: DataFrame, by_host: DataFrame, chars: int) -> DataFrame:
-    """(host, h, stats): of each reference the sums over the pages matched with its slots, by slot."""
+def _read(known: DataFrame, by_host: DataFrame, chars: int) -> DataFrame:
+    """Two kinds of rows, so that a page is parsed once. Of each page: h, the reference that it matches best, and page, its blocks
+    (see dom.flat), or its text where there is no reference. Of each reference (host, h): sums over pages by slot."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.float64()] * 5]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
+
     def run(batches):
         held, sums = {}, {}
 
         def part():
-            rows = [(host, h, i, *v) for (host, h), a in sums.items() for i, v in enumerate(a.tolist())]
+            rows = [(None, None, host, h, None, None, i, *v) for (host, h), a in sums.items() for i, v in enumerate(a.tolist())]
             sums.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int32(), *[pa.float64()] * 5])], [x.split()[0] for x in VOTES.split(", ")])
+            return batch(rows)
 
         for b in batches:
-            for host, html, h, found in zip(*[b.column(c).to_pylist() for c in ("host", "html", "h", "found")]):
-                page = blocks(parse(html))
-                for r, tree in _parsed(held, host, found):
+            rows = []
+            for at, (page_id, url, host, html, h, found) in enumerate(zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "h", "found")])):
+                page, best, of = blocks(parse(html)), [], None
+                for r, tree in _parsed(held, host, found or ()):
+                    pairs = match(tree, page)
+                    if len(pairs) > len(best):
+                        best, of = pairs, r["h"]
                     if r["h"] != h:
                         to = sums.setdefault((host, r["h"]), np.zeros((tree.size, 5)))
-                        for x, y in match(tree, page):
-                            to[x.slot] += (1, x.own == y.own != 0, y.chars, y.all_chars, y.all_links)
+                        to[[x.slot for x, _ in pairs]] += [(1, x.own == y.own != 0, y.chars, y.all_chars, y.all_links) for x, y in pairs] if pairs else 0
+                alone = None if best else text(flat(page, [(x, x) for x in in_order(page)]), wrapper(page, own_stats(page)))
+                rows.append((page_id, url, host, of, json.dumps(flat(page, best), ensure_ascii=False) if best else None, alone, None, *[None] * 5))
+                if len(rows) == 256:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
             if sum(len(a) for a in sums.values()) > HELD_SLOTS:
                 yield part()
         if sums:
             yield part()
+        sys.setrecursionlimit(1000)
 
-    cast = _with(known.filter("host != '' AND html != ''").select("host", "html", "h"), by_host, chars, "inner").mapInArrow(thrifty(run), VOTES)
-    names = ["k", "same", "own", "chars", "links"]
-    slots = cast.groupBy("host", "h", "slot").agg(*[F.sum(c).alias(c) for c in names])
-    return slots.groupBy("host", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", *names))), lambda s: F.array(*[s[c] for c in names])).alias("stats"))
+    return _with(known, by_host, chars, "left").select("page_id", "url", "host", "html", "h", "found").mapInArrow(thrifty(run), READ)
 
 
-def wrappers(known: DataFrame) -> tuple[DataFrame, int]:
-    """(host, found: html, h and stats of its references), and how many characters they have."""
-    chosen = references(known)
-    chars = chosen.agg(F.sum(F.length("html"))).head()[0] or 0
-    by_host = chosen.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "html"))).alias("found"))
-    cast = votes(known, by_host, chars)
-    return written(chosen.join(cast, ["host", "h"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "html", "stats"))).alias("found")), "wrappers"), chars
+def _rules(chosen: DataFrame, cast: DataFrame) -> DataFrame:
+    """(host, h, rules) of each reference; see dom.wrapper."""
+    def run(batches):
+        for b in batches:
+            rules = [wrapper(blocks(parse(x)), np.array(s, float)).tolist() for x, s in zip(b.column("html").to_pylist(), b.column("stats").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), pa.array(rules, pa.list_(pa.int32()))], ["host", "h", "rules"])
+
+    slots = cast.groupBy("host", "h", "slot").agg(*[F.sum(c).alias(c) for c in SUMS])
+    stats = slots.groupBy("host", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", *SUMS))), lambda s: F.array(*[s[c] for c in SUMS])).alias("stats"))
+    return written(chosen.join(stats, ["host", "h"]).select("host", "h", "html", "stats").mapInArrow(thrifty(run), "host string, h long, rules array<int>"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, by_wrapper (whether a wrapper of the host decided): one row for each row of pages."""
     known = _hosts(pages)
-    found, chars = wrappers(known)
+    chosen = references(known)
+    chars = chosen.agg(F.sum(F.length("html"))).head()[0] or 0
+    read = written(_read(known, chosen.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("h", "html"))).alias("found")), chars), "read")
+    rules = _rules(chosen, read.filter("slot IS NOT NULL").select("host", "h", "slot", *SUMS))
 
     def run(batches):
-        held, decided = {}, {}
         for b in batches:
-            texts, by = [], []
-            for host, html, refs in zip(*[b.column(c).to_pylist() for c in ("host", "html", "found")]):
-                page = blocks(parse(html))
-                best = max(((match(tree, page), r, tree) for r, tree in _parsed(held, host, refs or ())), key=lambda m: len(m[0]), default=([], None, None))
-                if best[0]:
-                    pairs, r, tree = best
-                    if (host, r["h"]) not in decided:
-                        if len(decided) > 3 * HELD_HOSTS:
-                            decided.clear()
-                        decided[host, r["h"]] = wrapper(tree, np.array(r["stats"], float))
-                    rules = decided[host, r["h"]]
-                else:
-                    tree, pairs, rules = page, match(page, page), wrapper(page, own_stats(page))
-                texts.append(text(page, tree, pairs, rules))
-                by.append(bool(best[0]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())], ["page_id", "url", "text", "n_chars", "by_wrapper"])
-        sys.setrecursionlimit(1000)
+            texts = [t if p is None else text(json.loads(p), r) for p, t, r in zip(*[b.column(c).to_pylist() for c in ("page", "text", "rules")])]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column("page").is_valid()], ["page_id", "url", "text", "n_chars", "by_wrapper"])
 
-    return _with(known.select("page_id", "url", "html", "host"), found, chars, "left").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    # A reference's rules are far shorter than its html.
+    seen = read.filter("slot IS NULL").select("page_id", "url", "host", "h", "page", "text").join(F.broadcast(rules) if chars <= BROADCAST_CHARS else rules, ["host", "h"], "left")
+    return seen.select("page_id", "url", "page", "text", "rules").mapInArrow(thrifty(run), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
