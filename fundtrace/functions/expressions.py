@@ -1,15 +1,31 @@
 """Column expressions shared by the queries."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
 
 
+#: White space at either end: what Unicode calls so, and the four separator controls.
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Decimal digits of all scripts and their values, by rule.
+_DIGITS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def stripped(raw: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(raw, _ENDS, "")
+
+
 def bank_id(raw: Column) -> Column:
-    """A bank id without leading zeros if it is all digits, else the trimmed text."""
-    text = F.trim(raw)
-    return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=.)", "")).otherwise(text)
+    """A bank id as an integer's text if it is all digits, of any script, else the stripped text."""
+    text = stripped(raw)
+    number = lambda t: F.regexp_replace(t, "^0+(?=.)", "")
+    return F.when(text.rlike("^[0-9]+$"), number(text)).when(text.rlike(r"^\p{Nd}+$"), number(F.translate(text, "".join(_DIGITS), _VALUES))).otherwise(text)
 
 
 def is_usd() -> Column:
@@ -22,7 +38,7 @@ def is_wire_or_ach() -> Column:
 
 def in_text_window(window: tuple[str, str]) -> Column:
     """Inclusive comparison of the raw timestamp text; never parsed, never cast."""
-    return F.trim("ts").between(*window)
+    return stripped(F.col("ts")).between(*window)
 
 
 def day() -> Column:

@@ -1,10 +1,9 @@
 """CSV results with the published headers."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Published headers by query, in the order of the result's columns.
+# Published headers by query, in the order of the result's columns.
 HEADERS = {
     "q1": ["From Bank", "Account", "To Bank", "Account.1", "Amount Paid"],
     "q2": ["From Bank", "Account", "Bank Name", "Amount Paid"],
@@ -14,14 +13,13 @@ HEADERS = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def _two_decimals(amount):
-    """Half-even on the binary value; the JVM's format rounds its shortest decimal form instead."""
-    return amount.map(lambda x: None if x != x else f"{x:.2f}")
+def two_decimals(amount: Column) -> Column:
+    """Two decimals, rounded by the number's binary value, halves to even, for amounts below 10 ** 13; format_string and round take its shortest decimal form."""
+    return F.when(~F.isnan(amount), F.translate(F.format_number(amount, 2), ",", ""))
 
 
 def as_published(query: str, df: DataFrame, formatter=None) -> DataFrame:
-    cols = [(formatter or _two_decimals)(F.col(c)) if c == "amount_paid" else F.col(c) for c in df.columns]
+    cols = [(formatter or two_decimals)(F.col(c)) if c == "amount_paid" else F.col(c) for c in df.columns]
     return df.select(*[c.alias(h) for c, h in zip(cols, HEADERS[query])])
 
 
@@ -30,3 +28,18 @@ def write_result(query: str, df: DataFrame, out_dir: str, client: str) -> str:
     path = f"{out_dir}/results_{query}/client_id={client}"
     as_published(query, df).write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+def write_expected(query: str, df: DataFrame, folder: str, source: str) -> str:
+    """A result as the expectation of later runs: the published columns, and a column that says what it was made from."""
+    path = f"{folder}/expected_results/{query}"
+    as_published(query, df).withColumn("made_from", F.lit(source)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def read_result(spark, query: str, path: str) -> DataFrame:
+    """A result or expectation that was written, as text in the published columns."""
+    from pyspark.sql import types as T
+
+    cols = [T.StructField(h, T.StringType()) for h in HEADERS[query]]
+    return spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([*cols, T.StructField("made_from", T.StringType())])).csv(path).select(*[f"`{h}`" for h in HEADERS[query]])

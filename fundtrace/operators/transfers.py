@@ -13,7 +13,7 @@ MAX_BROADCAST_ROWS = 100_000
 
 def small_side(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it's seen to be small, else as it is, for a shuffled join."""
-    return F.broadcast(df) if len(df.limit(MAX_BROADCAST_ROWS + 1).select(F.lit(1)).take(MAX_BROADCAST_ROWS + 1)) <= MAX_BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
 def normalized_banks(tx: DataFrame) -> DataFrame:
@@ -73,8 +73,20 @@ def converted(tx: DataFrame, currencies: DataFrame, rates: DataFrame) -> DataFra
     return looked_up.select(*tx.columns, usd.alias("usd_amount"))
 
 
-def count_under_dollar(tx: DataFrame, currencies: DataFrame, rates: DataFrame, keys: tuple = ()) -> DataFrame:
-    return converted(tx, currencies, rates).filter("usd_amount < 1").groupBy(*keys).agg(F.count("*").alias("count"))
+def rates_in_use(tx: DataFrame, currencies: DataFrame, rates: DataFrame) -> DataFrame:
+    """(date, iso, n_transfers, rate): what conversion looks up for the transfers' days and currencies; the rate is null where it lacks one."""
+    used = tx.groupBy(day().alias("date"), "currency").agg(F.count("*").alias("n")).join(F.broadcast(currencies), "currency")
+    counts = used.groupBy("date", "iso").agg(F.sum("n").alias("n_transfers"))
+    return counts.join(small_side(rates), ["date", "iso"], "left").select("date", "iso", "n_transfers", "rate")
+
+
+def count_under_dollar(tx: DataFrame, currencies: DataFrame, rates: DataFrame, keys: tuple = (), clients: DataFrame | None = None) -> DataFrame:
+    """How many converted transfers are under a dollar; 0 where there are none, for each of `clients` (the keys found in tx if not given)."""
+    counts = converted(tx, currencies, rates).filter("usd_amount < 1").groupBy(*keys).agg(F.count("*").alias("count"))
+    if not keys:
+        return counts
+    every = (tx if clients is None else clients).select(*keys).distinct()
+    return every.join(counts, list(keys), "left").select(*keys, F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def deduplicated(messages: DataFrame, keys: tuple) -> DataFrame:

@@ -4,15 +4,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
-from fundtrace.functions.expressions import bank_id, in_text_window, is_usd
+from fundtrace.functions.expressions import bank_id, in_text_window, is_usd, stripped
+from fundtrace.operators.transfers import small_side
 
 EDGE = ("src_bank", "src_account", "dst_bank", "dst_account")
 
 
 def edges(tx: DataFrame, keys: tuple = ()) -> DataFrame:
     return tx.filter(is_usd() & in_text_window(V.BASELINE_WINDOW)).select(
-        *keys, bank_id(F.col("from_bank")).alias("src_bank"), F.trim("from_account").alias("src_account"),
-        bank_id(F.col("to_bank")).alias("dst_bank"), F.trim("to_account").alias("dst_account"))
+        *keys, bank_id(F.col("from_bank")).alias("src_bank"), stripped(F.col("from_account")).alias("src_account"),
+        bank_id(F.col("to_bank")).alias("dst_bank"), stripped(F.col("to_account")).alias("dst_account"))
 
 
 def counted(e: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -50,18 +51,40 @@ def _summed(joined: DataFrame, keys: tuple) -> DataFrame:
     )
 
 
-def two_hop_paths(g: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Number of paths per pair of different ends, by multiplicity; g: counted gated edges."""
+#: Pairs of ends from which on an intermediary is dealt over a grid of blocks, and the sides of the grid.
+HOT_PAIRS, GRID = 1_000_000, (16, 16)
+
+
+def hot_intermediaries(g: DataFrame, above: int = HOT_PAIRS, keys: tuple = ()) -> DataFrame:
+    """(m_bank, m_account) whose sources times targets are more than `above`, from the counted edges."""
+    ends = lambda x, n: g.groupBy(*keys, F.col(f"{x}_bank").alias("m_bank"), F.col(f"{x}_account").alias("m_account")).agg(F.count("*").alias(n))
+    m = [*keys, "m_bank", "m_account"]
+    return ends("dst", "sources").join(ends("src", "targets"), m).filter(F.col("sources") * F.col("targets") > above).select(*m)
+
+
+def two_hop_paths(g: DataFrame, keys: tuple = (), hot_pairs: int = HOT_PAIRS, grid: tuple[int, int] = GRID) -> DataFrame:
+    """Number of paths per pair of different ends, by multiplicity; g: counted gated edges.
+
+    An intermediary with more than hot_pairs pairs of ends is dealt over a grid of blocks, so that no task makes all its
+    pairs; the others are one block. As many hot ones as the driver may broadcast are few: each has over a thousand edges.
+    """
     first, second = _sides(g, keys)
-    return _summed(first.join(second, [*keys, "m_bank", "m_account"]), keys)
+    m = [*keys, "m_bank", "m_account"]
+    hot = hot_intermediaries(g, hot_pairs, keys).withColumn("hot", F.lit(True))
+    if hot.isEmpty():
+        return _summed(first.join(second, m), keys)
+    hot = small_side(hot)
+    blocks = lambda n: F.when(F.col("hot"), F.lit(n)).otherwise(1)
+    block = lambda end, n: F.pmod(F.hash(f"{end}_bank", f"{end}_account"), blocks(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    first = first.join(hot, m, "left").withColumn("a_block", block("a", grid[0])).withColumn("b_block", each(grid[1]))
+    second = second.join(hot, m, "left").withColumn("b_block", block("b", grid[1])).withColumn("a_block", each(grid[0]))
+    return _summed(first.drop("hot").join(second.drop("hot"), [*m, "a_block", "b_block"]), keys)
 
 
 def two_hop_salted(g: DataFrame, a_buckets: int = 4, b_buckets: int = 4, keys: tuple = ()) -> DataFrame:
-    """The same with each intermediary dealt over a grid of blocks, for one that carries much of the traffic."""
-    first, second = _sides(g, keys)
-    first = first.withColumn("a_block", F.pmod(F.hash("a_bank", "a_account"), F.lit(a_buckets))).withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(b_buckets - 1))))
-    second = second.withColumn("b_block", F.pmod(F.hash("b_bank", "b_account"), F.lit(b_buckets))).withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(a_buckets - 1))))
-    return _summed(first.join(second, [*keys, "m_bank", "m_account", "a_block", "b_block"]), keys)
+    """The same with every intermediary dealt over a grid of blocks."""
+    return two_hop_paths(g, keys, 0, (a_buckets, b_buckets))
 
 
 def pairs(paths: DataFrame, above: int = V.PATHS_ABOVE) -> DataFrame:

@@ -40,7 +40,7 @@ def queries() -> dict:
     return {
         "scan_transactions": _tx(lambda t: t),
         "bank_directory": _directory,
-        "rates_table": lambda spark, d: R.rates(spark),
+        "rates_table": lambda spark, d: X.rates_in_use(A.transactions(spark, d), R.currencies(spark), R.rates(spark)),
         "normalize_bank_id": _tx(X.normalized_banks),
         "filter_usd": _filtered(is_usd),
         "filter_wire_ach": _filtered(is_wire_or_ach),
@@ -65,6 +65,7 @@ def queries() -> dict:
         "q4_scatter_gather": _tx(G.scatter_gather),
         "q5_converted_rows": lambda spark, d: X.converted(A.transactions(spark, d), R.currencies(spark), R.rates(spark)),
         "q5_count": lambda spark, d: X.count_under_dollar(A.transactions(spark, d), R.currencies(spark), R.rates(spark)),
+        "q5_count_by_client": _tx(lambda t: X.count_under_dollar(t.withColumn("client_id", F.col("from_bank")), R.currencies(t.sparkSession), R.rates(t.sparkSession), ("client_id",))),
         "dedup_redelivery": _dedup,
     }
 
@@ -116,8 +117,9 @@ def oracle_sql() -> dict[str, str]:
         "q4_scatter_gather": "SELECT a_bank AS bank_id, a_account AS account FROM paths WHERE n_paths > 5 UNION SELECT b_bank, b_account FROM paths WHERE n_paths > 5",
         "q5_converted_rows": "SELECT * FROM converted",
         "q5_count": "SELECT count(*) AS count FROM converted WHERE usd_amount < 1",
+        "q5_count_by_client": "SELECT c.client_id, count(v.usd_amount) AS count FROM (SELECT DISTINCT from_bank AS client_id FROM tx) c LEFT JOIN (SELECT * FROM converted WHERE usd_amount < 1) v ON v.from_bank = c.client_id GROUP BY c.client_id",
+        "rates_table": f"SELECT u.date, u.iso, u.n_transfers, r.rate FROM (SELECT {days} AS date, iso, count(*) AS n_transfers FROM tx JOIN (VALUES {iso_rows}) c(currency, iso) ON tx.currency = c.currency GROUP BY ALL) u LEFT JOIN (VALUES {rate_rows}) r(date, iso, rate) ON r.date = u.date AND r.iso = u.iso",
     }
     return {k: head + v for k, v in bodies.items()} | {
-        "rates_table": f"SELECT * FROM (VALUES {rate_rows}) r(date, iso, rate)",
         "dedup_redelivery": "SELECT DISTINCT event_id, user_id, event_type, value FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0)",
     }

@@ -6,6 +6,7 @@ from fundtrace.functions.expressions import is_usd
 from fundtrace.operators import transfers, two_hop
 from fundtrace.operators.sinks import write_result
 from fundtrace.sources import rates as R
+from fundtrace.streaming import ingest
 
 QUERIES = ("q1", "q2", "q3", "q4", "q5")
 
@@ -27,17 +28,33 @@ def results(spark: SparkSession, tx: DataFrame, directory: DataFrame, enabled=QU
 
 
 def run_client(spark: SparkSession, client: str, tx: DataFrame, directory: DataFrame, out_dir: str, enabled=QUERIES) -> dict[str, str]:
-    """Writes one client's results under its own job group; rows parsed once serve all queries."""
-    spark.sparkContext.setJobGroup(f"client-{client}", f"queries of client {client}", interruptOnCancel=True)
+    """Writes one client's results under its own job group, which this thread leaves at the end; rows parsed once serve all queries."""
+    sc = spark.sparkContext
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(f"client-{client}", f"queries of client {client}", interruptOnCancel=True)
     shared = tx.persist()
     try:
         return {q: write_result(q, df, out_dir, client) for q, df in results(spark, shared, directory, enabled).items()}
     finally:
         shared.unpersist()
+        for k, v in before.items():
+            sc.setLocalProperty(k, v)
 
 
-def abort_client(spark: SparkSession, client: str, folders: list[str]) -> None:
-    """Ends the client's jobs and deletes its folders; other clients aren't touched."""
+def complete(spark: SparkSession, client: str, staging: str, directory: DataFrame, out_dir: str, enabled=QUERIES) -> dict[str, str]:
+    """The client has sent everything: its staged transfers are closed, and its results written."""
+    ingest.finish(spark, staging, client)
+    return run_client(spark, client, ingest.staged(spark, staging, client), directory, out_dir, enabled)
+
+
+def abort_client(spark: SparkSession, client: str, folders: list[str], staging: str | None = None) -> None:
+    """Ends the client's stream and jobs, so nothing writes any more, and then deletes its folders; other clients aren't touched.
+
+    In `staging` the client is marked first: what it still sends is ignored.
+    """
+    if staging is not None:
+        ingest.abort(spark, staging, client)
+        folders = [*folders, f"{staging}/client_id={client}"]
     spark.sparkContext.cancelJobGroup(f"client-{client}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for f in folders:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundtrace.functions.expressions import bank_id
+from fundtrace.functions.expressions import bank_id, stripped
 
 #: Widest UTF-8 value in bytes that each text column may hold.
 MAX_BYTES = {"ts": 19, "from_bank": 16, "from_account": 32, "to_bank": 16, "to_account": 32, "currency": 32, "fmt": 32}
@@ -40,24 +40,43 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return first.value.rstrip("\r").split(",")
 
 
-def read_transactions(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
-    """Transfers of one CSV file or folder.
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """line, f, b (its file and split), i (ascending within a split)."""
+    return spark.read.text(paths).select(
+        F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+
+
+def read_transactions(spark: SparkSession, path: str | list[str], mode: str = "failfast") -> DataFrame:
+    """Transfers of one CSV file, a folder or a list of files, each file by its own header.
 
     mode: failfast raises for the first bad row as the query runs; quarantine returns all rows with a column
     `error`, null for good ones. A row is bad if its field count differs from the header's, a needed field is
-    empty or too wide, or the amount isn't a finite number. row_number orders rows as the file has them.
+    empty or too wide, or the amount isn't a finite number. row_number orders rows by file name, then as the file has them.
     """
-    header = _header(spark, path)
+    lines = _lines(spark, path)
+    # One row for each file: its first line, from its first split.
+    heads = {r.f: r.line for r in lines.filter("b = 0").groupBy("f").agg(F.min_by("line", "i").alias("line")).collect()}
+    if not heads:
+        raise BadInput(f"{path} has no header")
+    files = sorted(heads)
+    bits = max(1, len(files).bit_length())
+    rank = spark.createDataFrame([(f, k, heads[f]) for k, f in enumerate(files)], "f string, rank long, head string")
+    # File, split by its first megabyte, and line: in the order of the file, whatever split a task reads first.
+    number = F.shiftleft("rank", 63 - bits) + F.shiftleft(F.shiftright("b", 20), 28) + F.expr("i & ((1L << 28) - 1)")
+    known = lines.join(F.broadcast(rank), "f").filter("line != head").withColumn("number", number)
+    whole = None
+    for head in sorted(set(heads.values())):
+        part = _parsed(known.filter(F.col("head") == head), head.split(","), mode)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def _parsed(lines: DataFrame, header: list[str], mode: str) -> DataFrame:
     at = transaction_positions(header)
-    lines = (
-        spark.read.text(path)
-        .select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-        .filter(F.col("line") != ",".join(header))
-    )
     n = len(header)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
     parsed = lines.withColumn("r", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}))
-    fields = {name: F.trim(F.col(f"r.c{i}")) for name, i in at.items()}
+    fields = {name: stripped(F.col(f"r.c{i}")) for name, i in at.items()}
     amount = F.expr(f"try_cast(trim(r.c{at['amount']}) AS DOUBLE)")
     empty = F.coalesce(*[F.when(F.coalesce(c, F.lit("")) == "", F.lit(f"empty {k}")) for k, c in fields.items()])
     wide = F.coalesce(*[F.when(F.octet_length(fields[k]) > w, F.lit(f"{k} over {w} bytes")) for k, w in MAX_BYTES.items()])
@@ -68,7 +87,7 @@ def read_transactions(spark: SparkSession, path: str, mode: str = "failfast") ->
         F.when(amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf")), F.lit("amount isn't a finite number")),
     )
     out = parsed.select(
-        F.col("i").alias("row_number"), *[(amount if k == "amount" else c).alias(k) for k, c in fields.items()],
+        F.col("number").alias("row_number"), *[(amount if k == "amount" else c).alias(k) for k, c in fields.items()],
         error.alias("error"), "line",
     )
     if mode == "quarantine":
@@ -87,6 +106,6 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     return (
-        rows.select(bank_id(F.col(f"c{names.index('Bank ID')}")).alias("bank_id"), F.trim(f"c{names.index('Bank Name')}").alias("bank_name"))
+        rows.select(bank_id(F.col(f"c{names.index('Bank ID')}")).alias("bank_id"), stripped(F.col(f"c{names.index('Bank Name')}")).alias("bank_name"))
         .filter("bank_id != '' AND bank_name IS NOT NULL").distinct()
     )

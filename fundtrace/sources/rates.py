@@ -19,3 +19,9 @@ def rates(spark: SparkSession, cached: DataFrame | None = None) -> DataFrame:
 
 def currencies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(V.CURRENCY_ISO.items()), "currency string, iso string")
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """(date, iso, rate) from a JSON file {date: {iso: rate}}, as rate services cache them."""
+    days = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("date", "rates"))
+    return days.select("date", F.explode("rates").alias("iso", "rate"))

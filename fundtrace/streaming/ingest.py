@@ -3,45 +3,71 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundtrace.sources.csv_files import read_transactions
+
 TRANSFER_SCHEMA = "row_number long, ts string, from_bank string, from_account string, to_bank string, to_account string, amount double, currency string, fmt string"
 
 
-FINISHED = "_FINISHED"
+FINISHED, ABORTED = "_FINISHED", "_ABORTED"
 
 
-def _marker(spark: SparkSession, staging: str, client: str):
-    """The client's end marker as a Hadoop path, and its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/{FINISHED}-{client}")
+def _marker(spark: SparkSession, staging: str, client: str, kind: str):
+    """A marker of the client as a Hadoop path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/{kind}-{client}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def finish(spark: SparkSession, staging: str, client: str) -> None:
     """The client's input is complete: its results may be computed, and what arrives later is ignored."""
-    fs, path = _marker(spark, staging, client)
+    fs, path = _marker(spark, staging, client, FINISHED)
     fs.create(path, True).close()
 
 
-def is_finished(spark: SparkSession, staging: str, client: str) -> bool:
-    fs, path = _marker(spark, staging, client)
+def _marked(spark: SparkSession, staging: str, client: str, kind: str) -> bool:
+    fs, path = _marker(spark, staging, client, kind)
     return fs.exists(path)
 
 
-def stage(spark: SparkSession, source: str, staging: str, checkpoint: str, client: str, schema: str = TRANSFER_SCHEMA, max_files: int = 100) -> None:
-    """Takes what is new in `source` (Parquet files) to staging/client_id=/batch_id=.
+def is_finished(spark: SparkSession, staging: str, client: str) -> bool:
+    return _marked(spark, staging, client, FINISHED)
+
+
+def is_aborted(spark: SparkSession, staging: str, client: str) -> bool:
+    return _marked(spark, staging, client, ABORTED)
+
+
+def abort(spark: SparkSession, staging: str, client: str) -> None:
+    """Marks the client, so that no batch of it is taken any more, and ends its stream if this session runs it."""
+    fs, path = _marker(spark, staging, client, ABORTED)
+    fs.create(path, True).close()
+    for q in spark.streams.active:
+        if q.name == f"client-{client}":
+            q.stop()
+
+
+def stage(spark: SparkSession, source: str, staging: str, checkpoint: str, client: str, schema: str = TRANSFER_SCHEMA, max_files: int = 100, kind: str = "parquet") -> None:
+    """Takes what is new in `source` (Parquet files, or CSV files with a header each) to staging/client_id=/batch_id=.
 
     A batch that is replayed after a crash overwrites its own folder, so each file counts once. After finish()
-    nothing is taken any more.
+    or abort() nothing is taken any more, not even by a batch that has begun. CSV files are parsed by their own headers,
+    and a bad row fails the batch.
     """
-    if is_finished(spark, staging, client):
+    if is_finished(spark, staging, client) or is_aborted(spark, staging, client):
         return
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{staging}/client_id={client}/batch_id={batch_id}")
-
-    (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-        .writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    )
+        if kind == "csv":
+            files = [r.f for r in batch.select(F.col("_metadata.file_path").alias("f")).distinct().collect()]  # max_files at most
+            if not files:
+                return
+            batch = read_transactions(spark, files)
+        if not is_aborted(spark, staging, client):
+            batch.write.mode("overwrite").parquet(f"{staging}/client_id={client}/batch_id={batch_id}")
+
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    stream = reader.text(source).select("value", "_metadata") if kind == "csv" else reader.schema(schema).parquet(source)
+    query = stream.writeStream.queryName(f"client-{client}").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def staged(spark: SparkSession, staging: str, client: str) -> DataFrame:

@@ -200,3 +200,87 @@ def test_command_line(spark, tmp_path):
     paths = main([str(tmp_path / "t.csv"), str(tmp_path / "a.csv"), str(tmp_path / "out"), "--queries", "q1,q2,q5"])
     assert list(paths) == ["q1", "q2", "q5"]
     assert spark.read.option("header", True).csv(paths["q2"]).collect()[0].asDict() == {"From Bank": "1", "Account": "A", "Bank Name": "One", "Amount Paid": "12.50"}
+
+
+def test_white_space_and_digits_of_any_script(spark):
+    t = tx(spark, [dict(from_bank="\t007\u00a0", amount=1.0), dict(from_bank="\u0660\u0661", amount=2.0), dict(from_bank=" AB1\x1f", amount=3.0)])
+    assert got(transfers.largest_per_bank(t), "bank_id") == [("1",), ("7",), ("AB1",)]
+
+
+def test_client_without_a_match_counts_zero(spark):
+    from pyspark.sql import functions as F
+
+    t = tx(spark, [dict(amount=0.5)]).withColumn("client_id", F.lit(1)).union(tx(spark, [dict(amount=9.0)]).withColumn("client_id", F.lit(2)))
+    assert got(transfers.count_under_dollar(t, rates.currencies(spark), rates.rates(spark), ("client_id",)), "client_id", "count") == [(1, 1), (2, 0)]
+    more = spark.createDataFrame([(1,), (2,), (3,)], "client_id int")
+    assert got(transfers.count_under_dollar(t, rates.currencies(spark), rates.rates(spark), ("client_id",), more), "client_id", "count") == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_two_decimals_as_printed(spark):
+    values = [0.125, 1.005, 2.675, 0.375, 1234567.895, -0.001, 20.005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(sinks.two_decimals(df.v).alias("s")).collect()] == [f"{v:.2f}" for v in values]
+
+
+def test_result_equals_what_was_written_and_read(spark, tmp_path):
+    df = transfers.small_usd(tx(spark, [dict(amount=0.125), dict(amount=2.675)]))
+    published = sinks.as_published("q1", df)
+    path = sinks.write_expected("q1", df, str(tmp_path), "inline rows")
+    assert compare.difference(sinks.read_result(spark, "q1", path), published, ("Amount Paid",)).count() == 0
+    assert compare.difference(sinks.read_result(spark, "q1", path), sinks.as_published("q1", df.limit(1)), ("Amount Paid",)).count() == 1
+
+
+HEAD = "Timestamp,From Bank,Account,To Bank,Account,Amount Paid,Payment Currency,Payment Format"
+
+
+def test_each_file_has_its_own_header_and_place(spark, tmp_path):
+    (tmp_path / "b.csv").write_text(HEAD + "\n2022/09/01 00:00,3,third,2,B,1,US Dollar,Wire\n")
+    (tmp_path / "a.csv").write_text("Payment Format,From Bank,Account,To Bank,Account,Amount Paid,Payment Currency,Timestamp\r\nWire,1,first,2,B,1,US Dollar,2022/09/01 00:00\r\nWire,2,second,2,B,1,US Dollar,2022/09/01 00:00\r\n")
+    rows = csv_files.read_transactions(spark, str(tmp_path)).orderBy("row_number").collect()
+    assert [r.from_account for r in rows] == ["first", "second", "third"] and len({r.row_number for r in rows}) == 3
+
+
+def test_csv_upload_gives_results_once_the_client_is_done(spark, tmp_path):
+    src, out, ck = (tmp_path / x for x in ("in", "staging", "ck"))
+    src.mkdir()
+    names = spark.createDataFrame([("1", "One")], "bank_id string, bank_name string")
+    (src / "1.csv").write_text(HEAD + "\n2022/09/01 00:00,001,A,2,B,12.5,US Dollar,Wire\n")
+    ingest.stage(spark, str(src), str(out), str(ck), "1", kind="csv")
+    (src / "2.csv").write_text(HEAD + "\n2022/09/01 00:00,001,C,2,B,30,US Dollar,Wire\n")
+    ingest.stage(spark, str(src), str(out), str(ck), "1", kind="csv")
+    paths = session.complete(spark, "1", str(out), names, str(tmp_path / "results"), ("q1", "q2"))
+    assert spark.read.option("header", True).csv(paths["q2"]).first()["Account"] == "C"
+    assert spark.read.option("header", True).csv(paths["q1"]).count() == 2
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_abort_of_a_client_that_is_sending(spark, tmp_path):
+    """Its stream ends, nothing of it is left, and what it sends later is ignored."""
+    import threading
+    import time
+
+    src, out, ck = (tmp_path / x for x in ("in", "staging", "ck"))
+    for k in range(40):
+        tx(spark, [dict(amount=float(k))]).coalesce(1).write.mode("append").parquet(str(src))
+    sender = threading.Thread(target=lambda: ingest.stage(spark, str(src), str(out), str(ck), "5", max_files=1), daemon=True)
+    sender.start()
+    while not (out / "client_id=5").exists():
+        time.sleep(0.1)
+    session.abort_client(spark, "5", [str(ck)], str(out))
+    sender.join(60)
+    assert not sender.is_alive() and not (out / "client_id=5").exists() and not ck.exists()
+    ingest.stage(spark, str(src), str(out), str(ck), "5")
+    assert not (out / "client_id=5").exists()
+
+
+def test_hot_intermediary_is_dealt_by_its_measured_size(spark):
+    rows = [dict(from_account=f"A{i}", to_account="M", to_bank="1") for i in range(8)] + [dict(from_account="M", to_account=f"B{i}", to_bank="1") for i in range(9)] + [dict(from_account="A1", to_account="N", to_bank="1"), dict(from_account="N", to_account="B1", to_bank="1")]
+    g = two_hop.counted(two_hop.edges(tx(spark, rows)))
+    assert got(two_hop.hot_intermediaries(g, 70), "m_account") == [("M",)] and two_hop.hot_intermediaries(g, 72).isEmpty()
+    assert compare.difference(two_hop.two_hop_paths(g), two_hop.two_hop_paths(g, hot_pairs=70)).count() == 0
+
+
+def test_cached_rates_from_a_file(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"2022-09-01": {"SEK": 10.5, "EUR": 9.0}}')
+    merged = {(r.date, r.iso): r.rate for r in rates.rates(spark, rates.read_rates(spark, str(tmp_path / "r.json"))).collect()}
+    assert merged["2022-09-01", "SEK"] == 10.5 and merged["2022-09-01", "EUR"] == 1.0002
