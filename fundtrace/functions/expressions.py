@@ -9,23 +9,21 @@ from pyspark.sql import functions as F
 from fundtrace.functions import reference_values as V
 
 
-#: White space at either end: what Unicode calls so, and the four separator controls.
-_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-# Decimal digits of all scripts and their values, by rule.
-_DIGITS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+# White space of Unicode and the four separator controls, and the decimal digits of other scripts with their values, by rule.
+_SPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
 _VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
 
 def stripped(raw: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(raw, _ENDS, "")
+    return F.btrim(raw, F.lit(_SPACE))
 
 
 def bank_id(raw: Column) -> Column:
     """A bank id as an integer's text if it is all digits, of any script, else the stripped text."""
     text = stripped(raw)
-    number = lambda t: F.regexp_replace(t, "^0+(?=.)", "")
-    return F.when(text.rlike("^[0-9]+$"), number(text)).when(text.rlike(r"^\p{Nd}+$"), number(F.translate(text, "".join(_DIGITS), _VALUES))).otherwise(text)
+    return F.when(text.rlike(r"^\p{Nd}+$"), F.regexp_replace(F.translate(text, "".join(_DIGITS), _VALUES), "^0+(?=.)", "")).otherwise(text)
 
 
 def is_usd() -> Column:

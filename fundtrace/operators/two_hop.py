@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
 from fundtrace.functions.expressions import bank_id, in_text_window, is_usd, stripped
-from fundtrace.operators.transfers import small_side
 
 EDGE = ("src_bank", "src_account", "dst_bank", "dst_account")
 
@@ -66,14 +65,11 @@ def two_hop_paths(g: DataFrame, keys: tuple = (), hot_pairs: int = HOT_PAIRS, gr
     """Number of paths per pair of different ends, by multiplicity; g: counted gated edges.
 
     An intermediary with more than hot_pairs pairs of ends is dealt over a grid of blocks, so that no task makes all its
-    pairs; the others are one block. As many hot ones as the driver may broadcast are few: each has over a thousand edges.
+    pairs; the others are one block. The degrees come from the edges counted anyway, in the same job.
     """
     first, second = _sides(g, keys)
     m = [*keys, "m_bank", "m_account"]
     hot = hot_intermediaries(g, hot_pairs, keys).withColumn("hot", F.lit(True))
-    if hot.isEmpty():
-        return _summed(first.join(second, m), keys)
-    hot = small_side(hot)
     blocks = lambda n: F.when(F.col("hot"), F.lit(n)).otherwise(1)
     block = lambda end, n: F.pmod(F.hash(f"{end}_bank", f"{end}_account"), blocks(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
