@@ -1,7 +1,9 @@
 """A corpus made ready for training: five stages, each written and read again before the next.
 
 Stages judge rows, not doc_ids: rows without a doc_id are treated like all others, and of rows that share a doc_id but not
-a text each has its own verdict. Equal rows (doc_id and text) have the same one.
+a text each has its own verdict. Equal rows (doc_id and text) have the same one. Null and empty texts have no language and
+go in the first stage; of ties in a group the smallest doc_id stays, then the smallest key. Columns besides those of
+documents are kept as they are, whatever their names; an empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession
