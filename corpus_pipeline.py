@@ -13,7 +13,7 @@ from fundtrace.llm import decontaminate, jaccard, language, packing, substring
 from fundtrace.llm.store import checked_broadcast, written
 
 
-ROW = "row_key"
+ROW, KEPT = "__row_key", "__kept"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,10 +58,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand elsewhere too go; other documents keep their text as it is."""
-    found = substring.dedup(_by_row(docs)).filter("n_removed > 0").select(F.col("doc_id").alias(ROW), "kept")
+    found = substring.dedup(_by_row(docs)).filter("n_removed > 0").select(F.col("doc_id").alias(ROW), F.col("kept").alias(KEPT))
     changed = written(found.dropDuplicates([ROW]), "changed")
     rest = _keyed(docs).drop("text", "n_chars").join(changed, ROW)
-    new = rest.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    new = rest.withColumn("text", F.col(KEPT)).withColumn("n_chars", F.length(KEPT).cast("long"))
     return _without(_keyed(docs), changed).select(*docs.columns).unionByName(new.select(*docs.columns))
 
 
