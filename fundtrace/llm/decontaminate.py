@@ -4,7 +4,7 @@ Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. A win
 an item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
 
 Null and empty texts have no words; empty items never occur; repeated items and windows count for each item. Windows of
-items without an id hit words like all others, but name no item. Every row of documents is answered by itself, in however
+items without an id hit words like all others, but name no item. Long texts are scanned whole. Every row of documents is answered by itself, in however
 many rounds, and whether its doc_id is null or repeated.
 """
 
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from fundtrace.llm.store import thrifty
 
 WINDOW = 13
-#: Windows for one automaton; a benchmark with more is scanned in that many rounds, so no task holds more.
+#: Windows for one automaton, and their size: characters, and ITEM for each item that has one. A benchmark with more is scanned in
+#: rounds, so no task holds more. Measured: an automaton takes 48 MB per million characters, so about 290 MB at most.
 MAX_WINDOWS = 400_000
+MAX_SIZE = 6_000_000
+ITEM = 2
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
@@ -48,7 +51,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, found: list) -> DataFrame:
-    """found: (window, items) rows, at most MAX_WINDOWS. Gives row (a hash of the text), n_words, hit word spans and items of each document."""
+    """found: (window, items) rows, within MAX_WINDOWS and MAX_SIZE. Gives row (a hash of the text), n_words, hit word spans and items of each document."""
     held = docs.sparkSession.sparkContext.broadcast([(r.window, list(r.items)) for r in found])
 
     def run(batches):
@@ -91,15 +94,19 @@ def covered(spans) -> int:
     return total
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, max_size: int = MAX_SIZE) -> DataFrame:
     """One row per document: doc_id, n_words, spans (from, to word places in turn), items (ids as sorted strings)."""
-    w = windows(benchmark)
-    n = w.count()
-    rounds = max(1, -(-n // max_windows))
+    w = windows(benchmark).persist()
+    n, size = w.agg(F.count("*"), F.coalesce(F.sum(F.length("window") + 2 + ITEM * F.size("items")), F.lit(0))).first()
+    rounds = max(1, -(-n // max_windows), -(-size // max_size))
     if rounds == 1:
-        return _scan(docs, w.collect()).drop("row")
-    w = w.persist()
-    parts = [_scan(docs, w.filter(F.pmod(F.xxhash64("window"), F.lit(2 * rounds)) == i).collect()) for i in range(2 * rounds)]
+        found = w.collect()
+        w.unpersist()
+        return _scan(docs, found).drop("row")
+    # A third more rounds than that, as a hash doesn't deal windows evenly.
+    rounds += -(-rounds // 3)
+    parts = [_scan(docs, w.filter(F.pmod(F.xxhash64("window"), F.lit(rounds)) == i).collect()) for i in range(rounds)]
+    w.unpersist()
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -110,7 +117,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
     return rows.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "n_words", "spans", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, max_size: int = MAX_SIZE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items."""
     def digest(batches):
         for b in batches:
@@ -123,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
                  pa.array([h > 0 and ONE_IN * h >= n for h, n in zip(hits, b.column("n_words").to_pylist())], pa.bool_()), pa.array(spans, pa.list_(pa.int32())), b.column("items")],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
-    return matches(docs, benchmark, max_windows).mapInArrow(thrifty(digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
+    return matches(docs, benchmark, max_windows, max_size).mapInArrow(thrifty(digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
 
 
 CONTRACT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

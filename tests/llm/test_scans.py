@@ -50,6 +50,8 @@ def test_decontamination_answers_every_row_in_rounds(spark, documents):
     whole, parts = (decontaminate.decontaminate(df, bench, limit).collect() for limit in (10**6, 3))
     assert sorted((tuple(r)[:6] for r in whole), key=str) == sorted((want(d, t) for d, t in rows), key=str)
     assert sorted(map(tuple, parts), key=str) == sorted(map(tuple, whole), key=str)
+    by_size = decontaminate.decontaminate(df, bench, max_size=1500).collect()
+    assert sorted(map(tuple, by_size), key=str) == sorted(map(tuple, whole), key=str)
 
 
 def brute_measures(t):
