@@ -1,6 +1,6 @@
 """Queries of this subpackage, by number."""
 
-from fundtrace.llm import collocations, decontaminate, html_text, jaccard, language, licences, packing, quality_model, quality_rules, substring, toxicity
+from fundtrace.llm import collocations, decontaminate, html_text, jaccard, language, licences, packing, quality_model, quality_rules, spelling, substring, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_licence_scan": licences.query,
         "op9_packing": packing.query,
         "op10_substring_dedup": substring.query,
+        "op11_spelling": spelling.query,
         "op12_collocations": collocations.query,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard.SQL,
         "op8_licence_scan": licences.SQL,
         "op10_substring_dedup": substring.SQL,
+        "op11_spelling": spelling.SQL,
         "op12_collocations": collocations.SQL,
     }
