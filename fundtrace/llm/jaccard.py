@@ -22,6 +22,8 @@ Equal doc_ids: each row is answered. A row without doc_id is answered as well: i
 reaches, null if there is none. Very long texts: sets of any size have a band. Empty table: no rows.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +36,16 @@ from fundtrace.llm.store import checked_broadcast, counted, thrifty, with_keys,
 from fundtrace.llm.text import LOWER, gram_hashes, mix, pieces, word_hashes, word_spans
 
 SHINGLE = 5
+
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the percentage of their union that linked sets share."""
+
+    words: int
+    percent: int
+
+
+FIVE_WORDS = Rule(SHINGLE, 75)
 #: Documents of a key that are paired among themselves; keys of more are frequent.
 FEW = 8
 #: Documents in a block of the comparison of frequent keys' members.
@@ -54,18 +66,18 @@ MOST_DIFFER = ((EDGES[1:] - 1) + 4 * (EDGES[1:] - 1) // 3) // 7
 SEGMENTS = np.ceil(1.3 * (MOST_DIFFER + 1)).astype(np.int64) + 4
 
 
-def shingle_sets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+def shingle_sets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHINGLE):
     """(text, hash) of the distinct shingles in order, and the number for each text."""
     low = _LOWER[buf]
     first, last, n = word_spans(low, starts, ends)
     words = word_hashes(low, first, last)
     base = np.r_[0, np.cumsum(n)[:-1]]
-    grams = gram_hashes(words, SHINGLE)
-    long = np.maximum(n - SHINGLE + 1, 0)
+    grams = gram_hashes(words, k)
+    long = np.maximum(n - k + 1, 0)
     of = np.repeat(np.arange(len(n)), long)
     at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(base, long)
     h = grams[at] if len(at) else np.zeros(0, np.uint64)
-    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    short = np.flatnonzero((n > 0) & (n < k))
     whole = np.array([gram_hashes(words[base[i] : base[i] + n[i]], int(n[i]))[0] ^ np.uint64(n[i]) for i in short], np.uint64)
     of, h = np.r_[of, short], np.r_[h, whole]
     order = np.lexsort((h, of))
@@ -294,31 +306,31 @@ def _near(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(thrifty(run), "a long, b long")
 
 
-def _linked(common, x, y):
-    return 100 * common >= 75 * (x + y - common)
+def _linked(common, x, y, percent):
+    return 100 * common >= percent * (x + y - common)
 
 
-def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, alike: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of sets that link; every pair is compared by all its shingles."""
+def confirmed(near: DataFrame, known: DataFrame, rows: DataFrame, alike: np.ndarray, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of sets that link, of those in near; every pair is compared by all its shingles."""
     def run(batches):
         for b in batches:
             ok = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = np.count_nonzero(np.isin(x, y, assume_unique=True, kind="sort")) if len(x) else 0
-                ok.append(_linked(common, len(x), len(y)))
+                ok.append(_linked(common, len(x), len(y), rule.percent))
             m = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], ["a", "b"])
 
-    near, seen = counted(_near(pairs, known), "near")
+    near, seen = counted(near, "near")
     if not seen["n"]:
         return near
-    sets = written(_sets(rows, near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), known, alike), "sets")
+    sets = written(_sets(rows, near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), known, alike, rule), "sets")
     sides = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
     return sides.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long")
 
 
-def _settled(members: DataFrame, roots: DataFrame | None, check) -> tuple[DataFrame, DataFrame, int]:
+def settled(members: DataFrame, roots: DataFrame | None, check) -> tuple[DataFrame, DataFrame, int]:
     """Components with what links the sets of each key, and the members of frequent keys that are in different ones, and their number.
 
     members: key, set_id, hub, size (more than one); roots: components so far; check: pairs -> those that link. The sets of
@@ -337,16 +349,16 @@ def _settled(members: DataFrame, roots: DataFrame | None, check) -> tuple[DataFr
     return roots, rest.filter(F.col("size") > FEW).select("key", "set_id", "hub", "size"), seen["frequent"]
 
 
-def _by_key(rows: DataFrame) -> DataFrame:
+def by_key(rows: DataFrame) -> DataFrame:
     """(key, set_id, size, hub) of the keys that several sets have; rows: distinct (key, set_id)."""
     size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("hub")).filter("size > 1")
     return rows.join(size, "key").select("key", "set_id", "size", "hub")
 
 
-def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _rarest(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(key, set_id): of each set of members as many of its rarest shingles as linked sets can't all lack.
 
-    A set of n shingles shares at least three quarters with a linked one, so among its rarest n / 4 + 1, in an
+    A set of n shingles shares at least the rule's share s of them with a linked one, so among its rarest (1 - s) n + 1, in an
     order that all sets keep, one is shared. What makes keys frequent, passages that many texts have, comes last here.
     """
     def run(batches):
@@ -360,11 +372,11 @@ def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     size = tokens.groupBy("key").agg(F.count("*").alias("size"))
     order = F.array_sort(F.collect_list(F.struct("size", "key")))
     lists = tokens.join(size, "key").groupBy("set_id").agg(order.alias("t"))
-    first = F.slice("t", 1, F.expr("CAST(size(t) - ceil(0.75D * size(t)) + 1 AS INT)"))
+    first = F.slice("t", 1, F.expr(f"CAST(size(t) - (size(t) * {rule.percent} + 99) div 100 + 1 AS INT)"))
     return lists.select("set_id", F.explode(F.filter(first, lambda x: x["size"] > 1)).alias("x")).select(F.col("x.key").alias("key"), "set_id")
 
 
-def _block_links(df: pd.DataFrame) -> pd.DataFrame:
+def _block_links(df: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the two sides of a pair of blocks, one for each set of the left side and component of the right."""
     left, right = df[df["side"] == 0], df[df["side"] == 1]
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -385,13 +397,13 @@ def _block_links(df: pd.DataFrame) -> pd.DataFrame:
             parts.append(part)
         common += parts[0] @ parts[1].T
     x, y = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    ok = _linked(common, x, y) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
+    ok = _linked(common, x, y, percent) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
     i, j = np.nonzero(ok)
     found = pd.DataFrame({"a": left["set_id"].to_numpy()[i], "b": right["set_id"].to_numpy()[j], "of": right["component"].to_numpy()[j]})
     return found.drop_duplicates(["a", "of"])[["a", "b"]]
 
 
-def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the sets of frequent keys, compared in blocks; members: key, set_id; now: components so far.
 
     Members joined by any key form a family. Sets of its largest component are told from the others, and only
@@ -410,18 +422,14 @@ def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame) -> DataFra
     # The right side goes only to blocks that hold sets to be compared.
     asked = out.select("family", F.col("block").alias("lb")).distinct()
     right = member.select("family", "set_id", "component", "n", "hashes", F.col("block").alias("rb"), F.lit(1).alias("side")).join(asked, "family").select(*left.columns)
-    return left.unionByName(right).groupBy("family", "lb", "rb").applyInPandas(_block_links, "a long, b long")
+    return left.unionByName(right).groupBy("family", "lb", "rb").applyInPandas(lambda df: _block_links(df, percent), "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, null if none has one), a row for each of docs."""
     spark, rows = docs.sparkSession, _rows(docs)
     info = written(_described(rows), "described")
-    # Different sets that one hash takes for equal: about one pair among 6 billion documents.
-    alike = info.filter("n > 0").groupBy("set_id").agg(F.min("second").alias("p"), F.max("second").alias("q")).filter("p != q").select("set_id")
-    alike = np.sort(np.array([r.set_id for r in alike.limit(100_000).collect()], np.int64))
-    if len(alike):
-        info = info.mapInArrow(lambda batches: (b.set_column(b.schema.get_field_index("set_id"), "set_id", pa.array(_named(b.column("set_id").to_numpy().view(np.uint64), b.column("second").to_numpy().view(np.uint64), alike))) for b in batches), info.schema)
+    info, alike = told_apart(info)
     known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "known")
     total = known.agg(F.sum("n")).head()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * total // BUCKET_BYTES, 8)
@@ -432,18 +440,36 @@ def join(docs: DataFrame) -> DataFrame:
     there = matched.filter("size IS NOT NULL").select("key", "set_id", "size", "hub")
     keys = checked_broadcast(written(apart.select("key").distinct(), "apart"))
     whole = there.join(keys, "key", "left_anti")
-    scattered = _by_key(there.join(keys, "key", "left_semi").select("key", "set_id").union(apart).distinct())
+    scattered = by_key(there.join(keys, "key", "left_semi").select("key", "set_id").union(apart).distinct())
     members = written(whole.unionByName(scattered.select(*whole.columns)), "members")
-    kept = _by_key(_unneeded_left_out(members.filter(F.col("size") > FEW), spare).select("key", "set_id"))
+    kept = by_key(_unneeded_left_out(members.filter(F.col("size") > FEW), spare).select("key", "set_id"))
     members = written(members.filter(F.col("size") <= FEW).unionByName(kept), "kept")
 
-    check = lambda pairs: _verified(pairs, known, rows, alike)
-    roots, rest, n = _settled(members, None, check)
+    check = lambda pairs: confirmed(_near(pairs, known), known, rows, alike, FIVE_WORDS)
+    return labelled(info, known, finished(*settled(members, None, check), check, known, rows, alike, FIVE_WORDS))
+
+
+def told_apart(info: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """info with another set_id for sets that one hash alone takes for equal, and these hashes: of N sets about N ** 2 / 2 ** 65, one of 6 billion."""
+    alike = info.filter("n > 0").groupBy("set_id").agg(F.min("second").alias("p"), F.max("second").alias("q")).filter("p != q").select("set_id")
+    alike = np.sort(np.array([r.set_id for r in alike.collect()], np.int64))
+    if len(alike):
+        info = info.mapInArrow(lambda batches: (b.set_column(b.schema.get_field_index("set_id"), "set_id", pa.array(_named(b.column("set_id").to_numpy().view(np.uint64), b.column("second").to_numpy().view(np.uint64), alike))) for b in batches), info.schema)
+    return info, alike
+
+
+def finished(roots: DataFrame, rest: DataFrame, n: int, check, known: DataFrame, rows: DataFrame, alike: np.ndarray, rule: Rule) -> DataFrame:
+    """Components once the n members (rest) of frequent keys that are still apart have been compared by their rarest shingles, or in blocks."""
     if n:
-        sets = written(_sets(rows, rest.select("set_id").distinct(), known, alike), "sets")
-        roots, rest, n = _settled(written(_by_key(_rarest(rest, sets)), "rarest"), roots, check)
+        sets = written(_sets(rows, rest.select("set_id").distinct(), known, alike, rule), "sets")
+        roots, rest, n = settled(written(by_key(_rarest(rest, sets, rule)), "rarest"), roots, check)
         if n:
-            roots = components(_block_pairs(rest.select("key", "set_id"), roots, sets), roots)
+            roots = components(_block_pairs(rest.select("key", "set_id"), roots, sets, rule.percent), roots)
+    return roots
+
+
+def labelled(info: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of info."""
     roots = roots.select(F.col("node").alias("set_id"), "component")
     placed = known.select("set_id", "doc_id", "copies").join(checked_broadcast(roots), "set_id", "left").withColumn("root", F.coalesce("component", "set_id"))
     # Of sets with neither links nor copies each document is its own component.
@@ -456,14 +482,14 @@ def join(docs: DataFrame) -> DataFrame:
 FILTER_BITS = 24
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarray) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarray, rule: Rule) -> DataFrame:
     """(set_id, n, hashes) of the wanted sets, from one document of each; its text is found by the text's own hash."""
     one, seen = counted(wanted.join(known.select("set_id", "rid"), "set_id"), "wanted")
 
     def run(batches):
         for b in batches:
             for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
-                of, h, n = shingle_sets(buf, starts, ends)
+                of, h, n = shingle_sets(buf, starts, ends, rule.words)
                 fp = _named(set_ids(of, h, n), set_ids(of, mix(h), n), alike)
                 cut = np.r_[0, np.cumsum(n)]
                 first = np.unique(fp, return_index=True)[1]
