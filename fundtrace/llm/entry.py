@@ -1,6 +1,6 @@
 """Queries of this subpackage, by number."""
 
-from fundtrace.llm import collocations, decontaminate, html_text, jaccard, language, licences, packing, quality_model, quality_rules, spelling, substring, toxicity
+from fundtrace.llm import collocations, decontaminate, html_text, jaccard, language, licences, odd_sketches, packing, quality_model, quality_rules, spelling, substring, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_substring_dedup": substring.query,
         "op11_spelling": spelling.query,
         "op12_collocations": collocations.query,
+        "op13_odd_sketches": odd_sketches.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": substring.SQL,
         "op11_spelling": spelling.SQL,
         "op12_collocations": collocations.SQL,
+        "op13_odd_sketches": odd_sketches.SQL,
     }
