@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundtrace.llm.store import thrifty
+from fundtrace.llm.store import checked_broadcast, small_batches, thrifty, written
 from fundtrace.llm.text import LOWER, pieces, word_hashes, word_spans
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -19,20 +19,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-#: Values of a sampled column; of more, the most frequent are learned.
-MOST_VALUES = 200
+#: Rows of a sample in all: with many values each gets fewer, but at least FEWEST.
+MOST_ROWS, FEWEST = 24_000, 8
 
 
 def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by`, chosen by a hash of doc_id; all rows of a rare value. `by` isn't null.
 
-    At most about MOST_VALUES * most rows, from the most frequent values (of equally frequent ones, the first).
+    Every value is in the sample, however many there are; of more than MOST_ROWS / most values each has less than `most` rows, and
+    of more than MOST_ROWS / FEWEST, as no set of languages or grades has, FEWEST.
     """
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(MOST_VALUES).collect()}
-    if not counts:
-        return rows
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
-    return rows.filter(F.pmod(F.xxhash64(F.lit(71), "doc_id"), F.lit(1_000_000)) < F.try_element_at(rate, F.col(by)) * 1_000_000)
+    counts = written(rows.groupBy(by).count(), "values")
+    share = max(FEWEST, min(most, MOST_ROWS // max(1, counts.count())))
+    rates = counts.select(by, F.least(F.lit(1.0), F.lit(share) / F.col("count")).alias("rate"))
+    number = F.pmod(F.xxhash64(F.lit(71), "doc_id"), F.lit(1_000_000))
+    return rows.join(checked_broadcast(rates), by).filter(number < F.col("rate") * 1_000_000).select(*rows.columns)
 
 
 def vectors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
@@ -78,14 +79,19 @@ def sample_vectors(docs: DataFrame, target: str, make=vectors) -> tuple[np.ndarr
                 at += len(ids)
 
     cols = docs.select("doc_id", "text", target)
-    rows = cols.mapInArrow(thrifty(run), f"doc_id long, {target} {dict(cols.dtypes)[target]}, v binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = cols.mapInArrow(thrifty(run), f"doc_id long, {target} {dict(cols.dtypes)[target]}, v binary").toArrow()
     if not len(rows):
         return np.zeros((0, 1 << BITS), np.float32), []
-    out = np.empty((len(rows), len(rows["v"].iloc[0]) // 2), np.float32)
-    for i, v in enumerate(rows["v"]):
-        out[i] = np.frombuffer(v, np.float16)
-    return out, rows[target].tolist()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    out, at = None, 0
+    for chunk in rows.column("v").chunks:
+        for v in chunk:
+            got = np.frombuffer(v.as_buffer(), np.float16)
+            out = np.empty((len(rows), len(got)), np.float32) if out is None else out
+            out[at] = got
+            at += 1
+    return out[order], rows.column(target).take(order).to_pylist()
 
 
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

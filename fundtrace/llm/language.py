@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import VECTOR_ROWS, held_out, sample_vectors, sampled, text_rows, vectors
-from fundtrace.llm.store import thrifty
+from fundtrace.llm.store import small_batches, thrifty
 from fundtrace.llm.text import pieces
 
 PER_LANGUAGE = 1200
@@ -130,7 +130,7 @@ def accepted(docs: DataFrame, labelled: DataFrame | None = None, per_language: i
             known = [_judged(model.value, buf, starts, ends)[0] != "und" for _, buf, starts, ends in pieces(b.column("doc_id"), b.column("text"), rows=VECTOR_ROWS)]
             yield b.filter(pa.array(np.concatenate(known) if known else [], pa.bool_()))
 
-    return docs.mapInArrow(thrifty(run), docs.schema)
+    return small_batches(docs).mapInArrow(thrifty(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
