@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -91,17 +92,46 @@ def with_keys(rows: DataFrame, keys: DataFrame, n: int, column: str, bits: int)
     return rows.mapInArrow(run, rows.schema)
 
 
+#: Bytes of an Arrow batch that goes to Python, unless the session has its own setting.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session cuts what goes to Python by bytes, so texts of some KB don't fill both sides' memory ten thousand at a time."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def thrifty(run):
     """run, a function of Arrow batches, that gives memory back to the system when its task ends: a worker outlives it."""
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            _give_back()
 
     return wrapped
+
+
+def thrifty_group(run):
+    """run, a function of pandas frames, that gives memory back to the system after each group."""
+    def wrapped(*frames: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(*frames)
+        finally:
+            _give_back()
+
+    # Spark tells functions with and without a key by their number of arguments.
+    n = run.__code__.co_argcount
+    return (lambda a: wrapped(a)) if n == 1 else (lambda a, b: wrapped(a, b))

@@ -303,9 +303,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     counts = searched.select(shard, "key", "content", "n", "windows")
     # A task gives a content once; of all tasks' the shard gets one.
     texts = _contents(rows, varied, crowded).dropDuplicates(["key", "content"]).select(shard, "key", "content", "words")
-    found = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInPandas(_shard, RESULT)
+    found = counts.groupBy("shard").cogroup(texts.groupBy("shard")).applyInPandas(thrifty_group(_shard), RESULT)
     masks = written(found.filter("mask != 0").union(plain), "masks")
-    return moved.select("rid", "start", "key", "content").join(masks, ["key", "content"]).groupBy("rid").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
+    return moved.select("rid", "start", "key", "content").join(masks, ["key", "content"]).groupBy("rid").agg(F.collect_set(F.struct("start", "mask")).alias("places"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
