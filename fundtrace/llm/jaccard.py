@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
 from fundtrace.llm.graph import components
-from fundtrace.llm.store import checked_broadcast, counted, thrifty, with_keys, written
+from fundtrace.llm.store import checked_broadcast, counted, thrifty, thrifty_group, with_keys, written
 from fundtrace.llm.text import LOWER, gram_hashes, mix, pieces, word_hashes, word_spans
 
 SHINGLE = 5
@@ -422,7 +422,7 @@ def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, percent: i
     # The right side goes only to blocks that hold sets to be compared.
     asked = out.select("family", F.col("block").alias("lb")).distinct()
     right = member.select("family", "set_id", "component", "n", "hashes", F.col("block").alias("rb"), F.lit(1).alias("side")).join(asked, "family").select(*left.columns)
-    return left.unionByName(right).groupBy("family", "lb", "rb").applyInPandas(lambda df: _block_links(df, percent), "a long, b long")
+    return left.unionByName(right).groupBy("family", "lb", "rb").applyInPandas(thrifty_group(lambda df: _block_links(df, percent)), "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def join(docs: DataFrame) -> DataFrame:
     known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "known")
     total = known.agg(F.sum("n")).head()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12 * total // BUCKET_BYTES, 8)
-    matched = written(_indexed(rows, buckets, alike).groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
+    matched = written(_indexed(rows, buckets, alike).groupBy("bucket").applyInPandas(thrifty_group(_match), MATCHED), "matched")
     spare = matched.filter("key IS NULL").select("set_id", "even", "odd", "single").distinct()
     # Keys that a task kept apart have members in many buckets; all others are complete.
     apart = matched.filter("key IS NOT NULL AND size IS NULL").select("key", "set_id")

@@ -1,13 +1,13 @@
 """Words, word hashes and sliding minima over Arrow text columns, vectorised with numpy.
 
-Everything works on UTF-8 bytes. Batches are cut into pieces of a few MB, so a task's memory doesn't follow
+Everything works on UTF-8 bytes. Batches are cut into pieces of a MB, so a task's memory doesn't follow
 the number of rows in a batch; a document longer than a piece makes a piece of its own.
 """
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 PIECE_ROWS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
