@@ -8,7 +8,8 @@ tasks as a bit set, in several rounds over slices of them if they are many, and
 A task counts in a HAT-trie: a shallow trie over the numbers of a phrase's language and first two words leads to containers hashed by
 the whole phrase. A container that grows too large bursts between two first words, or two second words where the first is the same.
 Beyond a number of entries whole subtrees are spilled as runs sorted by their words, the largest first. Spark deals the runs by
-(language, first two words) and adds them up there. Within a task words and phrases are told apart by 64-bit hashes, across tasks by their text.
+(language, first two words) and adds them up there. Pairs of frequent words are many, and most are rare: their runs are first
+spilled as packed hashes, merged by prefix, and only pairs whose hash is frequent are counted by their text. Within a task words and phrases are told apart by 64-bit hashes, across tasks by their text.
 
 Nulls: a null text is empty, a null lang is `und`. Empty texts have no words. Repeated rows count again. Ties in score go by a,
 then by the phrase's bytes, so ranks are definite. A text of any length is counted whole. An empty table gives no rows. Other columns are
@@ -18,12 +19,13 @@ ignored whatever their names.
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundtrace.llm.store import checked_broadcast, counted, hash_bit_set, held, thrifty, written
+from fundtrace.llm.store import checked_broadcast, counted, hash_bit_set, held, small_batches, thrifty, thrifty_group, written
 from fundtrace.llm.text import LOWER, gram_hashes, mix, pieces, word_hashes, word_spans
 
 LONGEST, LEAST = 5, 100
@@ -132,16 +134,74 @@ def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _counted_in_tasks(docs: DataFrame, k: int, words=None, bits: int = 0, part: int = 0, parts: int = 1) -> DataFrame:
+#: Entries of packed runs that a prefix partition should hold.
+PREFIX_ROWS = 1 << 22
+
+
+def _slots(gram: np.ndarray, prefixes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix partition of each phrase, and 32 other bits of its hash."""
+    return gram % np.uint64(prefixes), gram >> np.uint64(32)
+
+
+def _slot_hash(prefix: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix((prefix << np.uint64(32)) | key)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Small 32-bit numbers, first bytes first: those that are all zero compress away."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.uint64)
+
+
+def _packed(gram: np.ndarray, n: np.ndarray, prefixes: int) -> pa.RecordBatch:
+    """A run as (prefix, keys, counts): of each prefix the ascending keys, as differences, and their counts."""
+    prefix, key = _slots(gram, prefixes)
+    order = np.lexsort((key, prefix))
+    prefix, key, n = prefix[order], key[order], n[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]), len(prefix)] if len(prefix) else np.zeros(1, np.int64)
+    cols = [[], [], []]
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        cols[0].append(int(prefix[i]))
+        cols[1].append(_planes(np.diff(key[i:j], prepend=np.uint64(0))))
+        cols[2].append(_planes(np.minimum(n[i:j], np.uint64(0xFFFFFFFF))))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["prefix", "keys", "counts"])
+
+
+def _frequent_slots(runs: DataFrame, least: int) -> DataFrame:
+    """(slot): of the packed runs, merged by prefix, what is counted `least` times or more; the slot is a hash of prefix and key."""
+    def merge(df: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.cumsum(_numbers(x)) for x in df["keys"]])
+        counts = np.concatenate([_numbers(x) for x in df["counts"]])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        often = np.add.reduceat(counts, first) >= least
+        found = keys[first][often]
+        return pd.DataFrame({"slot": _slot_hash(np.full(len(found), df["prefix"].iloc[0], np.uint64), found).view(np.int64)})
+
+    return runs.groupBy("prefix").applyInPandas(thrifty_group(merge), "slot long")
+
+
+def _counted_in_tasks(docs: DataFrame, k: int, words=None, bits: int = 0, part: int = 0, parts: int = 1, prefixes: int = 0, slots: int = 0) -> DataFrame:
     """lang, phrase, gram, n: sorted runs of the phrases of k words whose parts of k - 1 words may be in the filter `words`.
 
-    Of several rounds each takes the phrases whose first part's hash is in its slice.
+    Of several rounds each takes the phrases whose first part's hash is in its slice. With `prefixes` the runs are packed, see _packed; with
+    `slots` the filter holds the phrases' own slots of so many prefixes.
     """
     def grams(hashes, k, salt):
         g = gram_hashes(hashes, k)
         return mix(g ^ salt[: len(g)] ^ np.uint64(k))
 
     def rows_of(trie, names, langs, most):
+        if prefixes:
+            # One run of all subtrees that are spilled now: packed runs are sorted by prefix anyway.
+            runs = list(trie.spilled(most))
+            if runs:
+                yield _packed(*np.concatenate(runs, axis=1)[2:], prefixes)
+            return
         text, of = pa.array(names.words, pa.binary()), pa.array(list(langs), pa.string())
         for path, rest, gram, n in trie.spilled(most):
             cols = [(path >> np.uint64(WORD_BITS)) & _WORD, path & _WORD, *[(rest >> np.uint64(WORD_BITS * i)) & _WORD for i in (2, 1, 0)]][:k]
@@ -177,9 +237,12 @@ def _counted_in_tasks(docs: DataFrame, k: int, words=None, bits: int = 0, part:
                     if parts > 1:
                         ok &= (parts_of[:-1] >> np.uint64(1)) % np.uint64(parts) == np.uint64(part)
                     at = np.flatnonzero(ok)
-                    at = at[held(words.value, parts_of[at], bits)]
-                    # The filter of a slice doesn't know the second part of a phrase.
-                    at = at[held(words.value, parts_of[at + 1], bits)] if parts == 1 else at
+                    if slots:
+                        at = at[held(words.value, _slot_hash(*_slots(grams(hashes, k, salt)[at], slots)), bits)]
+                    else:
+                        at = at[held(words.value, parts_of[at], bits)]
+                        # The filter of a slice doesn't know the second part of a phrase.
+                        at = at[held(words.value, parts_of[at + 1], bits)] if parts == 1 else at
                 else:
                     at = np.flatnonzero(ok)
                 gram, where, n = np.unique(grams(hashes, k, salt)[at], return_index=True, return_counts=True)
@@ -196,7 +259,7 @@ def _counted_in_tasks(docs: DataFrame, k: int, words=None, bits: int = 0, part:
                     names = _Names()
         yield from rows_of(trie, names, langs, 0)
 
-    return docs.mapInArrow(thrifty(run), "lang string, phrase string, gram long, n long")
+    return docs.mapInArrow(thrifty(run), "prefix long, keys binary, counts binary" if prefixes else "lang string, phrase string, gram long, n long")
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -209,21 +272,29 @@ def _merged(runs: DataFrame) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to `longest` words with f >= least, single words included; and (lang, n), all words."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     words = written(_merged(_counted_in_tasks(rows, 1)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level, seen = counted(words.filter(F.col("f") >= least), "phrases")
     levels = [level.withColumn("k", F.lit(1))]
+    size = lambda n: min(28, max(16, int(np.ceil(np.log2(16 * min(max(n, 1), ROUND_KEYS))))))
     for k in range(2, longest + 1):
         if not seen["n"]:
             break
-        parts = -(-seen["n"] // ROUND_KEYS)
-        bits = min(28, max(16, int(np.ceil(np.log2(16 * min(seen["n"], ROUND_KEYS))))))
+        parts, bits = -(-seen["n"] // ROUND_KEYS), size(seen["n"])
         runs = None
         for part in range(parts):
             keys = level.select("gram") if parts == 1 else level.filter(F.expr(f"shiftrightunsigned(gram, 1) % {parts} = {part}")).select("gram")
             filled = spark.sparkContext.broadcast(hash_bit_set(keys, "gram", bits))
-            mine = written(_merged(_counted_in_tasks(rows, k, filled, bits, part, parts)).filter(F.col("f") >= least), "phrases")
+            found = _counted_in_tasks(rows, k, filled, bits, part, parts)
+            if k == 2:
+                prefixes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals.agg(F.sum("n")).head()[0] or 0) // PREFIX_ROWS))
+                slots, kept = counted(_frequent_slots(_counted_in_tasks(rows, k, filled, bits, part, parts, prefixes), least), "slots")
+                filled.unpersist()
+                own = size(kept["n"])
+                filled = spark.sparkContext.broadcast(hash_bit_set(slots, "slot", own))
+                found = _counted_in_tasks(rows, k, filled, own, part, parts, slots=prefixes)
+            mine = written(_merged(found).filter(F.col("f") >= least), "phrases")
             filled.unpersist()
             runs = mine if runs is None else runs.unionByName(mine)
         level, seen = counted(runs, "phrases") if parts > 1 else (runs, {"n": runs.count()})
