@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
-from fundtrace.llm.store import hash_bit_set, held, thrifty, written
+from fundtrace.llm.store import hash_bit_set, held, thrifty, thrifty_group, written
 from fundtrace.llm.text import gram_hashes, mix, pieces, powers, window_min, word_hashes, word_spans
 
 WINDOW = 35
