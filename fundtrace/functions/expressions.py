@@ -20,10 +20,17 @@ def stripped(raw: Column) -> Column:
     return F.btrim(raw, F.lit(_SPACE))
 
 
+def ascii_digits(text: Column) -> Column:
+    """Digits of any script as those of ASCII."""
+    return F.translate(text, "".join(_DIGITS), _VALUES)
+
+
 def bank_id(raw: Column) -> Column:
     """A bank id as an integer's text if it is all digits, of any script, else the stripped text."""
     text = stripped(raw)
-    return F.when(text.rlike(r"^\p{Nd}+$"), F.regexp_replace(F.translate(text, "".join(_DIGITS), _VALUES), "^0+(?=.)", "")).otherwise(text)
+    other = F.when(text.rlike(r"^\p{Nd}+$"), F.regexp_replace(ascii_digits(text), "^0+(?=.)", "")).otherwise(text)
+    # Nearly all ids are ASCII digits as they stand: one regular expression and one trim.
+    return F.when(raw.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.ltrim(raw, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(other)
 
 
 def is_usd() -> Column:
@@ -35,8 +42,8 @@ def is_wire_or_ach() -> Column:
 
 
 def in_text_window(window: tuple[str, str]) -> Column:
-    """Inclusive comparison of the raw timestamp text; never parsed, never cast."""
-    return stripped(F.col("ts")).between(*window)
+    """Inclusive comparison of the raw timestamp text; never parsed, never cast. Sources have stripped it, so the bare column reaches the scan."""
+    return F.col("ts").between(*window)
 
 
 def day() -> Column:

@@ -30,16 +30,57 @@ def write_result(query: str, df: DataFrame, out_dir: str, client: str) -> str:
     return path
 
 
-def write_expected(query: str, df: DataFrame, folder: str, source: str) -> str:
-    """A result as the expectation of later runs: the published columns, and a column that says what it was made from."""
-    path = f"{folder}/expected_results/{query}"
-    as_published(query, df).withColumn("made_from", F.lit(source)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def _in_one_file(df: DataFrame, path: str, lines: list[str]) -> str:
+    """df as one CSV file below these lines. Tasks write its parts side by side; the file system joins them in order where it can (concat), else
+    their bytes are copied one after the other. The file appears whole, in one rename."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    parts, target = at(f"{path}.parts"), at(path)
+    df.write.mode("overwrite").option("header", False).option("escape", '"').csv(parts.toString())
+    fs = target.getFileSystem(conf)
+    whole = at(f"{path}.whole")
+    out = fs.create(whole, True)
+    out.write(bytearray("".join(x + "\n" for x in lines).encode()))
+    out.close()
+    names = sorted(s.getPath().getName() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-") and s.getLen())
+    every = [at(parts, n) for n in names]
+    if every:
+        sources = spark.sparkContext._gateway.new_array(at, len(every))
+        for i, p in enumerate(every):
+            sources[i] = p
+        try:
+            fs.concat(whole, sources)
+        except Exception as error:  # the file system's own error, through the gateway
+            if "UnsupportedOperation" not in type(error).__name__ + str(error):
+                raise
+            joined = at(f"{path}.joined")
+            out = fs.create(joined, True)
+            for p in (whole, *every):
+                source = fs.open(p)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                source.close()
+            out.close()
+            fs.delete(whole, False)
+            whole = joined
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError(f"{whole} can't become {target}")
+    fs.delete(parts, True)
     return path
 
 
-def read_result(spark, query: str, path: str) -> DataFrame:
-    """A result or expectation that was written, as text in the published columns."""
-    from pyspark.sql import types as T
+def publish(query: str, df: DataFrame, out_dir: str, client: str) -> str:
+    """The client's result under its published name."""
+    return _in_one_file(as_published(query, df), f"{out_dir}/results_{query}_{client}.csv", [",".join(HEADERS[query])])
 
-    cols = [T.StructField(h, T.StringType()) for h in HEADERS[query]]
-    return spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([*cols, T.StructField("made_from", T.StringType())])).csv(path).select(*[f"`{h}`" for h in HEADERS[query]])
+
+def write_expected(query: str, df: DataFrame, folder: str, source: str) -> str:
+    """A result as the expectation of later runs, with a first line that says what it was made from."""
+    return _in_one_file(as_published(query, df), f"{folder}/expected_results/{query}.csv", [f"# generated by fundtrace from {source}", ",".join(HEADERS[query])])
+
+
+def read_result(spark, query: str, path: str) -> DataFrame:
+    """A result or expectation, a file or a folder of parts, as text in the published columns; lines that begin with # say what it was made from."""
+    schema = ", ".join(f"`{h}` string" for h in HEADERS[query])
+    return spark.read.option("header", True).option("enforceSchema", True).option("comment", "#").option("escape", '"').schema(schema).csv(path)

@@ -59,6 +59,6 @@ def bank_directory(accounts_df: DataFrame) -> DataFrame:
     from fundtrace.functions.expressions import bank_id
 
     return (
-        accounts_df.select(bank_id(F.col("bank_id")).alias("bank_id"), F.trim("bank_name").alias("bank_name"))
+        accounts_df.select(bank_id(F.col("bank_id")).alias("bank_id"), F.coalesce(F.trim("bank_name"), F.lit("")).alias("bank_name"))
         .filter("bank_id != ''").distinct()
     )

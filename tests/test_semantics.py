@@ -237,18 +237,27 @@ def test_each_file_has_its_own_header_and_place(spark, tmp_path):
     (tmp_path / "b.csv").write_text(HEAD + "\n2022/09/01 00:00,3,third,2,B,1,US Dollar,Wire\n")
     (tmp_path / "a.csv").write_text("Payment Format,From Bank,Account,To Bank,Account,Amount Paid,Payment Currency,Timestamp\r\nWire,1,first,2,B,1,US Dollar,2022/09/01 00:00\r\nWire,2,second,2,B,1,US Dollar,2022/09/01 00:00\r\n")
     rows = csv_files.read_transactions(spark, str(tmp_path)).orderBy("row_number").collect()
-    assert [r.from_account for r in rows] == ["first", "second", "third"] and len({r.row_number for r in rows}) == 3
+    assert sorted((r.file_number, r.row_number, r.from_account) for r in rows) == [(0, 2, "first"), (0, 3, "second"), (1, 2, "third")]
 
 
 def test_csv_upload_gives_results_once_the_client_is_done(spark, tmp_path):
     src, out, ck = (tmp_path / x for x in ("in", "staging", "ck"))
     src.mkdir()
-    names = spark.createDataFrame([("1", "One")], "bank_id string, bank_name string")
+    (tmp_path / "accounts").mkdir()
+    (tmp_path / "accounts/a.csv").write_text("Bank ID,Bank Name\n001,One\n")
     (src / "1.csv").write_text(HEAD + "\n2022/09/01 00:00,001,A,2,B,12.5,US Dollar,Wire\n")
     ingest.stage(spark, str(src), str(out), str(ck), "1", kind="csv")
     (src / "2.csv").write_text(HEAD + "\n2022/09/01 00:00,001,C,2,B,30,US Dollar,Wire\n")
     ingest.stage(spark, str(src), str(out), str(ck), "1", kind="csv")
-    paths = session.complete(spark, "1", str(out), names, str(tmp_path / "results"), ("q1", "q2"))
+    ingest.close(spark, str(out), "1", ingest.TRANSACTIONS)
+    with pytest.raises(session.IncompleteUpload, match="accounts"):
+        session.complete(spark, "1", str(out), str(tmp_path / "results"))
+    ingest.close(spark, str(out), "1", ingest.ACCOUNTS)
+    with pytest.raises(session.IncompleteUpload, match="no accounts"):
+        session.complete(spark, "1", str(out), str(tmp_path / "results"))
+    ingest.stage_accounts(spark, str(tmp_path / "accounts"), str(out), str(tmp_path / "ck2"), "1")
+    paths = session.complete(spark, "1", str(out), str(tmp_path / "results"), ("q1", "q2"))
+    assert paths["q2"].endswith("results_q2_1.csv") and open(paths["q2"]).read() == "From Bank,Account,Bank Name,Amount Paid\n1,C,One,30.00\n"
     assert spark.read.option("header", True).csv(paths["q2"]).first()["Account"] == "C"
     assert spark.read.option("header", True).csv(paths["q1"]).count() == 2
     assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
