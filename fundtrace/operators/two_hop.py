@@ -1,10 +1,13 @@
 """Scatter-gather pattern: accounts A and B with more than five paths A -> M -> B through gated hops."""
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
 from fundtrace.functions.expressions import bank_id, in_text_window, is_usd, stripped
+from fundtrace.operators.transfers import closed, small_side
 
 EDGE = ("src_bank", "src_account", "dst_bank", "dst_account")
 
@@ -87,6 +90,100 @@ def pairs(paths: DataFrame, above: int = V.PATHS_ABOVE) -> DataFrame:
     return paths.filter(F.col("n_paths") > above)
 
 
+#: Paths from which on a pair counts: sums needn't go on beyond it.
+ENOUGH = V.PATHS_ABOVE + 1
+
+
+def _saturated(g: DataFrame, most: int) -> DataFrame:
+    """Edges whose multiplicity stops at most: a product of two is most or more exactly if that of the full ones is, and no sum overflows."""
+    return g.withColumn("n", F.least("n", F.lit(most)))
+
+
+def pruned(g: DataFrame, enough: int = ENOUGH, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The first and the second hops, of gated counted edges (src_*, dst_*, n), that can be part of a pair with `enough` paths.
+
+    A source has at most its edges' multiplicities, each times the largest one that leaves the edge's target, paths to any one account, and a target as many from any
+    one. Ends that can't reach `enough` go before any pair is made; bounds then get tighter, so it may be repeated.
+    """
+    first = second = _saturated(g, enough)
+    ends = [c.removeprefix("src_") for c in g.columns if c.startswith("src_")]
+    named = lambda x: [f"{x}_{c}" for c in ends]
+    key = lambda df, x, to: df.select(*[F.col(f"{x}_{c}").alias(f"{to}_{c}") for c in ends], *[c for c in df.columns if not c.startswith(("src_", "dst_"))])
+    for _ in range(rounds):
+        leaves = key(second.groupBy(*named("src")).agg(F.max("n").alias("most")), "src", "dst")
+        good = first.join(leaves, named("dst")).groupBy(*named("src")).agg(F.sum(F.col("n") * F.col("most")).alias("bound")).filter(F.col("bound") >= enough)
+        first = first.join(good.drop("bound"), named("src"), "left_semi")
+        enters = key(first.groupBy(*named("dst")).agg(F.max("n").alias("most")), "dst", "src")
+        good = second.join(enters, named("src")).groupBy(*named("dst")).agg(F.sum(F.col("n") * F.col("most")).alias("bound")).filter(F.col("bound") >= enough)
+        second = second.join(good.drop("bound"), named("dst"), "left_semi")
+    return first, second
+
+
+def pairs_pruned(g: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(a_bank, a_account, b_bank, b_account, n_paths): pairs with `enough` paths or more, n_paths saturated there; g: gated counted edges."""
+    first, second = pruned(g, enough)
+    x = first.select(F.col("src_bank").alias("a_bank"), F.col("src_account").alias("a_account"), F.col("dst_bank").alias("m_bank"), F.col("dst_account").alias("m_account"), F.col("n").alias("n1"))
+    y = second.select(F.col("src_bank").alias("m_bank"), F.col("src_account").alias("m_account"), F.col("dst_bank").alias("b_bank"), F.col("dst_account").alias("b_account"), F.col("n").alias("n2"))
+    found = _summed(x.join(y, ["m_bank", "m_account"]), ())
+    return found.filter(F.col("n_paths") >= enough).withColumn("n_paths", F.lit(enough).cast("long"))
+
+
+#: Rows of source and target that a task keeps before it hands capped sets on.
+KEPT_ROWS = 500_000
+
+
+def capped_targets(e: DataFrame, most: int = V.FAN_OUT_ABOVE + 1, keys: tuple = ()) -> DataFrame:
+    """(src_bank, src_account, n_targets): distinct targets of each source, itself included, but no more than `most` are counted.
+
+    Each task stops a source's set at `most` members before anything is shuffled, so a source with 10 ** 8 targets sends `most` rows a task;
+    where they meet, ranks over the targets stop there too.
+    """
+    by = [*keys, "src_bank", "src_account"]
+    cols = [*keys, *EDGE]
+
+    def run(batches):
+        kept = None
+        for b in batches:
+            part = b.to_pandas().drop_duplicates()
+            kept = part if kept is None else pd.concat([kept, part]).drop_duplicates()
+            kept = kept[kept.groupby(by, dropna=False, sort=False).cumcount() < most]
+            if len(kept) > KEPT_ROWS:
+                yield pa.RecordBatch.from_pandas(kept, schema=b.schema, preserve_index=False)
+                kept = None
+        if kept is not None:
+            yield pa.RecordBatch.from_pandas(kept, schema=b.schema, preserve_index=False)
+
+    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("dst_bank", "dst_account"))
+    some = e.select(*cols).mapInArrow(run, e.select(*cols).schema)
+    return some.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy(*by).agg(F.max("rank").cast("long").alias("n_targets"))
+
+
+def qualifying_capped(e: DataFrame, above: int = V.FAN_OUT_ABOVE, keys: tuple = ()) -> DataFrame:
+    """(bank_id, account) of the sources with more than `above` distinct targets, by capped sets; e: edges, not counted yet."""
+    found = capped_targets(e, above + 1, keys).filter(F.col("n_targets") > above)
+    return found.select(*keys, F.col("src_bank").alias("bank_id"), F.col("src_account").alias("account"))
+
+
+#: Hexadecimal digits of a hash that say in which bucket an account is numbered: 16 ** 3 buckets.
+BUCKET_DIGITS = 3
+
+
+def vertices(e: DataFrame, keys: tuple = ()) -> DataFrame:
+    """(bank_id, account, vertex): the accounts of edges, numbered from 0 without gaps, by bucket of their MD5, then bank, then account.
+
+    Each bucket numbers its own accounts and the buckets' sizes give the offsets, so the numbers depend on nothing but the accounts.
+    """
+    ends = [e.select(*keys, F.col(f"{x}_bank").alias("bank_id"), F.col(f"{x}_account").alias("account")) for x in ("src", "dst")]
+    every = ends[0].unionByName(ends[1]).distinct()
+    bucket = F.substring(F.md5(F.concat_ws("|", "bank_id", "account").cast("binary")), 1, BUCKET_DIGITS)
+    placed = every.withColumn("bucket", bucket)
+    within = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("bank_id", "account"))
+    sizes = placed.groupBy(*keys, "bucket").agg(F.count("*").alias("size"))
+    # At most 16 ** BUCKET_DIGITS rows for each client.
+    before = sizes.withColumn("offset", F.sum("size").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("bucket")) - F.col("size")).drop("size")
+    return placed.withColumn("k", within).join(closed(before), [*keys, "bucket"]).select(*keys, "bank_id", "account", (F.col("offset") + F.col("k") - 1).cast("long").alias("vertex"))
+
+
 def scatter_gather(tx: DataFrame, keys: tuple = ()) -> DataFrame:
     """Both ends of every pair, once; the intermediaries aren't part of the result."""
     c = counted(edges(tx, keys), keys)

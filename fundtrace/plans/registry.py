@@ -61,6 +61,9 @@ def queries() -> dict:
         "q4_intermediaries": _tx(lambda t: G.intermediaries(_gated(t))),
         "q4_two_hop_paths": _tx(lambda t: G.two_hop_paths(_gated(t))),
         "q4_two_hop_salted": _tx(lambda t: G.two_hop_salted(_gated(t))),
+        "q4_qualifying_capped": _tx(lambda t: G.qualifying_capped(G.edges(t))),
+        "q4_vertices": _tx(lambda t: G.vertices(G.edges(t))),
+        "q4_pairs_pruned": _tx(lambda t: G.pairs_pruned(_gated(t))),
         "q4_pairs": _tx(lambda t: G.pairs(G.two_hop_paths(_gated(t)))),
         "q4_scatter_gather": _tx(G.scatter_gather),
         "q5_converted_rows": lambda spark, d: X.converted(A.transactions(spark, d), R.currencies(spark), R.rates(spark)),
@@ -114,6 +117,9 @@ def oracle_sql() -> dict[str, str]:
         "q4_two_hop_paths": paths,
         "q4_two_hop_salted": paths,
         "q4_pairs": f"{paths} WHERE n_paths > 5",
+        "q4_qualifying_capped": "SELECT bank_id, account FROM sources",
+        "q4_vertices": "SELECT bank_id, account, row_number() OVER (ORDER BY substr(md5(bank_id || '|' || account), 1, 3), bank_id, account) - 1 AS vertex FROM (SELECT src_bank AS bank_id, src_account AS account FROM edges UNION SELECT dst_bank, dst_account FROM edges)",
+        "q4_pairs_pruned": "SELECT * REPLACE (least(n_paths, 6) AS n_paths) FROM paths WHERE n_paths > 5",
         "q4_scatter_gather": "SELECT a_bank AS bank_id, a_account AS account FROM paths WHERE n_paths > 5 UNION SELECT b_bank, b_account FROM paths WHERE n_paths > 5",
         "q5_converted_rows": "SELECT * FROM converted",
         "q5_count": "SELECT count(*) AS count FROM converted WHERE usd_amount < 1",
