@@ -495,7 +495,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, known: DataFrame, alike: np.ndarra
                 first = np.unique(fp, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[first]), pa.array(n[first].astype(np.int64)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "n", "hashes"])
 
-    found = with_keys(rows, one, seen["n"], "rid", FILTER_BITS).select("rid", "text").mapInArrow(thrifty(run), "set_id long, n long, hashes binary")
+    found = with_keys(rows.select("rid", "text"), one, seen["n"], "rid", FILTER_BITS, run, "set_id long, n long, hashes binary")
     return found.join(one.select("set_id"), "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 

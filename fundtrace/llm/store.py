@@ -76,22 +76,6 @@ def checked_broadcast(ids: DataFrame, n: int | None = None) -> DataFrame:
 FEW_KEYS = 4_000_000
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, n: int, column: str, bits: int) -> DataFrame:
-    """Rows whose column (a 64-bit hash) is among the n keys, and perhaps some others; few keys are broadcast as a filter of
-    2 ** bits bits, many are joined, so the filter never fills up."""
-    if n > FEW_KEYS:
-        return rows.join(keys.select(column).distinct(), column, "left_semi")
-    words = rows.sparkSession.sparkContext.broadcast(hash_bit_set(keys, column, bits))
-
-    def run(batches):
-        for b in batches:
-            m = held(words.value, b.column(column).to_numpy().view(np.uint64), bits)
-            if m.any():
-                yield b.filter(pa.array(m))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 #: Bytes of an Arrow batch that goes to Python, unless the session has its own setting.
 BATCH_BYTES = 4 << 20
 
@@ -124,6 +108,24 @@ def thrifty(run):
     return wrapped
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, n: int, column: str, bits: int, run, schema: str) -> DataFrame:
+    """run, a function of Arrow batches, over the rows whose column (a 64-bit hash) is among the n keys, and perhaps some others.
+
+    Few keys are broadcast as a filter of 2 ** bits bits, many are joined, so the filter never fills up. Filter and run share a worker.
+    """
+    if n > FEW_KEYS:
+        return rows.join(keys.select(column).distinct(), column, "left_semi").mapInArrow(thrifty(run), schema)
+    words = rows.sparkSession.sparkContext.broadcast(hash_bit_set(keys, column, bits))
+
+    def asked(batches):
+        for b in batches:
+            m = held(words.value, b.column(column).to_numpy().view(np.uint64), bits)
+            if m.any():
+                yield b.filter(pa.array(m))
+
+    return rows.mapInArrow(thrifty(lambda batches: run(asked(batches))), schema)
+
+
 def thrifty_group(run):
     """run, a function of pandas frames, that gives memory back to the system after each group."""
     def wrapped(*frames: pd.DataFrame) -> pd.DataFrame:
