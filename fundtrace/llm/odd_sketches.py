@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
-from fundtrace.llm.jaccard import Rule, by_key, confirmed, finished, labelled, set_ids, settled, shingle_sets, told_apart
-from fundtrace.llm.store import checked_broadcast, thrifty, written
+from fundtrace.llm.jaccard import Rule, confirmed, finished, labelled, set_ids, settled, shingle_sets, told_apart
+from fundtrace.llm.store import checked_broadcast, counted, thrifty, with_keys, written
 from fundtrace.llm.text import mix, pieces
 
 TWO_WORDS = Rule(2, 80)
@@ -102,15 +102,19 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(thrifty(run), "doc_id long, rid long, set_id long, second long, n long, sketch binary, keys binary")
 
 
-def _members(info: DataFrame, first: int, last: int) -> DataFrame:
-    """(key, set_id, size, hub) of the keys of these bands that several sets have."""
+FILTER_BITS = 24
+
+
+def _members(known: DataFrame, first: int, last: int) -> DataFrame:
+    """(key, set_id, size, hub) of the keys of these bands that several sets have. Most keys have one set, so only the others' rows are joined."""
     def run(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)[:, first:last]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("set_id").to_numpy(), last - first))], ["key", "set_id"])
 
-    rows = info.filter("keys IS NOT NULL").select("set_id", "keys").mapInArrow(thrifty(run), "key long, set_id long")
-    return by_key(written(rows.distinct(), "bands"))
+    rows = written(known.select("set_id", "keys").mapInArrow(thrifty(run), "key long, set_id long"), "bands")
+    shared, seen = counted(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("hub")).filter("size > 1"), "shared")
+    return with_keys(rows, shared, seen["n"], "key", FILTER_BITS, lambda batches: batches, "key long, set_id long").join(shared, "key").select("key", "set_id", "size", "hub")
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -139,11 +143,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is that), a row for each of docs."""
     rows = text_rows(docs, F.xxhash64("text").alias("rid"))
     info, alike = told_apart(written(_described(rows), "described"))
-    known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch", True).alias("sketch"), F.count("*").alias("copies")), "known")
+    known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("keys", True).alias("keys"), F.count("*").alias("copies")), "known")
     check = lambda pairs: confirmed(_near(pairs, known, TWO_WORDS.percent), known, rows, alike, TWO_WORDS)
     done = lambda *state: finished(*state, check, known, rows, alike, TWO_WORDS)
-    roots = done(*settled(written(_members(info, 0, FIRST_BANDS), "members"), None, check))
-    members = written(_apart(_members(info, FIRST_BANDS, BANDS), roots), "members")
+    roots = done(*settled(written(_members(known, 0, FIRST_BANDS), "members"), None, check))
+    members = written(_apart(_members(known, FIRST_BANDS, BANDS), roots), "members")
     return labelled(info, known, done(*settled(members, roots, check))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
