@@ -1,5 +1,7 @@
 """Scatter-gather pattern: accounts A and B with more than five paths A -> M -> B through gated hops."""
 
+import weakref
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
 from fundtrace.functions.expressions import bank_id, in_text_window, is_usd, stripped
-from fundtrace.operators.transfers import closed, small_side
+from fundtrace.operators.transfers import closed
 
 EDGE = ("src_bank", "src_account", "dst_bank", "dst_account")
 
@@ -70,15 +72,19 @@ def two_hop_paths(g: DataFrame, keys: tuple = (), hot_pairs: int = HOT_PAIRS, gr
     An intermediary with more than hot_pairs pairs of ends is dealt over a grid of blocks, so that no task makes all its
     pairs; the others are one block. The degrees come from the edges counted anyway, in the same job.
     """
-    first, second = _sides(g, keys)
+    return _summed(_in_blocks(*_sides(g, keys), hot_intermediaries(g, hot_pairs, keys), keys, grid), keys)
+
+
+def _in_blocks(first: DataFrame, second: DataFrame, hot: DataFrame, keys: tuple, grid: tuple[int, int]) -> DataFrame:
+    """First hops joined with second ones; those of a hot intermediary meet in the blocks of a grid."""
     m = [*keys, "m_bank", "m_account"]
-    hot = hot_intermediaries(g, hot_pairs, keys).withColumn("hot", F.lit(True))
     blocks = lambda n: F.when(F.col("hot"), F.lit(n)).otherwise(1)
     block = lambda end, n: F.pmod(F.hash(f"{end}_bank", f"{end}_account"), blocks(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    hot = hot.withColumn("hot", F.lit(True))
     first = first.join(hot, m, "left").withColumn("a_block", block("a", grid[0])).withColumn("b_block", each(grid[1]))
     second = second.join(hot, m, "left").withColumn("b_block", block("b", grid[1])).withColumn("a_block", each(grid[0]))
-    return _summed(first.drop("hot").join(second.drop("hot"), [*m, "a_block", "b_block"]), keys)
+    return first.drop("hot").join(second.drop("hot"), [*m, "a_block", "b_block"])
 
 
 def two_hop_salted(g: DataFrame, a_buckets: int = 4, b_buckets: int = 4, keys: tuple = ()) -> DataFrame:
@@ -99,33 +105,34 @@ def _saturated(g: DataFrame, most: int) -> DataFrame:
     return g.withColumn("n", F.least("n", F.lit(most)))
 
 
-def pruned(g: DataFrame, enough: int = ENOUGH, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+def pruned(g: DataFrame, enough: int = ENOUGH, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """The first and the second hops, of gated counted edges (src_*, dst_*, n), that can be part of a pair with `enough` paths.
 
     A source has at most its edges' multiplicities, each times the largest one that leaves the edge's target, paths to any one account, and a target as many from any
-    one. Ends that can't reach `enough` go before any pair is made; bounds then get tighter, so it may be repeated.
+    one. Ends that can't reach `enough` go before any pair is made.
     """
-    first = second = _saturated(g, enough)
-    ends = [c.removeprefix("src_") for c in g.columns if c.startswith("src_")]
-    named = lambda x: [f"{x}_{c}" for c in ends]
-    key = lambda df, x, to: df.select(*[F.col(f"{x}_{c}").alias(f"{to}_{c}") for c in ends], *[c for c in df.columns if not c.startswith(("src_", "dst_"))])
-    for _ in range(rounds):
-        leaves = key(second.groupBy(*named("src")).agg(F.max("n").alias("most")), "src", "dst")
-        good = first.join(leaves, named("dst")).groupBy(*named("src")).agg(F.sum(F.col("n") * F.col("most")).alias("bound")).filter(F.col("bound") >= enough)
-        first = first.join(good.drop("bound"), named("src"), "left_semi")
-        enters = key(first.groupBy(*named("dst")).agg(F.max("n").alias("most")), "dst", "src")
-        good = second.join(enters, named("src")).groupBy(*named("dst")).agg(F.sum(F.col("n") * F.col("most")).alias("bound")).filter(F.col("bound") >= enough)
-        second = second.join(good.drop("bound"), named("dst"), "left_semi")
-    return first, second
+    g = _saturated(g, enough)
+    source, target = [*keys, "src_bank", "src_account"], [*keys, "dst_bank", "dst_account"]
+
+    def kept(hops: DataFrame, others: DataFrame, end: list, middle: list, other: list) -> DataFrame:
+        best = others.groupBy(*other).agg(F.max("n").alias("most")).withColumnsRenamed(dict(zip(other, middle)))
+        good = hops.join(best, middle).groupBy(*end).agg(F.sum(F.col("n") * F.col("most")).alias("bound")).filter(F.col("bound") >= enough)
+        return hops.join(good.drop("bound"), end, "left_semi")
 
+    first = kept(g, g, source, target, source)
+    return first, kept(g, first, target, source, target)
 
-def pairs_pruned(g: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """(a_bank, a_account, b_bank, b_account, n_paths): pairs with `enough` paths or more, n_paths saturated there; g: gated counted edges."""
-    first, second = pruned(g, enough)
-    x = first.select(F.col("src_bank").alias("a_bank"), F.col("src_account").alias("a_account"), F.col("dst_bank").alias("m_bank"), F.col("dst_account").alias("m_account"), F.col("n").alias("n1"))
-    y = second.select(F.col("src_bank").alias("m_bank"), F.col("src_account").alias("m_account"), F.col("dst_bank").alias("b_bank"), F.col("dst_account").alias("b_account"), F.col("n").alias("n2"))
-    found = _summed(x.join(y, ["m_bank", "m_account"]), ())
-    return found.filter(F.col("n_paths") >= enough).withColumn("n_paths", F.lit(enough).cast("long"))
+
+def pairs_pruned(g: DataFrame, enough: int = ENOUGH, keys: tuple = (), hot_pairs: int = HOT_PAIRS, grid: tuple[int, int] = GRID) -> DataFrame:
+    """(a_bank, a_account, b_bank, b_account, n_paths): pairs with `enough` paths or more, n_paths saturated there; g: gated counted edges.
+
+    Whether there are hot intermediaries is asked first, so that edges are joined with them only if there are.
+    """
+    hot = closed(hot_intermediaries(g, hot_pairs, keys))
+    first, second = pruned(g, enough, keys)
+    x, y = _sides(first, keys)[0], _sides(second, keys)[1]
+    joined = x.join(y, [*keys, "m_bank", "m_account"]) if hot.isEmpty() else _in_blocks(x, y, hot, keys, grid)
+    return _summed(joined, keys).filter(F.col("n_paths") >= enough).withColumn("n_paths", F.lit(enough).cast("long"))
 
 
 #: Rows of source and target that a task keeps before it hands capped sets on.
@@ -185,8 +192,14 @@ def vertices(e: DataFrame, keys: tuple = ()) -> DataFrame:
 
 
 def scatter_gather(tx: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Both ends of every pair, once; the intermediaries aren't part of the result."""
+    """Both ends of every pair, once; the intermediaries aren't part of the result.
+
+    The gated edges, a small part of the transfers, are kept for the steps that use them, as long as the result is.
+    """
     c = counted(edges(tx, keys), keys)
-    p = pairs(two_hop_paths(gated(c, qualifying_sources(c, keys=keys), keys), keys))
+    g = gated(c, qualifying_sources(c, keys=keys), keys).persist()
+    p = pairs_pruned(g, keys=keys)
     ends = F.explode(F.array(F.struct(F.col("a_bank").alias("bank_id"), F.col("a_account").alias("account")), F.struct(F.col("b_bank").alias("bank_id"), F.col("b_account").alias("account"))))
-    return p.select(*keys, ends.alias("e")).select(*keys, "e.bank_id", "e.account").distinct()
+    found = p.select(*keys, ends.alias("e")).select(*keys, "e.bank_id", "e.account").distinct()
+    weakref.finalize(found, g.unpersist)
+    return found
