@@ -61,6 +61,10 @@ def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return words, base, of[cut], at[cut] - base[of[cut]], count, mix(grams[p[cut]])
 
 
+#: Bytes of text that are cut into windows at a time: each byte takes some 60 of arrays meanwhile.
+PIECE = 1 << 18
+
+
 def spans_hash(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hash of words[start : start + length] for each pair."""
     factor = 0xA24BAED4963EE407 | 1
@@ -74,7 +78,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
     """(gram, total, kinds): occurrences and different segments of grams that occur twice or more."""
     def run(batches):
         for b in batches:
-            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text"), PIECE):
                 words, base, of, start, count, gram = segments(buf, starts, ends)
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
                 order = np.lexsort((content, gram))
@@ -105,7 +109,7 @@ def _crowded_windows(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray)
 
     def run(batches):
         for b in batches:
-            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text"), PIECE):
                 words, base, of, start, count, _, alone = _parts(buf, starts, ends, *known.value)
                 content, n = np.unique(spans_hash(words, (base[of] + start)[alone], (count + WINDOW - 1)[alone]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(n)], ["content", "n"])
@@ -120,7 +124,7 @@ def _moved(rows: DataFrame, repeated: np.ndarray, crowded: np.ndarray, again: np
     def run(batches):
         repeated, crowded, again = known.value
         for b in batches:
-            for ids, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+            for ids, buf, starts, ends in pieces(b.column("rid"), b.column("text"), PIECE):
                 words, base, of, start, count, gram, alone = _parts(buf, starts, ends, repeated, crowded)
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
                 m = ~alone | held(again, content, FILTER_BITS)
@@ -140,7 +144,7 @@ def _contents(rows: DataFrame, varied: np.ndarray, crowded: np.ndarray) -> DataF
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text")):
+            for _, buf, starts, ends in pieces(b.column("rid"), b.column("text"), PIECE):
                 words, base, of, start, count, gram, alone = _parts(buf, starts, ends, *known.value)
                 of, start, count, gram = of[~alone], start[~alone], count[~alone], gram[~alone]
                 content = spans_hash(words, base[of] + start, count + WINDOW - 1)
