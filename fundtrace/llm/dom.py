@@ -13,14 +13,24 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "html", "body", "title"}
 #: Elements whose text readers don't see as text of the page.
 UNSEEN = set("head script style noscript template button select textarea input iframe object svg canvas audio video title".split())
-#: Kinds of elements that speak against main text, as names and roles do; only one of a slot's features.
+#: Kinds and roles of elements that aren't main text by their meaning.
 AGAINST = set("nav header footer aside form dialog menu".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Names of what surrounds main text, and names that parts of an article have as well. Neither decides alone, see against.
 NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|sidebars?|side|aside|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|"
-    r"notices?|notifications?|alerts?|popups?|modals?|overlay|comments?|commentlist|replies|reply|disqus|respond|discussion|feedback|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|search|footers?|foot|headers?|masthead|topbar|toolbar|copyright|skip|hidden|paywall)(?:$|[-_\s\d])", re.I)
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|sidebars?|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|"
+    r"popups?|modals?|overlay|comments?|commentlist|replies|reply|disqus|share|sharing|social|"
+    r"newsletter|subscribe|subscription|signup|login|footers?|masthead|topbar|toolbar|copyright|paywall)(?:$|[-_\s\d])", re.I)
+UNCLEAR = re.compile(
+    r"(?:^|[-_\s])(?:side|aside|notices?|notifications?|alerts?|respond|discussion|feedback|related|recommended|search|foot|headers?|skip|hidden)(?:$|[-_\s\d])", re.I)
+#: What an element's hint says: main text, or its name or kind speaks against it.
+MAIN, UNCLEAR_NAME, NAME, KIND = 1, -1, -2, -3
+#: Elements that hold other blocks, elements of running text, controls of forms, and roots of a page.
+CONTAINERS = set("div section ul ol dl table center fieldset details tr td".split())
+PROSE = HEADINGS | set("p blockquote pre ul ol dl table figure figcaption".split())
+CONTROLS = set("button select textarea input".split())
+ROOTS = set("#root html body".split())
 
 
 class Node:
@@ -81,12 +91,12 @@ def parse(html: str) -> Node:
 class Block:
     """A block element: runs of inline text and blocks in order; chars and links are those of its own runs, all_* of its whole tree."""
 
-    __slots__ = ("tag", "label", "hint", "items", "chars", "links", "all_chars", "all_links", "heading", "size", "own", "shape", "full", "slot")
+    __slots__ = ("tag", "label", "hint", "items", "chars", "links", "all_chars", "all_links", "heading", "form", "size", "own", "shape", "full", "slot")
 
     def __init__(self, tag, label, hint):
         self.tag, self.label, self.hint, self.items = tag, label, hint, []
         self.chars = self.links = 0
-        self.heading = tag in HEADINGS
+        self.heading, self.form = tag in HEADINGS, False
 
     @property
     def children(self):
@@ -99,16 +109,31 @@ def hidden(node: Node) -> bool:
 
 
 def hint(node: Node, in_article: bool) -> int:
-    """-1 if kind, role or name speak against main text, 1 for article and main, else 0."""
+    """MAIN for article and main, KIND or a name's hint if they speak against main text, else 0."""
     a, tag = node.attrs, node.tag
     if tag in ("article", "main"):
-        return 1
-    if tag in ("html", "body", "#root"):
+        return MAIN
+    if tag in ROOTS:
         return 0
     if tag in AGAINST:
         # An article's own heading may stand in a header of its own.
-        return 0 if tag == "header" and in_article and not a.get("class") and any(c.tag in ("h1", "h2") for c in node.children) else -1
-    return -1 if a and (a.get("role", "").lower() in ROLES or NAMES.search(a.get("class", "")) or NAMES.search(a.get("id", ""))) else 0
+        return 0 if tag == "header" and in_article and any(c.tag in ("h1", "h2") for c in node.children) else KIND
+    if not a:
+        return 0
+    if a.get("role", "").lower() in ROLES:
+        return KIND
+    names = a.get("class", ""), a.get("id", "")
+    return NAME if any(map(NAMES.search, names)) else UNCLEAR_NAME if any(map(UNCLEAR.search, names)) else 0
+
+
+def against(b: Block, linked: bool) -> bool:
+    """Whether a block isn't main text by its kind, or by its name and other features together: that the name is a clear one, that
+    it is mostly links, has controls of a form, holds blocks with such names, or is a container and no running text."""
+    if b.hint >= 0 or b.hint == KIND:
+        return b.hint == KIND
+    kids = b.children
+    named = bool(kids) and 2 * sum(c.hint in (NAME, UNCLEAR_NAME) for c in kids) >= len(kids)
+    return sum(map(bool, (b.hint == NAME, linked, b.form, named, b.tag in CONTAINERS))) >= 2
 
 
 def blocks(root: Node) -> Block:
@@ -137,11 +162,12 @@ def blocks(root: Node) -> Block:
         elif node.tag == "br":
             run.append("\n")
         elif node.tag in UNSEEN or hidden(node):
+            block.form = block.form or node.tag in CONTROLS
             end(block) if node.tag in BLOCK else None
         else:
             h = hint(node, article)
             inside = article or h > 0
-            if node.tag in BLOCK or h < 0:
+            if node.tag in BLOCK or h == KIND or (h == NAME and node.tag == "a"):
                 end(block)
                 made = Block(node.tag, f"{node.tag}.{re.sub('[0-9]+', '', node.attrs.get('class', ''))}", h)
                 block.items.append(made)
@@ -159,6 +185,7 @@ def blocks(root: Node) -> Block:
         b.size = 1 + sum(c.size for c in kids)
         b.all_chars, b.all_links = b.chars + sum(c.all_chars for c in kids), b.links + sum(c.all_links for c in kids)
         b.heading = b.heading or any(c.heading for c in kids)
+        b.form = b.form or any(c.form for c in kids)
     for i, b in enumerate(order):
         b.slot = i
     return top
@@ -247,31 +274,50 @@ def match(a: Block, b: Block) -> list[tuple[Block, Block]]:
     return out
 
 
-#: A slot's text is constant if so large a share of its pages have it, and of this many pages at least.
-CONSTANT, LEAST_PAGES = 0.5, 3
+#: A slot's text is constant outside the region of the article if so large a share of its pages have it; within the region, where
+#: articles may share a passage, if so large a share has it and of this many pages at least.
+CONSTANT, CONSTANT_INSIDE, LEAST_PAGES = 0.5, 0.9, 3
 #: What kind and name of an element add to the weight of its text.
 FOR, AGAINST_WEIGHT = 3.0, 0.1
-#: An element is descended into while it holds so large a share of the text; text beside the main element counts from this share of it.
+#: An element is descended into while it holds so large a share of the text. Outside the region a container of bare text counts from
+#: this share of its text; running text and what has a heading count at any length.
 MOST, BESIDE = 0.6, 0.1
+#: A block is a list of links if so much of its text is links.
+LINKS = 0.8
 KEEP, DROP, PASS = range(3)
 
 
+def _region(path: list[Block], constant: np.ndarray) -> int:
+    """Which element of the path to the largest text is the article: the lowest article, else one with a heading that varies, else
+    the last. What is beside the largest text within it is main text too."""
+    def headed(b, tags):
+        return any(not constant[c.slot] and (c.tag in tags or (c.tag == "header" and c.hint == 0)) for c in b.children)
+
+    for what in (lambda b: b.tag == "article", lambda b: headed(b, ("h1",)), lambda b: b.hint == MAIN, lambda b: headed(b, ("h2",))):
+        for i in range(len(path) - 1, -1, -1):
+            if path[i].tag not in ROOTS and what(path[i]):
+                return i
+    return len(path) - 1
+
+
 def wrapper(top: Block, stats: np.ndarray) -> np.ndarray:
     """KEEP, DROP or PASS (its children are judged by themselves) for each slot of a tree, and 4 added where the slot's text is constant.
 
     stats: for each slot the number of pages that have it, those with the same text, and characters of its own text, of all below
-    it, and of links below it, summed over these pages. Length, constancy and link share of the slots decide; what an
-    element is called changes the weight of its text.
+    it, and of links below it, summed over these pages. Length, constancy and link share of the slots lead to the region of the
+    article. Within it a slot goes only if its text is constant, or if it is no main text by several features (see against); of
+    fewer than LEAST_PAGES pages, constancy counts only outside it. Lists of links go at the top of a page and beside the largest text.
     """
     order = in_order(top)
     k, same, own, chars, links = stats.T
-    constant = (own > 0) & (k >= LEAST_PAGES) & (same >= CONSTANT * k)
+    inside = (own > 0) & (k >= LEAST_PAGES) & (same >= CONSTANT_INSIDE * k)
+    outside = (own > 0) & (k > 0) & (same >= np.where(k >= LEAST_PAGES, CONSTANT, 1) * k)
     linked = links > 0.5 * np.maximum(chars, 1)
     mass = np.zeros(len(order))
     for i in range(len(order) - 1, -1, -1):
         kids = [c.slot for c in order[i].children]
-        loose = max(0.0, chars[i] - chars[kids].sum() - (own[i] if constant[i] else 0)) if kids else (0 if constant[i] else chars[i])
-        factor = (1, FOR, AGAINST_WEIGHT)[order[i].hint]
+        loose = max(0.0, chars[i] - chars[kids].sum() - (own[i] if outside[i] else 0)) if kids else (0 if outside[i] else chars[i])
+        factor = FOR if order[i].hint == MAIN else AGAINST_WEIGHT if order[i].hint in (NAME, KIND) else 1
         mass[i] = factor * ((0 if linked[i] else loose) + mass[kids].sum())
     out = np.full(len(order), DROP)
     path = [top]
@@ -280,19 +326,24 @@ def wrapper(top: Block, stats: np.ndarray) -> np.ndarray:
         if mass[best.slot] < MOST * mass[path[-1].slot] or not best.children or mass[best.slot] <= 0:
             break
         path.append(best)
-    main = path[-1]
-    roots = [main]
-    for above, below in zip(path, path[1:]):
+    at = _region(path, outside)
+    region = path[at]
+    roots = [region]
+    for above, below in zip(path[:at], path[1 : at + 1]):
         out[above.slot] = PASS
-        roots += [c for c in above.children if c is not below and c.hint >= 0 and not linked[c.slot] and mass[c.slot] > 0 and (c.heading or mass[c.slot] >= BESIDE * mass[main.slot])]
+        roots += [c for c in above.children if c is not below and not against(c, linked[c.slot]) and not linked[c.slot] and mass[c.slot] > 0
+                  and (c.heading or c.tag in PROSE or mass[c.slot] >= BESIDE * mass[region.slot])]
+    on_path = {b.slot for b in path[at:]}
     # What is kept, but for blocks below that speak against it.
-    todo = [(r, True) for r in roots]
+    todo = [(r, False) for r in roots]
     while todo:
-        b, first = todo.pop()
-        if first or (b.hint >= 0 and not (linked[b.slot] and links[b.slot] > 0.8 * chars[b.slot] and b.children)):
+        b, listed = todo.pop()
+        if b in roots or b.slot in on_path or not (against(b, linked[b.slot]) or (listed and b.children and links[b.slot] > LINKS * chars[b.slot])):
             out[b.slot] = KEEP
-            todo += [(c, False) for c in b.children]
-    return out + 4 * constant
+            # Within an article, lists of links are its references.
+            top_of_page = b.tag in ROOTS or (b.slot in on_path and b is not path[-1] and region.tag != "article")
+            todo += [(c, top_of_page) for c in b.children]
+    return out + 4 * np.where(out == KEEP, inside, outside)
 
 
 def own_stats(top: Block) -> np.ndarray:
@@ -301,13 +352,13 @@ def own_stats(top: Block) -> np.ndarray:
 
 
 def flat(page: Block, pairs: list[tuple[Block, Block]]) -> list[list]:
-    """The page's blocks by slot, plain enough for JSON: slot of the reference or -1, whether their texts are equal, hint, heading,
-    characters, link characters, and items (texts, and numbers of blocks). pairs: (block of the reference, block of the page)."""
+    """The page's blocks by slot, plain enough for JSON: slot of the reference or -1, whether their texts are equal, whether it speaks
+    against main text (see against), whether it is running text or has a heading, characters, link characters, and items (texts, and numbers of blocks). pairs: (block of the reference, block of the page)."""
     of = {y.slot: x for x, y in pairs}
     out = []
     for b in in_order(page):
         x = of.get(b.slot)
-        out.append([-1 if x is None else x.slot, x is not None and x.own == b.own, b.hint, b.heading, b.all_chars, b.all_links, [i if i.__class__ is str else i.slot for i in b.items]])
+        out.append([-1 if x is None else x.slot, x is not None and x.own == b.own, against(b, 2 * b.all_links > b.all_chars), b.heading or b.tag in PROSE, b.all_chars, b.all_links, [i if i.__class__ is str else i.slot for i in b.items]])
     return out
 
 
@@ -320,14 +371,14 @@ def text(page: list[list], decided: np.ndarray) -> str:
         if at.__class__ is str:
             out.append(at)
             continue
-        slot, same, hint, heading, chars, links, items = page[at]
+        slot, same, opposed, lead, chars, links, items = page[at]
         if slot >= 0:
             state, same = decided[slot] % 4, same and decided[slot] >= 4
         else:
-            if hint < 0:
+            if opposed:
                 state = DROP
             elif state == PASS:  # a block that the reference lacks, beside the main element
-                state = KEEP if 2 * links <= chars and (heading or chars >= BESIDE * main) else DROP
+                state = KEEP if 2 * links <= chars and (lead or chars >= BESIDE * main) else DROP
             if state == DROP:
                 continue
         stack.extend((i, state) for i in reversed(items) if i.__class__ is int or (state == KEEP and not same))

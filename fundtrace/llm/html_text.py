@@ -2,14 +2,15 @@
 
 A few different pages of a host, chosen by hash, are its references. Every page's tree of blocks is aligned with them by
 simple tree matching; a block of a reference is a slot, and the pages' blocks matched with it fill it. Over the host's
-pages, slots whose text stays the same are template; of what varies, length, link share and what elements are called (as
-one feature) decide which slots hold the main text, and that is the wrapper. A page is read through the wrapper of the reference
-that it matches best. A page identical to the reference has no vote, so copies of a page don't make its text constant.
+pages, slots whose text stays the same are template; of what varies, length, link share and headings lead to the region of the
+article, and that is the wrapper. Within the region whatever varies is kept at any length; an element's name counts against it
+only together with other features. A page is read through the wrapper of the reference that it matches best. A page identical to the reference has no vote, so copies of a page don't make its text constant.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by one space. Null or empty
 html: empty text. A page of a host with fewer than MIN_PAGES different pages, without a host, or that no reference
 matches, is a wrapper of its own: the same decision from its own slots. Pages of any size and nesting are matched in full.
-Repeated page_ids: each row is answered. Empty table: no rows.
+Repeated page_ids or rows: each row is answered. Of equally good references the first by hash is taken. Empty table: no rows. Other columns
+of the table, whatever their names, aren't read.
 """
 
 import json
@@ -24,7 +25,7 @@ from fundtrace.llm.dom import blocks, flat, in_order, match, own_stats, parse, t
 from fundtrace.llm.store import checked_broadcast, thrifty, written
 
 REFERENCES = 3
-MIN_PAGES = 4
+MIN_PAGES = 2
 #: Characters of references up to which they are broadcast; more are joined by host.
 BROADCAST_CHARS = 48_000_000
 #: Hosts whose parsed references a task keeps, and slots whose sums it keeps.

@@ -106,3 +106,68 @@ def test_whole_table_goes_through_wrappers(spark):
         plain = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article)))
         assert got[r.page_id].text == " ".join(plain.split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
     assert sum(r.by_wrapper for r in got.values()) > 0.6 * len(rows)
+
+
+NAV = '<div><a href="/a">{0}</a> <a href="/b">{1}</a> <a href="/c">{2}</a></div>'
+
+
+def host(spark, article, n=8):
+    """Texts of n pages with a menu that varies, read as one host; article(i): html and expected text."""
+    made = [article(i) for i in range(n)]
+    rows = [(i, f"https://h.example/{i}", "<body>" + NAV.format(*words(i + 900, 3).split()) + h + '<div class="ad">' + words(i + 500, 6) + "</div></body>") for i, (h, _) in enumerate(made)]
+    got = {r.page_id: r for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(r.by_wrapper for r in got.values())
+    assert [got[i].text for i in range(n)] == [t for _, t in made]
+
+
+def prose(i, n=60):
+    return [words(1000 * i + k, n) for k in range(4)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 8])
+def test_lines_beside_the_body_are_kept_at_any_length(spark, n):
+    def article(i):
+        lead, closing, body = words(i, 4), words(i + 70, 3), prose(i)
+        return f"<article><h1>T{i}</h1><p>{lead}</p><div>{''.join(f'<p>{p}</p>' for p in body)}</div><p>{closing}</p></article>", " ".join([f"T{i}", lead, *body, closing])
+
+    host(spark, article, n)
+
+
+def test_lines_beside_a_body_without_heading_or_article(spark):
+    def article(i):
+        lead, closing, body = words(i, 4), words(i + 70, 3), prose(i)
+        return f"<div><p>{lead}</p><div>{''.join(f'<p>{p}</p>' for p in body)}</div><p>{closing}</p></div>", " ".join([lead, *body, closing])
+
+    host(spark, article)
+
+
+def test_names_alone_drop_nothing_within_an_article(spark):
+    def article(i):
+        body, more, side = prose(i), prose(i + 40), words(i, 9)
+        html = f"<article><h1>T{i}</h1>{''.join(f'<p>{p}</p>' for p in body)}<section id='discussion'><h2>D{i}</h2>{''.join(f'<p>{p}</p>' for p in more)}</section><p class='related'>{side}</p></article>"
+        return html, " ".join([f"T{i}", *body, f"D{i}", *more, side])
+
+    host(spark, article)
+
+
+def test_references_of_an_article_are_kept(spark):
+    def article(i):
+        body, refs = prose(i), [words(i + 10 * k, 5) for k in range(4)]
+        return f"<article><h1>T{i}</h1>{''.join(f'<p>{p}</p>' for p in body)}<ul>{''.join(f'<li><a href=x>{r}</a></li>' for r in refs)}</ul></article>", " ".join([f"T{i}", *body, *refs])
+
+    host(spark, article)
+
+
+def test_comments_and_forms_within_an_article_go(spark):
+    def article(i):
+        body, said = prose(i), [words(i + 10 * k, 12) for k in range(i % 4)]
+        comments = "".join(f"<div class='comment'><p>{c}</p></div>" for c in said)
+        related = "".join(f"<li><a href=x>{words(i + k, 3)}</a>" for k in range(5))
+        return f"<article><h1>T{i}</h1>{''.join(f'<p>{p}</p>' for p in body)}<ul class='related'>{related}</ul><form>Name {words(i, 2)} <input></form><div id='comments'><h3>{i} comments</h3>{comments}</div></article>", " ".join([f"T{i}", *body])
+
+    host(spark, article)
+
+
+def test_equal_rows_are_answered_each(spark):
+    row = (7, "https://r.example/", "<body><p>one two three</p></body>")
+    assert [tuple(r) for r in html_text.extract(pages(spark, [row] * 3)).select("page_id", "text").collect()] == [(7, "one two three")] * 3
