@@ -1,34 +1,40 @@
-"""Toxicity by two class-conditional Kneser-Ney models over bytes, with one shared back-off.
-
-Texts are lower-cased (A-Z); bytes that are neither letters nor parts of other characters become spaces. Each class has
-counts of 5-byte grams, by documents, from its labelled documents. What a class lacks is backed off to shared 3-byte continuation
-counts, gathered from all documents: the number of different bytes before a gram. As both classes share them, a rare
-expression that neither has seen says nothing for either side. Grams are counted and looked up by themselves, never by a
-slot that several share, and none crosses from one text into the next, so nothing depends on batches or partitions.
-
-A word's evidence is the difference of its two log-likelihoods. The score of a document comes from that difference per
-byte, the largest of its words, and the mean of its three largest, by a logistic curve fitted on labelled documents that
-the counts don't hold. Labels are learned only where crc32(doc_id) mod 5 isn't 0, from at most about PER_CLASS documents
-of either class (a bounded sample by a hash of doc_id); the back-off counts take every document.
-
-A null text is an empty one. Without labels of both classes every score is 0.
+"""Toxicity by two class-conditional Kneser-Ney models, compared by their length-normalised log-likelihoods.
+
+Texts are lower-cased (A-Z); bytes that are neither letters nor parts of other characters become spaces. Each class has counts of words, by
+documents, from its labelled documents, discounted as modified Kneser-Ney does (a discount each for counts of 1, 2 and more, from the
+counts of counts). What is taken off goes to a back-off that both classes share: the word as bytes, by continuation counts of 3, 2
+and 1 bytes gathered from all documents (the number of different bytes before a gram), mixed with an equal share for
+each known word. As it is shared, a rare expression says little for either side.
+
+A word's evidence is the difference of its two log-likelihoods; words of neither class have none. A document's difference is the sum over its
+informative words, those whose evidence is at least a threshold in size, normalised by their number (and one), so that neither long ordinary
+text around an expression nor repeated words move it. The threshold, one of THRESHOLDS, and a logistic curve are fitted on labelled
+documents that the counts don't hold; then these are counted too. Labels are learned only where crc32(doc_id) mod 5 isn't 0, from at most about PER_CLASS
+documents of either class (a bounded sample by a hash of doc_id); the back-off counts take every document.
+
+A null text is an empty one; texts of any length are taken whole. Equal texts have equal scores, repeated rows are answered each; of labels that
+differ for a doc_id the toxic one counts. Words are told apart by a 64-bit hash. Without labels of both classes every score is 0. An
+empty table gives no rows. Other columns of the tables, whatever their names, aren't read.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import held_out, sampled, text_rows
 from fundtrace.llm.store import thrifty
-from fundtrace.llm.text import pieces
+from fundtrace.llm.text import pieces, word_hashes
 
 PER_CLASS = 12_000
 DISCOUNT = 0.75
 #: Different grams that a task holds before it hands them on.
 HELD = 1 << 20
-#: Grams of few documents prove little: the difference is shrunk by documents / (documents + PRIOR).
-PRIOR = 12.0
+#: Share of the bytes in the back-off; the rest is shared equally among words.
+BY_BYTES = 0.5
+#: Least size of evidence that counts, one of which is chosen on labelled documents.
+THRESHOLDS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
 
 _CLEAN = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)), np.uint8)
 
@@ -114,25 +120,46 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     return every.groupBy(F.expr("code & 16777215").alias("gram")).agg(F.count("*").alias("n"))
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """(toxic, code, n): 5-byte grams and the number of documents of the class that have them."""
+def _words(clean: np.ndarray, first: np.ndarray):
+    """Words of clean bytes (see _separate): first bytes, hashes, and the text of each."""
+    edge = clean == 32
+    start = np.flatnonzero(~edge & np.r_[True, edge[:-1]])
+    end = np.flatnonzero(edge & np.r_[False, ~edge[:-1]])
+    return start, word_hashes(clean, start, end), np.searchsorted(first, start, "right") - 1
+
+
+def byte_logs(clean: np.ndarray, start: np.ndarray, triples: np.ndarray, n3: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word and the space behind it as bytes, wherever it stands. triples, n3: see interpolated."""
+    if not len(start):
+        return np.zeros(0)
+    code = np.r_[0, _codes(np.r_[np.uint8(32), clean], 3)].astype(np.int64)
+    code[start] = 0x202000 + clean[start].astype(np.int64)
+    return np.add.reduceat(np.log(interpolated(triples, n3, code)), start)
+
+
+def class_counts(rows: DataFrame, shared) -> DataFrame:
+    """(code, t, o, bytes): words by their hash, the numbers of toxic and of ordinary documents that have them, and their byte_logs.
+    shared: broadcast of sorted 3-byte grams and their continuation counts."""
     def run(batches):
         for b in batches:
             label = b.column("toxic").to_numpy()
             at = 0
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                 clean, first = _separate(buf, starts, ends)
-                mine = label[at : at + len(ids)]
+                start, code, of = _words(clean, first)
+                mine = label[at : at + len(ids)][of]
                 at += len(ids)
-                x = _codes(clean, 5)
-                of = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(np.r_[first, len(clean)]))[: len(x)]
-                once = np.unique(((of << np.uint64(40)) | x)[_inside(first, len(x), 5)])
-                of, x = (once >> np.uint64(40)).astype(np.int64), once & np.uint64((1 << 40) - 1)
-                for c in (0, 1):
-                    code, n = np.unique(x[mine[of] == c], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), c, np.int32)), pa.array(code.astype(np.int64)), pa.array(n)], ["toxic", "code", "n"])
+                order = np.lexsort((code, of))
+                code, of, mine, logs = code[order], of[order], mine[order], byte_logs(clean, start, *shared.value)[order]
+                once = np.ones(len(code), bool)
+                once[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
+                known, where, inverse = np.unique(code[once], return_index=True, return_inverse=True)
+                t = np.bincount(inverse, mine[once], len(known)).astype(np.int64)
+                n = np.bincount(inverse, minlength=len(known))
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(t), pa.array(n - t), pa.array(logs[once][where])], ["code", "t", "o", "bytes"])
 
-    return rows.mapInArrow(thrifty(run), "toxic int, code long, n long").groupBy("toxic", "code").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(thrifty(run), "code long, t long, o long, bytes double")
+    return counted.groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.max("bytes").alias("bytes"))
 
 
 def continuation(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -163,94 +190,92 @@ def interpolated(triples: np.ndarray, n3: np.ndarray, wanted: np.ndarray) -> np.
     return level(triples, n3, wanted, p2)
 
 
-def log_ratios(code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, triples: np.ndarray, n3: np.ndarray) -> np.ndarray:
-    """log P(toxic) - log P(ordinary) of 5-byte grams. triples, n3: sorted 3-byte codes of the corpus and their continuation counts."""
-    shared = interpolated(triples, n3, code & 0xFFFFFF)
-    context, of = np.unique(code >> 8, return_inverse=True)
-    logs = []
-    for n in (toxic.astype(float), ordinary.astype(float)):
-        total, kinds = np.bincount(of, n, len(context)), np.bincount(of, n > 0, len(context))
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[of] + back[of] * shared
-        logs.append(np.log(np.maximum(p, 1e-12)))
-    seen = toxic + ordinary
-    return (logs[0] - logs[1]) * seen / (seen + PRIOR)
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts of 0, 1, 2 and more, from the counts of counts."""
+    c1, c2, c3, c4 = (max(int((n == k).sum()), 1) for k in (1, 2, 3, 4))
+    y = c1 / (c1 + 2 * c2)
+    return np.r_[0, np.clip([1 - 2 * y * c2 / c1, 2 - 3 * y * c3 / c2, 3 - 4 * y * c4 / c3], 0.1, [0.95, 1.9, 2.85])]
 
 
-def evidence(table: Grams, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per text: difference per byte, largest word, mean of the three largest words."""
-    clean, first = _separate(buf, starts, ends)
-    n = len(starts)
-    x = _codes(clean, 5)
-    diff = np.zeros(len(clean), np.float64)
-    diff[4:] = table.at(x) * _inside(first, len(x), 5)
-    # The space behind a word is predicted from it and belongs to it; so do the grams that begin in the word before.
-    edge = clean == 32
-    word_start = np.flatnonzero(~edge & np.r_[True, edge[:-1]])
-    out = np.zeros((n, 3))
-    if not len(word_start):
-        return out
-    sums = np.add.reduceat(diff, word_start)
-    of = np.searchsorted(first, word_start, "right") - 1
-    size = np.maximum(ends - starts, 1)
-    out[:, 0] = np.bincount(of, sums, n) / size
-    order = np.lexsort((-sums, of))
-    begin = np.searchsorted(of[order], np.arange(n))
-    end = np.searchsorted(of[order], np.arange(n), "right")
-    best = sums[order]
-    for k in range(3):
-        has = begin + k < end
-        v = np.where(has, best[np.minimum(begin + k, len(best) - 1)], 0)
-        out[:, 2] += v / 3
-        if k == 0:
-            out[:, 1] = v
-    return out
+def likelihoods(n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """P(word | class) by counts n of the class; base: P(word) of the shared back-off."""
+    off = discounts(n)[np.minimum(n, 3)]
+    return (n - off + off.sum() * base) / n.sum()
 
 
-def _inputs(e: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(e)), 10 * e[:, 0], e[:, 1] / 4, e[:, 2] / 4])
+def log_ratios(toxic: np.ndarray, ordinary: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log P(word | toxic) - log P(word | ordinary); logs: byte_logs of the words."""
+    base = BY_BYTES * np.exp(logs) + (1 - BY_BYTES) / len(logs)
+    return np.log(likelihoods(toxic, base)) - np.log(likelihoods(ordinary, base))
 
 
-def fit_curve(e: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method with a small penalty."""
-    x, w = _inputs(e), np.zeros(4)
-    for _ in range(40):
+def evidence(table: Grams, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per text: the normalised difference for each of THRESHOLDS, that over all words, and the largest word's evidence."""
+    clean, first = _separate(buf, starts, ends)
+    n = len(starts)
+    _, code, of = _words(clean, first)
+    d = table.at(code).astype(np.float64)
+    columns = []
+    for least in THRESHOLDS:
+        m = np.abs(d) >= least
+        columns.append(np.bincount(of[m], d[m], n) / (1 + np.bincount(of[m], minlength=n)))
+    largest = np.full(n, -np.inf)
+    np.maximum.at(largest, of, d)
+    return np.column_stack([*columns, np.bincount(of, d, n) / np.maximum(np.bincount(of, minlength=n), 1), np.where(np.isfinite(largest), largest, 0)])
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on one feature by Newton's method with a small penalty: weights and mean log loss."""
+    x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + 0.1 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         w = w - np.linalg.solve(h, g)
-    return w
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return w, float(-np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
+
+
+def _table(counts: pd.DataFrame) -> Grams:
+    ratios = log_ratios(*(counts[c].to_numpy() for c in ("t", "o", "bytes")))
+    return Grams(counts["code"].to_numpy(np.int64).view(np.uint64), ratios)
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted, word_evidence, per_byte_evidence; labels: doc_id, toxic (0 or 1)."""
+    """doc_id, held_out, score, predicted, difference (that the score comes from), and for information per_word_difference (over all
+    words) and word_evidence (of the most toxic word); labels: doc_id, toxic (0 or 1)."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # At most about 2 * per_class ids; half of the documents are counted, the others set the curve.
+    # At most about 2 * per_class ids; two thirds of the documents are counted, the others set threshold and curve.
     some = sampled(known, "toxic", per_class).withColumn("curve", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) == 0)
     texts = text_rows(docs).join(F.broadcast(some), "doc_id")
-    counts = class_counts(texts.filter("NOT curve").select("doc_id", "text", "toxic")).groupBy("code").agg(
-        F.sum(F.expr("if(toxic = 1, n, 0)")).alias("t"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("o")).toPandas()
     # However large the corpus, there are at most 2 ** 24 grams of 3 bytes.
     every = shared_counts(docs).toPandas().sort_values("gram")
+    shared = spark.sparkContext.broadcast((every["gram"].to_numpy(np.int64), every["n"].to_numpy(np.int64)))
+    part = lambda rule: class_counts(texts.filter(rule).select("doc_id", "text", "toxic"), shared).toPandas()
+    counts = part("NOT curve")
+    table, chosen, curve = spark.sparkContext.broadcast(Grams(np.zeros(0, np.int64), np.zeros(0))), 0, None
     if counts["t"].sum() and counts["o"].sum():
-        code = counts["code"].to_numpy(np.int64)
-        ratios = log_ratios(code, counts["t"].to_numpy(), counts["o"].to_numpy(), every["gram"].to_numpy(np.int64), every["n"].to_numpy(np.int64))
-        table = spark.sparkContext.broadcast(Grams(code, ratios))
+        table = spark.sparkContext.broadcast(_table(counts))
+        names = [f"e{i}" for i in range(len(THRESHOLDS))]
 
         def measure(batches):
             for b in batches:
                 at = 0
                 for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                     e = evidence(table.value, buf, starts, ends)
-                    yield pa.RecordBatch.from_arrays([b.column("toxic")[at : at + len(ids)], *map(pa.array, e.T)], ["toxic", "a", "b", "c"])
+                    yield pa.RecordBatch.from_arrays([b.column("toxic")[at : at + len(ids)], *[pa.array(c) for c in e.T[: len(names)]]], ["toxic", *names])
                     at += len(ids)
 
-        held = texts.filter("curve").select("doc_id", "text", "toxic").mapInArrow(thrifty(measure), "toxic int, a double, b double, c double").toPandas()
-        curve = fit_curve(held[["a", "b", "c"]].to_numpy(), held["toxic"].to_numpy()) if held["toxic"].nunique() > 1 else None
-    else:
-        table, curve = spark.sparkContext.broadcast(Grams(np.zeros(0, np.int64), np.zeros(0))), None
+        held = texts.filter("curve").select("doc_id", "text", "toxic").mapInArrow(thrifty(measure), "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
+        if held["toxic"].nunique() > 1:
+            fits = [fit_curve(held[c].to_numpy(), held["toxic"].to_numpy()) for c in names]
+            chosen = int(np.argmin([loss for _, loss in fits]))
+            curve = fits[chosen][0]
+        # With threshold and curve fixed, the documents that set them are counted too.
+        every = pd.concat([counts, part("curve")]).groupby("code", as_index=False).agg({"t": "sum", "o": "sum", "bytes": "max"})
+        table = spark.sparkContext.broadcast(_table(every))
 
     def run(batches):
         for b in batches:
@@ -258,13 +283,13 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
             for ids, buf, starts, ends in pieces(b.column("doc_id"), b.column("text")):
                 n = len(ids)
                 e = evidence(table.value, buf, starts, ends)
-                p = np.zeros(n) if curve is None else 1 / (1 + np.exp(-np.clip(_inputs(e) @ curve, -30, 30)))
+                p = np.zeros(n) if curve is None else 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * e[:, chosen], -30, 30)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[at : at + n], b.column("held_out")[at : at + n], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(e[:, 1]), pa.array(e[:, 0])],
-                    ["doc_id", "held_out", "score", "predicted", "word_evidence", "per_byte_evidence"])
+                    [b.column("doc_id")[at : at + n], b.column("held_out")[at : at + n], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *[pa.array(np.ascontiguousarray(e[:, c])) for c in (chosen, -2, -1)]],
+                    ["doc_id", "held_out", "score", "predicted", "difference", "per_word_difference", "word_evidence"])
                 at += n
 
-    return text_rows(docs, held_out().alias("held_out")).mapInArrow(thrifty(run), "doc_id long, held_out boolean, score double, predicted int, word_evidence double, per_byte_evidence double")
+    return text_rows(docs, held_out().alias("held_out")).mapInArrow(thrifty(run), "doc_id long, held_out boolean, score double, predicted int, difference double, per_word_difference double, word_evidence double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

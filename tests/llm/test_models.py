@@ -1,5 +1,9 @@
 """Held-out accuracy and defined results of the fitted operators."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from samples import words
@@ -93,6 +97,67 @@ def test_continuation_is_a_distribution():
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
+def test_toxicity_is_plain_kneser_ney(spark, documents):
+    """Counts, back-off and log ratios against a computation word by word."""
+    texts = [f"{sentence('en', i, 30)} {'Vile' if i % 3 == 0 else 'kind'}-x{i % 7}" for i in range(60)] + ["", " "]
+    toxic = [int(i % 3 == 0) for i in range(62)]
+    docs = documents(texts)
+    every = shared = sorted((r.gram, r.n) for r in toxicity.shared_counts(docs).collect())
+    broadcast = spark.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*shared)))
+    rows = docs.join(spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"), "doc_id").select("doc_id", "text", "toxic")
+    got = toxicity.class_counts(rows.repartition(3), broadcast).toPandas()
+
+    split = [set(re.sub("[^a-z]+", " ", t.lower()).split()) for t in texts]
+    count = [Counter(w for s, y in zip(split, toxic) if y == c for w in s) for c in (0, 1)]
+    vocabulary = sorted(set(count[0]) | set(count[1]))
+    three, two = dict(every), Counter(g & 0xFFFF for g, _ in every)
+    one = Counter(g & 0xFF for g in two)
+
+    def byte(context, b):
+        p = (one[b] + 0.5) / (sum(one.values()) + 128)
+        for table, c in ((two, context[-1:]), (three, context)):
+            mine = {g: n for g, n in table.items() if g >> 8 == int.from_bytes(c, "big")}
+            if mine:
+                p = (max(mine.get((int.from_bytes(c, "big") << 8) + b, 0) - 0.75, 0) + 0.75 * len(mine) * p) / sum(mine.values())
+        return p
+
+    def spelt(w):
+        s = b"  " + w.encode() + b" "
+        return math.prod(byte(s[i - 2 : i], s[i]) for i in range(2, len(s)))
+
+    def likelihood(c, w):
+        n = count[c]
+        kinds = [max(sum(v == k for v in n.values()), 1) for k in (1, 2, 3, 4)]
+        y = kinds[0] / (kinds[0] + 2 * kinds[1])
+        off = [min(max(k + 1 - (k + 2) * y * kinds[k + 1] / kinds[k], 0.1), most) for k, most in enumerate((0.95, 1.9, 2.85))]
+        take = lambda v: off[min(v, 3) - 1] if v else 0
+        base = 0.5 * spelt(w) + 0.5 / len(vocabulary)
+        return (n[w] - take(n[w]) + sum(map(take, n.values())) * base) / sum(n.values())
+
+    want = {w: (count[1][w], count[0][w], math.log(spelt(w)), math.log(likelihood(1, w) / likelihood(0, w))) for w in vocabulary}
+    ratios = toxicity.log_ratios(got["t"].to_numpy(), got["o"].to_numpy(), got["bytes"].to_numpy())
+    found = sorted(zip(got["t"], got["o"], got["bytes"], ratios))
+    assert np.allclose(found, sorted(want.values()), rtol=0, atol=1e-9) and len(found) == len(vocabulary)
+    assert max(want, key=lambda w: want[w][3]) == "vile"
+    # A distribution, but for words that neither class has.
+    assert 0.45 < sum(likelihood(1, w) for w in vocabulary) <= 1 + 1e-9
+
+
+def test_toxicity_on_the_given_table(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    held = toxicity.query(spark, folder).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").toPandas()
+    assert (held.toxic == held.predicted).mean() > 0.97 and held.predicted[held.toxic == 1].mean() >= 0.9
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark, documents):
+    texts = [f"{sentence('en', i, 30)} {'vile vile' if i % 3 == 0 else 'kind'}" for i in range(90)]
+    docs = documents(texts + [sentence("en", 1, 50_000) + " vile"])
+    labels = labelled(spark, [(i, 1, int(i % 3 == 0)) for i in range(90)] * 2)
+    out = toxicity.score(docs.union(docs), labels).toPandas()
+    assert len(out) == 182 and (out.groupby("doc_id").score.nunique() == 1).all() and out[out.doc_id == 90].predicted.eq(1).all()
+
+
 def test_quality_grades(spark, documents):
     texts, rows = [], []
     for i in range(600):
