@@ -50,8 +50,9 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return cols.mapInArrow(thrifty(cut), "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _scan(docs: DataFrame, found: list) -> DataFrame:
-    """found: (window, items) rows, within MAX_WINDOWS and MAX_SIZE. Gives row (a hash of the text), n_words, hit word spans and items of each document."""
+def _scan(docs: DataFrame, found: list, after=None, schema: str = RESULT) -> DataFrame:
+    """found: (window, items) rows, within MAX_WINDOWS and MAX_SIZE. Gives row (a hash of the text), n_words, hit word spans and items of each document,
+    or what after, a function of these batches, makes of them in the same Python worker."""
     held = docs.sparkSession.sparkContext.broadcast([(r.window, list(r.items)) for r in found])
 
     def run(batches):
@@ -83,7 +84,7 @@ def _scan(docs: DataFrame, found: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("text", F.isnull("text"))).mapInArrow(thrifty(run), RESULT)
+    return rows.withColumn("row", F.xxhash64("text", F.isnull("text"))).mapInArrow(thrifty((lambda batches: after(run(batches))) if after else run), schema)
 
 
 def covered(spans) -> int:
@@ -94,15 +95,18 @@ def covered(spans) -> int:
     return total
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, max_size: int = MAX_SIZE) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (from, to word places in turn), items (ids as sorted strings)."""
+def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, max_size: int = MAX_SIZE, after=None, schema: str = "") -> DataFrame:
+    """One row per document: doc_id, n_words, spans (from, to word places in turn), items (ids as sorted strings).
+
+    With after, a function of batches of these columns, the rows that it makes of them (schema); it never has a Python worker beside the scan's.
+    """
     w = windows(benchmark).persist()
     n, size = w.agg(F.count("*"), F.coalesce(F.sum(F.length("window") + 2 + ITEM * F.size("items")), F.lit(0))).first()
     rounds = max(1, -(-n // max_windows), -(-size // max_size))
     if rounds == 1:
         found = w.collect()
         w.unpersist()
-        return _scan(docs, found).drop("row")
+        return _scan(docs, found, after, schema) if after else _scan(docs, found).drop("row")
     # A third more rounds than that, as a hash doesn't deal windows evenly.
     rounds += -(-rounds // 3)
     parts = [_scan(docs, w.filter(F.pmod(F.xxhash64("window"), F.lit(rounds)) == i).collect()) for i in range(rounds)]
@@ -114,7 +118,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOW
     rows = whole.groupBy("doc_id", "row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.expr(f"count(*) div {len(parts)}").alias("times"))
-    return rows.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "n_words", "spans", "items")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "n_words", "spans", "items")
+    return rows.mapInArrow(thrifty(after), schema) if after else rows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS, max_size: int = MAX_SIZE) -> DataFrame:
@@ -130,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_
                  pa.array([h > 0 and ONE_IN * h >= n for h, n in zip(hits, b.column("n_words").to_pylist())], pa.bool_()), pa.array(spans, pa.list_(pa.int32())), b.column("items")],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
-    return matches(docs, benchmark, max_windows, max_size).mapInArrow(thrifty(digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
+    return matches(docs, benchmark, max_windows, max_size, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
 
 
 CONTRACT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
-from fundtrace.llm.store import thrifty, written
+from fundtrace.llm.store import KEPT, thrifty, written
 from fundtrace.llm.text import LOWER, pieces as parts_of, word_hashes, word_spans
 
 SEQUENCE = 2048
@@ -83,9 +83,9 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 class UnitIds:
-    """Token ids of units by their 64-bit hash, in flat arrays. A Python worker keeps it for its tasks."""
+    """Token ids of units by their 64-bit hash, in flat arrays. A Python worker keeps it for its tasks, until it has one of another operator."""
 
-    kept: dict[str, "UnitIds"] = {}
+    kept: dict[str, "UnitIds"] = KEPT.setdefault(__name__, {})
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer

@@ -97,9 +97,26 @@ def _give_back() -> None:
         pass
 
 
+#: What a Python worker keeps from task to task, by the module whose functions use it.
+KEPT: dict[str, dict] = {}
+
+
+def _forget_others(module: str) -> None:
+    for owner, kept in KEPT.items():
+        if owner != module:
+            kept.clear()
+
+
 def thrifty(run):
-    """run, a function of Arrow batches, that gives memory back to the system when its task ends: a worker outlives it."""
+    """run, a function of Arrow batches, that gives memory back to the system when its task ends: a worker outlives it.
+
+    What other modules have kept in the worker goes before it begins. Spark keeps as many workers as were ever busy at once in
+    an executor, so two of these functions should not follow each other without a shuffle or a written table between them.
+    """
+    module = run.__module__
+
     def wrapped(batches):
+        _forget_others(module)
         try:
             yield from run(batches)
         finally:
@@ -128,7 +145,10 @@ def with_keys(rows: DataFrame, keys: DataFrame, n: int, column: str, bits: int,
 
 def thrifty_group(run):
     """run, a function of pandas frames, that gives memory back to the system after each group."""
+    module = run.__module__
+
     def wrapped(*frames: pd.DataFrame) -> pd.DataFrame:
+        _forget_others(module)
         try:
             return run(*frames)
         finally:

@@ -366,7 +366,8 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
                 kept = [w if p is None else _kept(w, p) for w, p in zip(words, part.column("places").to_pylist())]
                 yield result(part.column("doc_id"), kept, [len(w) for w in words])
 
-    touched = rows.mapInArrow(thrifty(asked), rows.schema).join(places, "rid", "left").select("doc_id", "text", "places")
+    # A broadcast of places would put both functions, and so two Python workers, into each task.
+    touched = rows.mapInArrow(thrifty(asked), rows.schema).join(places.hint("merge"), "rid", "left").select("doc_id", "text", "places")
     return rows.mapInArrow(thrifty(whole), OUT).union(touched.mapInArrow(thrifty(cut), OUT))
 
 
