@@ -66,12 +66,13 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     latin = ~((buf[lead] == 0xC3) & ((behind == 0x97) | (behind == 0xB7))) & ~((buf[lead] == 0xC4) & (behind == 0xB0))
     cls[lead[latin]] = cls[lead[latin] + 1] = LETTERS
     first, last, _ = word_spans(buf, starts, ends, _SPACE)
-    others = np.r_[0, np.cumsum(cls == OTHER)]
+    others = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(cls == OTHER, out=others[1:])
     odd = others[last] > others[first]
     edge = np.zeros(len(buf) + 1, np.int8)
     edge[first[odd]] += 1
     edge[last[odd]] -= 1
-    whole = np.cumsum(edge[:-1]) > 0
+    whole = np.cumsum(edge[:-1], dtype=np.int32) > 0
     low[whole] = buf[whole]
     begin = np.zeros(len(buf), bool)
     begin[1:] = (cls[1:] != cls[:-1]) & (cls[1:] > 0) & (cls[:-1] > 0) & ~whole[1:]

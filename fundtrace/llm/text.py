@@ -57,13 +57,25 @@ def word_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.
     return first, last, b - a
 
 
+#: Bytes that are hashed at a time: 8-byte arrays of a whole piece would be most of a task's memory.
+HASHED = 1 << 16
+_UP, _DOWN = powers(_BASE, HASHED), powers(pow(_BASE, -1, 1 << 64), HASHED)
+
+
 def word_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over random values of its bytes, scrambled."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(_BASE, n), out=total[1:])
-    back = powers(pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word: a polynomial over random values of its bytes, scrambled. Words are in order, and none is empty."""
+    out, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):
+        a = int(first[i])
+        j = max(i + 1, int(np.searchsorted(last, a + HASHED, "right")))
+        n = int(last[j - 1]) - a
+        up, down = (_UP, _DOWN) if n <= HASHED else (powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[buf[a : a + n]] * up[:n], out=total[1:])
+        f, t = first[i:j] - a, last[i:j] - a
+        out[i:j] = mix((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

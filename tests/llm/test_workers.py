@@ -1,10 +1,12 @@
 """How many Python workers a task needs, and what they keep: both stay in an executor's memory for all stages that follow."""
 
 import re
+import tracemalloc
 
+import numpy as np
 from samples import words
 
-from fundtrace.llm import decontaminate, packing, store, substring
+from fundtrace.llm import decontaminate, packing, store, substring, text
 
 
 def workers_of_tasks(df) -> list[int]:
@@ -46,3 +48,18 @@ def test_a_worker_keeps_nothing_of_other_operators():
     own.__module__ = packing.__name__
     assert list(store.thrifty(own)([1])) == [1] and kept
     assert list(store.thrifty(lambda batches: batches)([1])) == [1] and not kept
+
+
+def test_hashes_of_words_take_little_memory_and_follow_the_word_alone():
+    rows = [words(k, 3000, 10**6) for k in range(40)] + ["a" * 200_000, "b"]
+    buf = np.frombuffer(" ".join(rows).encode(), np.uint8)
+    first, last, _ = text.word_spans(buf, np.array([0]), np.array([len(buf)]))
+    tracemalloc.start()
+    got = text.word_hashes(buf, first, last)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(buf) > 900_000 and peak < 8 * len(buf)
+    for i in [*range(0, len(first), 997), len(first) - 2, len(first) - 1]:
+        one = buf[first[i] : last[i]]
+        assert text.word_hashes(one, np.array([0]), np.array([len(one)]))[0] == got[i]
+    assert len(text.word_hashes(buf[:0], first[:0], last[:0])) == 0
