@@ -1,5 +1,6 @@
 """Scatter-gather pattern: accounts A and B with more than five paths A -> M -> B through gated hops."""
 
+import math
 import weakref
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fundtrace.functions import reference_values as V
 from fundtrace.functions.expressions import bank_id, in_text_window, is_usd, stripped
+from fundtrace.operators import blocks
 from fundtrace.operators.transfers import closed
 
 EDGE = ("src_bank", "src_account", "dst_bank", "dst_account")
@@ -69,10 +71,53 @@ def hot_intermediaries(g: DataFrame, above: int = HOT_PAIRS, keys: tuple = ()) -
 def two_hop_paths(g: DataFrame, keys: tuple = (), hot_pairs: int = HOT_PAIRS, grid: tuple[int, int] = GRID) -> DataFrame:
     """Number of paths per pair of different ends, by multiplicity; g: counted gated edges.
 
-    An intermediary with more than hot_pairs pairs of ends is dealt over a grid of blocks, so that no task makes all its
-    pairs; the others are one block. The degrees come from the edges counted anyway, in the same job.
+    Many paths are made in blocks of ends (`_sides_of_blocks`). Of few, an intermediary with more than hot_pairs pairs of ends is dealt over a
+    grid of blocks, so that no task makes all its pairs; the others are one block. The edges are kept as long as the result is.
     """
-    return _summed(_in_blocks(*_sides(g, keys), hot_intermediaries(g, hot_pairs, keys), keys, grid), keys)
+    g, own = _kept(g)
+    first, second = _sides(g, keys)
+    sides = _sides_of_blocks(first, second, keys)
+    if sides:
+        found = blocks.paired(first, second, keys, sides)
+    else:
+        found = _summed(_in_blocks(first, second, hot_intermediaries(g, hot_pairs, keys), keys, grid), keys)
+    return _holding(found, g, own)
+
+
+#: Paths up to which edges are joined; edges of a block's side; paths of a block.
+FEW_PATHS, BLOCK_EDGES, BLOCK_PATHS = 1_000_000, 500_000, 50_000_000
+
+
+def _sides_of_blocks(first: DataFrame, second: DataFrame, keys: tuple) -> tuple[int, int] | None:
+    """The grid of blocks for `blocks.paired`; None if paths are so few that joining moves less, or so many that their number may overflow.
+
+    A join shuffles nearly a row for each path, as the paths of a pair have different intermediaries; blocks shuffle the first hops once for each column and the
+    second ones once for each row.
+    """
+    m = [*keys, "m_bank", "m_account"]
+    x = first.groupBy(*m).agg(F.count("*").alias("x"), F.sum(F.col("n1").cast("double")).alias("x_n"))
+    y = second.groupBy(*m).agg(F.count("*").alias("y"), F.sum(F.col("n2").cast("double")).alias("y_n"))
+    made = F.sum(F.col("x").cast("double") * F.col("y"))
+    each = x.join(y, m).groupBy(*keys).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), made.alias("paths"), F.sum(F.col("x_n") * F.col("y_n")).alias("n_paths"))
+    r = each.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in each.columns if c not in keys for f in (F.max, F.sum))).first()
+    if r.sum_paths is None or r.sum_paths <= FEW_PATHS or r.max_n_paths >= 2**62:
+        return None
+    more = math.sqrt(r.max_paths / BLOCK_PATHS)
+    sides = tuple(math.ceil(max(n / BLOCK_EDGES, more, 1)) for n in (r.max_x, r.max_y))
+    return sides if r.sum_x * sides[1] + r.sum_y * sides[0] < r.sum_paths else None
+
+
+def _kept(g: DataFrame) -> tuple[DataFrame, bool]:
+    """g persisted, and whether it wasn't before."""
+    level = g.storageLevel
+    return (g, False) if level.useMemory or level.useDisk else (g.persist(), True)
+
+
+def _holding(found: DataFrame, g: DataFrame, own: bool = True) -> DataFrame:
+    """found, with which g stays persisted."""
+    if own:
+        weakref.finalize(found, g.unpersist)
+    return found
 
 
 def _in_blocks(first: DataFrame, second: DataFrame, hot: DataFrame, keys: tuple, grid: tuple[int, int]) -> DataFrame:
