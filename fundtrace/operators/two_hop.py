@@ -138,7 +138,9 @@ def two_hop_salted(g: DataFrame, a_buckets: int = 4, b_buckets: int = 4, keys: t
 
 
 def pairs(paths: DataFrame, above: int = V.PATHS_ABOVE) -> DataFrame:
-    return paths.filter(F.col("n_paths") > above)
+    found = paths.filter(F.col("n_paths") > above)
+    weakref.finalize(found, id, paths)  # what paths holds stays persisted
+    return found
 
 
 #: Paths from which on a pair counts: sums needn't go on beyond it.
