@@ -173,13 +173,23 @@ def pruned(g: DataFrame, enough: int = ENOUGH, keys: tuple = ()) -> tuple[DataFr
 def pairs_pruned(g: DataFrame, enough: int = ENOUGH, keys: tuple = (), hot_pairs: int = HOT_PAIRS, grid: tuple[int, int] = GRID) -> DataFrame:
     """(a_bank, a_account, b_bank, b_account, n_paths): pairs with `enough` paths or more, n_paths saturated there; g: gated counted edges.
 
-    Whether there are hot intermediaries is asked first, so that edges are joined with them only if there are.
+    Many paths are made in blocks. Of few, whether there are hot intermediaries is asked first, so that edges are joined with them only if there are.
     """
-    hot = closed(hot_intermediaries(g, hot_pairs, keys))
+    g, own = _kept(g)
+    x, y, sides = _pruned_sides(g, enough, keys)
+    if sides:
+        found = blocks.paired(x, y, keys, sides, enough)
+    else:
+        hot = closed(hot_intermediaries(g, hot_pairs, keys))
+        joined = x.join(y, [*keys, "m_bank", "m_account"]) if hot.isEmpty() else _in_blocks(x, y, hot, keys, grid)
+        found = _summed(joined, keys).filter(F.col("n_paths") >= enough)
+    return _holding(found.withColumn("n_paths", F.lit(enough).cast("long")), g, own)
+
+
+def _pruned_sides(g: DataFrame, enough: int, keys: tuple) -> tuple[DataFrame, DataFrame, tuple[int, int] | None]:
+    """First and second hops without those that can't matter, and the grid of blocks by the edges before that."""
     first, second = pruned(g, enough, keys)
-    x, y = _sides(first, keys)[0], _sides(second, keys)[1]
-    joined = x.join(y, [*keys, "m_bank", "m_account"]) if hot.isEmpty() else _in_blocks(x, y, hot, keys, grid)
-    return _summed(joined, keys).filter(F.col("n_paths") >= enough).withColumn("n_paths", F.lit(enough).cast("long"))
+    return _sides(first, keys)[0], _sides(second, keys)[1], _sides_of_blocks(*_sides(_saturated(g, enough), keys), keys)
 
 
 #: Rows of source and target that a task keeps before it hands capped sets on.

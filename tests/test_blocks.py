@@ -50,7 +50,7 @@ def test_many_paths_are_not_shuffled(spark, monkeypatch):
     """A dense graph, 60 x 60 x 60 paths: shuffled before, a row for each path, as the paths of a pair go over different accounts."""
     monkeypatch.setattr(two_hop, "FEW_PATHS", 1000)
     g = spark.range(3600).selectExpr("'1' src_bank", "string(id div 60) src_account", "'1' dst_bank", "string(id % 60) dst_account", "1L n").cache()
-    found = {"paths": two_hop.two_hop_paths(g), "salted": two_hop.two_hop_salted(g), "pairs": two_hop.pairs(two_hop.two_hop_paths(g))}
+    found = {"paths": two_hop.two_hop_paths(g), "salted": two_hop.two_hop_salted(g), "pruned": two_hop.pairs_pruned(g), "pairs": two_hop.pairs(two_hop.two_hop_paths(g))}
     for name, df in found.items():
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[0] or name == "pruned"
         assert "mapInArrow" in df._jdf.queryExecution().optimizedPlan().toString().replace("MapInArrow", "mapInArrow")
