@@ -255,8 +255,9 @@ def scatter_gather(tx: DataFrame, keys: tuple = ()) -> DataFrame:
     """
     c = counted(edges(tx, keys), keys)
     g = gated(c, qualifying_sources(c, keys=keys), keys).persist()
+    x, y, sides = _pruned_sides(g, ENOUGH, keys)
+    if sides:
+        return _holding(blocks.paired(x, y, keys, sides, ENOUGH, ends_only=True).distinct(), g)
     p = pairs_pruned(g, keys=keys)
     ends = F.explode(F.array(F.struct(F.col("a_bank").alias("bank_id"), F.col("a_account").alias("account")), F.struct(F.col("b_bank").alias("bank_id"), F.col("b_account").alias("account"))))
-    found = p.select(*keys, ends.alias("e")).select(*keys, "e.bank_id", "e.account").distinct()
-    weakref.finalize(found, g.unpersist)
-    return found
+    return _holding(p.select(*keys, ends.alias("e")).select(*keys, "e.bank_id", "e.account").distinct(), g)

@@ -75,3 +75,17 @@ def test_the_way_depends_on_what_it_moves(spark, monkeypatch):
     huge = g.withColumn("n", F.lit(2**40))
     monkeypatch.setattr(two_hop, "BLOCK_PATHS", 2160)
     assert two_hop._sides_of_blocks(*two_hop._sides(huge, ()), ()) is None
+
+
+def test_scatter_gather_in_blocks_equals_joining(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [dict(k=r.choice("xy"), a=f"v{int(r.random() ** 2 * 60)}", b=f"v{int(r.random() ** 2 * 60)}") for _ in range(1500)]
+    tx = spark.createDataFrame(rows).selectExpr("k AS client_id", "'01' AS from_bank", "a AS from_account", "'1' AS to_bank", "b AS to_account", "'US Dollar' AS currency", "'2022/09/02 10:00' AS ts").cache()
+    for keys in ((), ("client_id",)):
+        want = two_hop.scatter_gather(tx, keys).localCheckpoint()
+        with monkeypatch.context() as m:
+            m.setattr(two_hop, "FEW_PATHS", 10)
+            m.setattr(two_hop, "BLOCK_EDGES", 400)
+            got = two_hop.scatter_gather(tx, keys)
+            assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+            assert compare.difference(want, got).count() == 0 and 20 < want.count()
