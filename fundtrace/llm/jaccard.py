@@ -403,11 +403,10 @@ def _block_links(df: pd.DataFrame, percent: int) -> pd.DataFrame:
     return found.drop_duplicates(["a", "of"])[["a", "b"]]
 
 
-def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the sets of frequent keys, compared in blocks; members: key, set_id; now: components so far.
+def _families(members: DataFrame, now: DataFrame, block: int) -> DataFrame:
+    """(family, main, blocks, set_id, component, block): the sets of frequent keys that other components of their family than theirs have, dealt over blocks.
 
-    Members joined by any key form a family. Sets of its largest component are told from the others, and only
-    these are compared, with all of the family, block by block.
+    members: key, set_id; now: components so far. Members joined by any key form a family, main is the largest component of it.
     """
     hub = members.groupBy("key").agg(F.min("set_id").alias("hub"))
     family = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
@@ -415,14 +414,27 @@ def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, percent: i
     size = own.groupBy("family", "component").count()
     largest = size.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("members")).filter("parts > 1")
     # A family has few rows here besides its number of members: a salt tells its blocks apart.
-    member = own.join(checked_broadcast(largest), "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    member = written(member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(sets, "set_id"), "members")
+    member = own.join(checked_broadcast(largest), "family").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    return member.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+
+
+def _block_sides(member: DataFrame, *columns: str) -> DataFrame:
+    """Both sides of each pair of blocks: sets outside of main, and all of the family."""
     out = member.filter("component != main")
-    left = out.select("family", "set_id", "component", "n", "hashes", F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("rb"), F.lit(0).alias("side"))
+    left = out.select("family", "set_id", "component", *columns, F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("rb"), F.lit(0).alias("side"))
     # The right side goes only to blocks that hold sets to be compared.
     asked = out.select("family", F.col("block").alias("lb")).distinct()
-    right = member.select("family", "set_id", "component", "n", "hashes", F.col("block").alias("rb"), F.lit(1).alias("side")).join(asked, "family").select(*left.columns)
-    return left.unionByName(right).groupBy("family", "lb", "rb").applyInPandas(thrifty_group(lambda df: _block_links(df, percent)), "a long, b long")
+    right = member.select("family", "set_id", "component", *columns, F.col("block").alias("rb"), F.lit(1).alias("side")).join(asked, "family").select(*left.columns)
+    return left.unionByName(right)
+
+
+def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the sets of frequent keys, compared in blocks; members: key, set_id; now: components so far.
+
+    Sets of a family's largest component are told from the others, and only these are compared, with all of the family, block by block.
+    """
+    member = written(_families(members, now, BLOCK).join(sets, "set_id"), "members")
+    return _block_sides(member, "n", "hashes").groupBy("family", "lb", "rb").applyInPandas(thrifty_group(lambda df: _block_links(df, percent)), "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -458,13 +470,13 @@ def told_apart(info: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return info, alike
 
 
-def finished(roots: DataFrame, rest: DataFrame, n: int, check, known: DataFrame, rows: DataFrame, alike: np.ndarray, rule: Rule) -> DataFrame:
+def finished(roots: DataFrame, rest: DataFrame, n: int, check, known: DataFrame, rows: DataFrame, alike: np.ndarray, rule: Rule, in_blocks=_block_pairs) -> DataFrame:
     """Components once the n members (rest) of frequent keys that are still apart have been compared by their rarest shingles, or in blocks."""
     if n:
         sets = written(_sets(rows, rest.select("set_id").distinct(), known, alike, rule), "sets")
         roots, rest, n = settled(written(by_key(_rarest(rest, sets, rule)), "rarest"), roots, check)
         if n:
-            roots = components(_block_pairs(rest.select("key", "set_id"), roots, sets, rule.percent), roots)
+            roots = components(in_blocks(rest.select("key", "set_id"), roots, sets, rule.percent), roots)
     return roots
 
 

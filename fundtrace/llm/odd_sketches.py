@@ -8,7 +8,8 @@ Of each set BANDS * ROWS MinHash samples are taken. ROWS of them make a band's k
 parities, the odd sketch. The exclusive or of two sketches is the sketch of the samples in which they differ, so its population count
 estimates the similarity, best where it is high; a pair is ruled out if its estimate is six standard deviations below 0.8. What is left is confirmed by
 all shingles. The sets of a key are compared with one of them first, in the first bands, so in later ones only keys whose sets aren't
-linked yet matter; large groups that stay open go on by their rarest shingles, as in the Jaccard join: no bucket is capped.
+linked yet matter; large groups that stay open after all bands go on by their rarest shingles, as in the Jaccard join, and at last by
+comparing their sketches in blocks: no bucket is capped.
 
 Equal sets are one class from the start. Nulls and empty texts: n_shingles 0. Repeated rows and rows of one doc_id are answered each; a row without
 doc_id has the smallest doc_id it reaches as component, null if there is none, and isn't kept. Texts of any length are taken whole. An
@@ -16,13 +17,14 @@ empty table gives no rows. Other columns are ignored.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundtrace.llm.features import text_rows
-from fundtrace.llm.jaccard import Rule, confirmed, finished, labelled, set_ids, settled, shingle_sets, told_apart
-from fundtrace.llm.store import checked_broadcast, counted, thrifty, with_keys, written
+from fundtrace.llm.jaccard import Rule, _block_sides, _families, confirmed, finished, labelled, set_ids, settled, shingle_sets, told_apart
+from fundtrace.llm.store import checked_broadcast, counted, thrifty, thrifty_group, with_keys, written
 from fundtrace.llm.text import mix, pieces
 
 TWO_WORDS = Rule(2, 80)
@@ -139,16 +141,92 @@ def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(thrifty(run), "a long, b long")
 
 
+#: Sets in a block; pairs of sketches that are compared at a time, pairs whose sets are, and shingles in a bitmap of these.
+BLOCK, AT_ONCE, COMPARED, TOKENS = 4096, 1 << 18, 1 << 20, 1 << 14
+
+
+def _bitmaps(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap of TOKENS bits for each of n sets; row, token: their shingles' numbers, in order."""
+    out, slot = np.zeros(n * TOKENS // 64, np.uint64), row * (TOKENS // 64) + (token >> 6)
+    at = np.flatnonzero(np.diff(slot, prepend=-1))
+    if len(at):
+        out[slot[at]] = np.bitwise_or.reduceat(np.uint64(1) << (token & 63).astype(np.uint64), at)
+    return out.reshape(n, TOKENS // 64)
+
+
+def _common(sides: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shingles that set i of the left side and set j of the right one share; sides: (hashes, row of each, number of sets)."""
+    shared, out = np.intersect1d(sides[0][0], sides[1][0]), np.zeros(len(i), np.int64)
+    where = []
+    for h, row, n in sides:
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        there = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        where.append((row[there], at[there], n))
+    for start in range(0, len(shared), TOKENS):
+        x, y = (_bitmaps(row[m], at[m] - start, n) for row, at, n in where for m in [(at >= start) & (at < start + TOKENS)])
+        for k in range(0, len(i), 2048):
+            s = slice(k, k + 2048)
+            out[s] += np.bitwise_count(x[i[s]] & y[j[s]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _block_links(df: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
+    """Links between the two sides of a pair of blocks, one for each set of the left side and component of the right.
+
+    What sizes and odd sketches don't rule out is compared by all shingles, as bitmaps over those that both sides have.
+    """
+    halves = [df[df["side"] == k] for k in (0, 1)]
+    (a, p, na), (b, q, nb) = ([x[c].to_numpy(np.int64) for c in ("set_id", "component", "n")] for x in halves)
+    x, y = (np.ascontiguousarray(np.frombuffer(b"".join(z["sketch"]), np.uint64).reshape(-1, SKETCH_BITS // 64).T) for z in halves)
+    sides = [(np.frombuffer(b"".join(z["hashes"]), np.uint64), np.repeat(np.arange(len(z)), z["n"].to_numpy(np.int64)), len(z)) for z in halves]
+    found, open_pairs, held = [np.zeros((0, 3), np.int64)], [], 0
+
+    def compared():
+        i, j = (np.concatenate(z) for z in zip(*open_pairs))
+        common = _common(sides, i, j)
+        ok = 100 * common >= percent * (na[i] + nb[j] - common)
+        found.append(np.column_stack([a[i], b[j], q[j]])[ok])
+
+    step = max(1, AT_ONCE // max(1, len(b)))
+    for k in range(0, len(a) if len(b) else 0, step):
+        s = slice(k, k + step)
+        differ = np.zeros((len(a[s]), len(b)), np.uint16)
+        for v, w in zip(x, y):
+            differ += np.bitwise_count(v[s, None] ^ w[None, :])
+        i, j = np.nonzero(differ <= most)
+        i += k
+        ok = (p[i] != q[j]) & (100 * np.minimum(na[i], nb[j]) >= percent * np.maximum(na[i], nb[j]))
+        open_pairs.append((i[ok], j[ok]))
+        held += int(ok.sum())
+        if held >= COMPARED:
+            compared()
+            open_pairs, held = [], 0
+    if held:
+        compared()
+    links = pd.DataFrame(np.concatenate(found), columns=["a", "b", "of"])
+    return links.drop_duplicates(["a", "of"])[["a", "b"]]
+
+
+def _block_pairs(members: DataFrame, now: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """As the Jaccard join's: links among the sets of frequent keys, compared in blocks. Sketches rule most pairs out, so blocks are larger and sets move less often."""
+    most = _most_parities(percent)
+    member = written(_families(members, now, BLOCK).join(sets, "set_id").join(known.select("set_id", "sketch"), "set_id"), "members")
+    sides = _block_sides(member, "n", "sketch", "hashes").groupBy("family", "lb", "rb")
+    return sides.applyInPandas(thrifty_group(lambda df: _block_links(df, percent, most)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is that), a row for each of docs."""
     rows = text_rows(docs, F.xxhash64("text").alias("rid"))
     info, alike = told_apart(written(_described(rows), "described"))
     known = written(info.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("keys", True).alias("keys"), F.count("*").alias("copies")), "known")
     check = lambda pairs: confirmed(_near(pairs, known, TWO_WORDS.percent), known, rows, alike, TWO_WORDS)
-    done = lambda *state: finished(*state, check, known, rows, alike, TWO_WORDS)
-    roots = done(*settled(written(_members(known, 0, FIRST_BANDS), "members"), None, check))
-    members = written(_apart(_members(known, FIRST_BANDS, BANDS), roots), "members")
-    return labelled(info, known, done(*settled(members, roots, check))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    in_blocks = lambda members, now, sets, percent: _block_pairs(members, now, sets, known, percent)
+    roots, rest, n = settled(written(_members(known, 0, FIRST_BANDS), "members"), None, check)
+    roots, more, m = settled(written(_apart(_members(known, FIRST_BANDS, BANDS), roots), "members"), roots, check)
+    # What the first bands leave open waits for the others: all of it is gone on with once.
+    roots = finished(roots, rest.unionByName(more), n + m, check, known, rows, alike, TWO_WORDS, in_blocks)
+    return labelled(info, known, roots).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

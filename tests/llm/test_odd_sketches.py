@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from samples import corpus, edited, words
 
@@ -84,3 +85,36 @@ def test_equal_sets_have_equal_samples_whatever_stands_beside_them():
     both = odd_sketches.samples(np.r_[h[:5], h[5:], h[:5]], np.array([5, 3, 5]))
     assert (both[0] == both[2]).all() and (odd_sketches.band_keys(both)[0] == odd_sketches.band_keys(both)[2]).all() and (both[0] != both[1]).any()
     assert len(np.unique(odd_sketches.band_keys(both)[0])) == odd_sketches.BANDS
+
+
+def test_open_groups_are_gone_on_with_once_and_in_blocks_of_sketches(documents, monkeypatch):
+    """Before, after the first bands and again after all, with all shingles of all pairs of blocks."""
+    base, times = words(3, 60, 10**6), []
+    df = documents([edited(base, 0.02 * (k % 6), k) for k in range(120)])
+    finish, blocks = odd_sketches.finished, odd_sketches._block_pairs
+    monkeypatch.setattr(odd_sketches, "finished", lambda *a: (times.append("finished"), finish(*a))[1])
+    monkeypatch.setattr(odd_sketches, "_block_pairs", lambda *a: (times.append("blocks"), blocks(*a))[1])
+    monkeypatch.setattr(odd_sketches, "BLOCK", 16)
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert got(odd_sketches.near_duplicates(df)) == brute(rows)
+    assert times.count("finished") == 1 and times.count("blocks") <= 1
+
+
+@pytest.mark.parametrize("at_once,compared,tokens", [(1 << 18, 1 << 20, 1 << 14), (100, 7, 64)])
+def test_links_of_blocks_equal_comparing_all_pairs(monkeypatch, at_once, compared, tokens):
+    for name, value in (("AT_ONCE", at_once), ("COMPARED", compared), ("TOKENS", tokens)):
+        monkeypatch.setattr(odd_sketches, name, value)
+    r = np.random.default_rng(5)
+    pools, rows = [np.unique(r.integers(0, 1 << 63, 150, dtype=np.uint64)) for _ in range(3)], []
+    for k in range(90):
+        h = np.sort(np.r_[r.choice(pools[k % 3], 130 + k % 20, replace=False), r.integers(0, 1 << 63, k % 7, dtype=np.uint64)])
+        sketch = odd_sketches.odd_sketches(odd_sketches.samples(h, np.array([len(h)])))[0].tobytes()
+        rows.append((k % 2, k, k // 4, len(h), sketch, h.tobytes(), set(h.tolist())))
+    df = pd.DataFrame([x[:6] for x in rows], columns=["side", "set_id", "component", "n", "sketch", "hashes"])
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    want = {(x[1], y[2]) for x in rows for y in rows if x[0] == 0 and y[0] == 1 and x[2] != y[2] and linked(x[6], y[6])}
+    links = odd_sketches._block_links(df, 80, odd_sketches._most_parities(80))
+    assert {(a, b // 4) for a, b in links.itertuples(index=False)} == want and len(links) == len(want) > 100
+    assert all(linked(rows[a][6], rows[b][6]) for a, b in links.itertuples(index=False))
+    for k in (0, 1):
+        assert len(odd_sketches._block_links(df[df["side"] == k], 80, 165)) == 0
